@@ -1,11 +1,10 @@
 """Quality rules combined by weak supervision. DataFrame operations only.
 
 Each rule looks at a few features of the whole text and votes good (+1), bad (-1) or
-abstains (0). A document's class is hidden; a rule that votes is right with a
-probability of its own for each class. Expectation-maximisation over the counts of
+abstains (0). A document's class is hidden; each rule has chances of its own to vote
+either way or to abstain, for each class. Expectation-maximisation over the counts of
 vote patterns (at most 3 ** number of rules, whatever the corpus) estimates these
-probabilities, how often each rule abstains, and the share of good documents; the
-posterior probability of good decides. Base limits come first: a document that fails them
+accuracies and the share of good documents; the posterior probability of good decides. Base limits come first: a document that fails them
 is never kept.
 
 Words are runs without the space and the bytes 0x09 to 0x0D. A word counts as repeated if it
@@ -27,8 +26,10 @@ from .common import materialise, set_apart
 
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
-#: EM starts from this share of good documents and this accuracy of every vote.
-PRIOR, START, ROUNDS, LEAST, THRESHOLD = 0.85, 0.85, 200, 0.02, 0.5
+#: EM starts from this share of good documents and these chances of each vote, in good and in
+#: bad documents; no chance leaves (LEAST, 1 - LEAST).
+PRIOR, START = 0.85, {1: (0.6, 0.3), -1: (0.05, 0.35), 0: (0.35, 0.35)}
+ROUNDS, LEAST, THRESHOLD = 300, 0.01, 0.5
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ"
 
@@ -70,43 +71,39 @@ def votes() -> dict[str, Column]:
     n = F.greatest(F.col("n_words"), F.lit(1))
     chars = F.greatest(F.col("word_chars"), F.lit(1))
 
-    def vote(good: Column, bad: Column) -> Column:
-        return F.when(bad, -1).when(good, 1).otherwise(0)
+    def vote(bad: Column, good: Column | None = None) -> Column:
+        votes = F.when(bad, -1)
+        return (votes if good is None else votes.when(good, 1)).otherwise(0)
 
     mean = F.col("word_chars") / n
     return {
-        "length": vote(F.col("n_words").between(40, 20_000), F.col("n_words") < 5),
-        "word_length": vote(mean.between(4.2, 6.5), (mean > 7.0) | (mean < 3.0)),
-        "symbols": vote(F.col("n_symbols") < 0.01 * n, F.col("n_symbols") > 0.1 * n),
-        "repeated_lines": vote(F.col("n_dup_lines") == 0, F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
-        "repeated_windows": vote(F.col("n_repeat_words") < 0.05 * n, F.col("n_repeat_words") > 0.3 * n),
-        "upper_case": vote(F.col("n_upper") < 0.08 * chars, F.col("n_upper") > 0.3 * chars),
-        "exclamations": vote(F.col("n_bang") < 0.1 * n, F.col("n_bang") > 0.5 * n),
-        "digits": vote(F.col("n_digits") < 0.05 * chars, F.col("n_digits") > 0.4 * chars),
+        "length": vote(F.col("n_words") < 5, F.col("n_words").between(40, 20_000)),
+        "word_length": vote((mean > 7.0) | (mean < 3.0), mean.between(4.2, 6.5)),
+        "symbols": vote(F.col("n_symbols") > 0.1 * n),
+        "repeated_lines": vote(F.col("n_dup_lines") > 0.3 * F.col("n_lines")),
+        "repeated_windows": vote(F.col("n_repeat_words") > 0.3 * n),
+        "upper_case": vote(F.col("n_upper") > 0.3 * chars),
+        "exclamations": vote(F.col("n_bang") > 0.5 * n),
+        "digits": vote(F.col("n_digits") > 0.4 * chars),
     }
 
 
 def fit(patterns: list[tuple[tuple[int, ...], int]], m: int) -> tuple[float, list[dict[int, tuple[float, float]]]]:
-    """Share of good documents and, for each rule and vote, its probability in good and
-    in bad documents. Each step weights the patterns by their posteriors."""
-    prior, table = PRIOR, [{1: (START, 1 - START), -1: (1 - START, START), 0: (1.0, 1.0)} for _ in range(m)]
+    """Share of good documents and, for each rule and vote, its chance in good and in bad
+    documents. Each step weights the patterns by their posteriors."""
+    prior, table = PRIOR, [START] * m
     total = sum(n for _, n in patterns)
     for _ in range(ROUNDS if total else 0):
         good = [n * posterior(p, prior, table) for p, n in patterns]
-        g = sum(good)
-        b = total - g
-        was, prior = prior, min(0.99, max(0.01, g / total))
+        was, prior = prior, min(0.99, max(0.5, sum(good) / total))
         new = []
         for j in range(m):
-            of = {v: [0.0, 0.0] for v in (1, -1)}
+            of = {v: [1.0, 1.0] for v in START}  # one pseudo vote of each kind
             for (p, n), x in zip(patterns, good, strict=True):
-                if p[j]:
-                    of[p[j]][0] += x
-                    of[p[j]][1] += n - x
-            # one pseudo vote each way keeps probabilities off 0 and 1; a vote is never worse than chance
-            right = [(of[1][0] + START) / (of[1][0] + of[-1][0] + 1), (of[-1][1] + START) / (of[1][1] + of[-1][1] + 1)]
-            right = [min(1 - LEAST / 10, max(0.5, x)) for x in right]
-            new.append({1: (right[0], 1 - right[1]), -1: (1 - right[0], right[1]), 0: (1.0, 1.0)})
+                of[p[j]][0] += x
+                of[p[j]][1] += n - x
+            sums = [sum(x[k] for x in of.values()) for k in (0, 1)]
+            new.append({v: tuple(min(1 - LEAST, max(LEAST, x[k] / sums[k])) for k in (0, 1)) for v, x in of.items()})
         table = new
         if abs(was - prior) < 1e-9:
             break
@@ -133,7 +130,7 @@ def probability(model) -> Column:
     prior, table = model
     z = F.lit(log(prior / (1 - prior)))
     for (_, v), row in zip(votes().items(), table, strict=True):
-        z = z + F.when(v == 1, log(row[1][0] / row[1][1])).when(v == -1, log(row[-1][0] / row[-1][1])).otherwise(0.0)
+        z = z + F.when(v == 1, log(row[1][0] / row[1][1])).when(v == -1, log(row[-1][0] / row[-1][1])).otherwise(log(row[0][0] / row[0][1]))
     return 1 / (1 + F.exp(-z))
 
 

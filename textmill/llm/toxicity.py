@@ -23,8 +23,8 @@ from pyspark.sql import functions as F
 
 from . import textbuf
 
-BITS, LENGTHS, SAMPLE, SAMPLE_BYTES, MIN_TEXTS = 20, (3, 5, 7, 9), 3000, 20_000, 3
-RIDGE, STEPS, ALPHA = 2.0, 120, 1.0
+BITS, LENGTHS, SAMPLE, SAMPLE_BYTES, MIN_TEXTS = 22, (3, 5, 7, 9), 2000, 10_000, 6
+RIDGE, STEPS, ALPHA, LEAST_RATIO = 2.0, 300, 1.0, 1.5
 
 
 def _clean(column) -> tuple[np.ndarray, np.ndarray]:
@@ -60,7 +60,8 @@ def _features(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.
         if wanted is not None:
             good &= wanted[hashed]
         keys.append((doc[start[good]].astype(np.uint64) << np.uint64(BITS)) | hashed[good])
-    keys = np.unique(np.concatenate(keys))
+    keys = np.sort(np.concatenate(keys))
+    keys = keys[np.append(True, keys[1:] != keys[:-1])] if len(keys) else keys
     return (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
@@ -70,20 +71,24 @@ def train(column, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
     share = float(toxic.mean()) if n else 0.0
     if share in (0.0, 1.0):
         return np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    row, feature = _features(column)
-    seen = np.bincount(feature, minlength=1 << BITS)
-    keep = (seen >= MIN_TEXTS)[feature]
-    row, feature = row[keep], feature[keep]
-    used, at = np.unique(feature, return_inverse=True)
-    p = ALPHA + np.bincount(at, toxic[row], len(used))
-    q = ALPHA + np.bincount(at, 1 - toxic[row], len(used))
-    scale = np.log((p / (2 * ALPHA + toxic.sum())) / (q / (2 * ALPHA + n - toxic.sum())))
-    strong = np.abs(scale) > 0.7  # the others move no score by much
-    keep = strong[at]
-    row, at = row[keep], (np.cumsum(strong) - 1)[at[keep]]
-    used, scale = used[strong], scale[strong]
+    parts = list(textbuf.slices(pa.record_batch([column], ["text"]), "text"))
+    ends = np.cumsum([0, *[x.num_rows for x in parts]])
+    seen = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
+    for part, at in zip(parts, ends[:-1], strict=True):
+        row, feature = _features(part.column("text"))
+        for label in (0, 1):
+            seen[label] += np.bincount(feature[toxic[at + row] == label], minlength=1 << BITS).astype(np.int32)
+    p = (ALPHA + seen[1]) / (2 * ALPHA + toxic.sum())
+    q = (ALPHA + seen[0]) / (2 * ALPHA + n - toxic.sum())
+    ratio = np.log(p / q)
+    wanted = (seen[0] + seen[1] >= MIN_TEXTS) & (np.abs(ratio) > LEAST_RATIO)  # the others move no score by much
+    used = np.flatnonzero(wanted)
     if not len(used):
-        return used, scale, float(np.log(share / (1 - share)))
+        return used, np.zeros(0), float(np.log(share / (1 - share)))
+    found = [_features(part.column("text"), wanted) for part in parts]
+    row = np.concatenate([r + at for (r, _), at in zip(found, ends[:-1], strict=True)])
+    at = np.searchsorted(used, np.concatenate([f for _, f in found]))
+    scale = ratio[used]
     # the last column is the bias, which is not regularised
     k = len(used)
     row, at, values = np.append(row, np.arange(n)), np.append(at, np.full(n, k)), np.append(scale[at], np.ones(n))
