@@ -18,9 +18,12 @@ Steps and what they move:
 * equal texts are one node (64-bit hash of the text), so copies cost one row each;
 * in each bucket every member is compared to one pivot, which merges most of a
   group of any size with a linear number of pairs;
-* only members of one bucket that then still belong to different components are
-  paired, without a cap, and pairs whose registers put them more than four and a
-  half standard deviations below the threshold are not fetched for verification;
+* the rest is exact: in buckets whose members then still belong to different components, all
+  members of different components are compared, but for pairs whose registers put them
+  more than four and a half standard deviations below the threshold. Small buckets
+  (PAIRED members at most) list these pairs; larger ones are cut into chunks of CHUNK
+  members, each two of which are compared as packed arrays by a task of their own, which
+  returns only links that join components. No pair of a large group becomes a row;
 * components are contracted in rounds of joins; nothing is collected.
 
 Nulls: a null text counts as an empty one, and texts without words are only alike
@@ -37,6 +40,7 @@ from . import textbuf
 from .common import materialise, set_apart
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 5, 5, 0.8
+PAIRED, CHUNK = 16, 256
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -178,6 +182,36 @@ def _likely(least: float, m: int):
     return run
 
 
+def _chunk_pair(threshold: float, least: float, m: int):
+    """Links between the members of two chunks (or within one) that join components."""
+
+    def run(table: pa.Table) -> pa.Table:
+        node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+        registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, m)
+        hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
+        counts = [np.frombuffer(c, np.int64).astype(float) if c else np.ones(len(h)) for c, h in zip(table.column("counts").to_pylist(), hashes, strict=True)]
+        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
+        parent = {r: r for r in root.tolist()}
+
+        def top(r: int) -> int:
+            while parent[r] != r:
+                parent[r] = r = parent[parent[r]]
+            return r
+
+        out = []
+        for i in one:
+            others = two[(two > i) & (root[two] != root[i])]
+            likely = others[(registers[others] == registers[i]).mean(axis=1) >= least]
+            for j in likely:
+                a, b = top(int(root[i])), top(int(root[j]))
+                if a != b and probability_jaccard(hashes[i], counts[i], hashes[j], counts[j]) >= threshold - 1e-12:
+                    parent[a] = b
+                    out.append((int(node[i]), int(node[j])))
+        return pa.table({"a": pa.array([x[0] for x in out], pa.int64()), "b": pa.array([x[1] for x in out], pa.int64())})
+
+    return run
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``links`` (a, b); the root is the
     smallest node of its component. Rounds of hooking to the smallest neighbour, two
@@ -223,7 +257,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
         for end in ("a", "b"):
             pairs = pairs.join(registers.select(F.col("node").alias(end), F.col("registers").alias(f"registers_{end}")), end)
         pairs = materialise(pairs.select("a", "b", "registers_a", "registers_b").mapInArrow(_likely(least, m), pair))
-        if lists is None:  # shingles of the texts that have a likely partner: one row of each text
+        if lists is None:  # shingles of the texts that share a bucket: one row of each text
             near = member.select("node").distinct().join(nodes, "node")
             lists = materialise(
                 base.join(near.select(F.col("node").alias("near"), "rep"), (F.col("node") == F.col("near")) & F.col("doc_id").eqNullSafe(F.col("rep")))
@@ -240,9 +274,20 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     place = member.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root"))
     mixed = place.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
     place = materialise(place.where("node <> pivot").join(mixed, "bucket", "left_semi"))
-    other = place.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = place.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
+    sizes = materialise(place.groupBy("bucket").count())
+    small = place.join(sizes.where(F.col("count") <= PAIRED), "bucket")
+    other = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    rest = small.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
     more = materialise(links(rest))
+    large = sizes.where(F.col("count") > PAIRED).withColumn("chunks", F.ceil(F.col("count") / CHUNK))
+    if not large.isEmpty():
+        chunk = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks"))
+        dealt = place.join(large, "bucket").select("bucket", "node", "root", "chunks", chunk.alias("chunk"))
+        # every chunk meets every other once, and itself
+        met = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("met")
+        dealt = dealt.select("*", met).select("bucket", "node", "root", F.least("chunk", "met").alias("low"), F.greatest("chunk", "met").alias("high"), (F.col("chunk") > F.col("met")).cast("int").alias("side"))
+        full = dealt.join(registers, "node").join(lists, "node")
+        more = more.union(materialise(full.groupBy("bucket", "low", "high").applyInArrow(_chunk_pair(threshold, least, m), pair)))
     if not more.isEmpty():
         roots = components(first.union(more))
 

@@ -4,6 +4,7 @@ No Python object is made per text, word or window: a batch is one byte array and
 one array of offsets, and words and windows are index arrays into it.
 """
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -11,7 +12,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that one slice of a batch holds, unless a single text is longer.
-SLICE_BYTES = 4 << 20
+SLICE_BYTES = 1 << 20
+_libc = ctypes.CDLL(None)
 _BASE = 0x9E3779B97F4A7C15
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
@@ -30,6 +32,14 @@ def slices(batch: pa.RecordBatch, column: str) -> Iterator[pa.RecordBatch]:
         stop = max(start + 1, int(np.searchsorted(ends, base + SLICE_BYTES, "right")))
         yield batch.slice(start, stop - start)
         start = stop
+    release()
+
+
+def release() -> None:
+    """Give freed memory back to the system: a worker that waits should hold little."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(_libc, "malloc_trim"):
+        _libc.malloc_trim(0)
 
 
 def buffer(column: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
