@@ -1 +1,413 @@
-QUERIES, ORACLE, FLAGSHIP = {}, {}, None
+"""Registered queries of the library and their SQL for comparison."""
+
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from . import profiles as P
+from .functions import tables, text
+from .operators import assembly, chunking, clustering, dataset, statistics, tuples, voting
+from .plans.text_to_table import Options, text_to_table
+from .sources import archive
+
+QUERIES, ORACLE = {}, {}
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLE[name] = sql
+        return f
+
+    return add
+
+
+def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{d}/{name}.parquet")
+
+
+def _values(spark: SparkSession, names: str, rows: list[tuple]) -> DataFrame:
+    return spark.createDataFrame(rows, names)
+
+
+def _sql_values(rows: list[tuple]) -> str:
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else str(v) if isinstance(v, (int, float)) else "'" + v.replace("'", "''") + "'"
+    return ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+
+
+# -- tuples and tables from the events stream -------------------------------------------------
+def event_tuples(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("doc_id").orderBy("ts", "event_id")
+    df = _table(spark, d, "events").select((F.col("user_id") % 50).alias("doc_id"), "ts", "event_id", F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("subject"), F.col("event_type").alias("predicate"), F.col("value").cast("bigint").cast("string").alias("obj"))
+    return df.withColumn("tuple_ord", F.row_number().over(w)).drop("ts", "event_id")
+
+
+_TUPLES = """t AS (SELECT user_id % 50 AS doc_id, 'u' || user_id AS subject, event_type AS predicate, CAST(CAST(trunc(value) AS BIGINT) AS VARCHAR) AS obj,
+  row_number() OVER (PARTITION BY user_id % 50 ORDER BY ts, event_id) AS tuple_ord FROM events)"""
+_CELLS = f"""{_TUPLES},
+  cols AS (SELECT doc_id, predicate, row_number() OVER (PARTITION BY doc_id ORDER BY min(tuple_ord)) AS col_ord FROM t WHERE predicate <> '' GROUP BY doc_id, predicate QUALIFY col_ord <= 7),
+  subs AS (SELECT doc_id, subject, row_number() OVER (PARTITION BY doc_id ORDER BY min(tuple_ord)) AS row_ord FROM t GROUP BY doc_id, subject),
+  last AS (SELECT doc_id, subject, predicate, arg_max(obj, tuple_ord) AS obj FROM t GROUP BY ALL),
+  cells AS (SELECT s.doc_id, s.row_ord, s.subject, c.col_ord, c.predicate AS "column", coalesce(l.obj, '-') AS value FROM subs s JOIN cols c USING (doc_id) LEFT JOIN last l USING (doc_id, subject, predicate))"""
+
+
+@query("dynamic_table", f"WITH {_CELLS} SELECT * FROM cells")
+def dynamic_table(spark, d):
+    return assembly.dynamic_cells(event_tuples(spark, d))
+
+
+_MARKDOWN = f"""WITH {_CELLS},
+  heads AS (SELECT doc_id, string_agg(predicate, ' | ' ORDER BY col_ord) AS h, count(*) AS n FROM cols GROUP BY doc_id),
+  lines AS (SELECT doc_id, row_ord, '| ' || any_value(subject) || ' | ' || string_agg(value, ' | ' ORDER BY col_ord) || ' |' AS l FROM cells GROUP BY doc_id, row_ord),
+  bodies AS (SELECT doc_id, string_agg(l, chr(10) ORDER BY row_ord) AS b FROM lines GROUP BY doc_id)
+SELECT doc_id, '| {P.SUBJECT_COLUMN} | ' || h || ' |' || chr(10) || '|' || repeat(' --- |', n + 1) || chr(10) || b AS markdown FROM heads JOIN bodies USING (doc_id)"""
+
+
+@query("dynamic_markdown", _MARKDOWN)
+def FLAGSHIP(spark, d):
+    return assembly.dynamic_markdown(event_tuples(spark, d))
+
+
+def _kind(words):
+    return " OR ".join(f"contains(lower(predicate), '{w}')" for w in words)
+
+
+@query("static_table", f"""WITH {_TUPLES.replace("event_type AS predicate", "CASE event_type WHEN 'view' THEN 'announce' WHEN 'click' THEN 'period' WHEN 'purchase' THEN 'increase' ELSE event_type END AS predicate")},
+  k AS (SELECT *, CASE WHEN {_kind(P.GROWTH)} THEN 'g' WHEN {_kind(P.TIME)} THEN 't' WHEN {_kind(P.ANNOUNCE)} THEN 'a' ELSE 'o' END AS kind FROM t),
+  g AS (SELECT doc_id, subject, min(tuple_ord) AS first, arg_max(obj, tuple_ord) FILTER (kind = 'g') AS growth, arg_max(obj, tuple_ord) FILTER (kind = 't') AS time,
+    list_reduce(list({{'k': kind, 'e': obj, 'm': '-'}} ORDER BY tuple_ord) FILTER (kind IN ('a', 'o')), lambda s, x: CASE WHEN x.k = 'a' OR s.e = '-' THEN {{'k': 's', 'e': x.e, 'm': s.m}} ELSE {{'k': 's', 'e': s.e, 'm': x.e}} END, {{'k': 's', 'e': '-', 'm': '-'}}) AS f
+    FROM k GROUP BY doc_id, subject)
+  SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY first) AS row_ord, subject AS c1, coalesce(f.e, '-') AS c2, coalesce(growth, '-') AS c3, coalesce(time, '-') AS c4, coalesce(f.m, '-') AS c5 FROM g""")
+def static_table(spark, d):
+    routed = F.when(F.col("predicate") == "view", "announce").when(F.col("predicate") == "click", "period").when(F.col("predicate") == "purchase", "increase").otherwise(F.col("predicate"))
+    rows = assembly.static_rows(event_tuples(spark, d).withColumn("predicate", routed))
+    return rows.select("doc_id", "row_ord", *[F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(P.STATIC_COLUMNS, 1)])
+
+
+@query("static_pivot", f"WITH {_TUPLES}, w AS (SELECT subject, predicate, arg_max(obj, tuple_ord) AS obj FROM t WHERE doc_id = 1 GROUP BY ALL) PIVOT w ON predicate IN ('click', 'purchase', 'view') USING max(obj) GROUP BY subject")
+def dynamic_pivot(spark, d):
+    t = event_tuples(spark, d).where("doc_id = 1")
+    return t.groupBy("subject").pivot("predicate", ["click", "purchase", "view"]).agg(F.max_by("obj", "tuple_ord"))
+
+
+@query("majority_vote", """WITH s AS (SELECT user_id AS cluster_id, event_type AS completion, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sample_no FROM events),
+  c AS (SELECT cluster_id, completion, count(*) AS votes, min(sample_no) AS first FROM s GROUP BY ALL)
+SELECT cluster_id, completion, votes FROM c QUALIFY row_number() OVER (PARTITION BY cluster_id ORDER BY votes DESC, first) = 1""")
+def majority_vote(spark, d):
+    w = Window.partitionBy("user_id").orderBy("ts", "event_id")
+    s = _table(spark, d, "events").select(F.col("user_id").alias("cluster_id"), F.col("event_type").alias("completion"), F.row_number().over(w).alias("sample_no"))
+    return voting.majority(s, ["cluster_id"])
+
+
+# -- Markdown and metrics ---------------------------------------------------------------------
+def region_tables(spark: SparkSession, d: str) -> DataFrame:
+    """A table per region; every seventh nation's name is wrong and every fifth row doubled in the generated one."""
+    n = _table(spark, d, "nation")
+    row = F.array("n_name", F.col("n_nationkey").cast("string"))
+    wrong = F.array(F.when(F.col("n_nationkey") % 7 == 0, F.concat(F.lit("X"), F.col("n_name"))).otherwise(F.col("n_name")), F.col("n_nationkey").cast("string"))
+    both = F.when(F.col("n_nationkey") % 5 == 0, F.array(wrong, wrong)).otherwise(F.array(wrong))
+    g = n.groupBy(F.col("n_regionkey").alias("id")).agg(F.sort_array(F.collect_list(F.struct("n_nationkey", row.alias("r"), both.alias("w")))).alias("x"))
+    head = F.array(F.lit("Name"), F.lit("Key"))
+    return g.select(F.col("id").cast("bigint").alias("id"), tables.render(head, F.expr("flatten(transform(x, y -> y.w))")).alias("generated"), tables.render(head, F.expr("transform(x, y -> y.r)")).alias("reference"))
+
+
+_REGIONS = """rows AS (SELECT n_regionkey AS id, n_nationkey AS k, n_name AS name, CASE WHEN n_nationkey % 7 = 0 THEN 'X' ELSE '' END || n_name AS wrong, CASE WHEN n_nationkey % 5 = 0 THEN 2 ELSE 1 END AS times FROM nation)"""
+
+
+@query("md_roundtrip", f"""WITH {_REGIONS} SELECT CAST(id AS BIGINT) AS id, '| Name | Key |' || chr(10) || '| --- | --- |' || chr(10) || string_agg('| ' || name || ' | ' || k || ' |', chr(10) ORDER BY k) AS reference, count(*) AS n_rows, 2 * count(*) AS n_cells FROM rows GROUP BY id""")
+def md_roundtrip(spark, d):
+    df = region_tables(spark, d).withColumn("p", tables.parse(F.col("reference")))
+    return df.select("id", "reference", F.size("p.rows").cast("bigint").alias("n_rows"), F.size(F.flatten("p.rows")).cast("bigint").alias("n_cells"))
+
+
+@query("md_tuples", f"""WITH {_REGIONS} SELECT CAST(id AS BIGINT) AS id, name AS subject, 'Key' AS predicate, CAST(k AS VARCHAR) AS obj FROM rows""")
+def md_tuples(spark, d):
+    return tuples.extract(region_tables(spark, d), "reference", keys=("id",)).select("id", "subject", "predicate", "obj")
+
+
+@query("metric_suite", f"""WITH {_REGIONS},
+  ref AS (SELECT DISTINCT id, lower(c) AS c FROM (SELECT id, unnest([name, CAST(k AS VARCHAR)]) AS c FROM rows)),
+  gen AS (SELECT id, lower(c) AS c, k, i FROM (SELECT id, k, unnest([wrong, CAST(k AS VARCHAR)]) AS c, unnest(range(times)) AS i0, 0 AS i FROM rows WHERE false) UNION ALL
+    SELECT id, lower(unnest([wrong, CAST(k AS VARCHAR)])) AS c, k, i FROM (SELECT *, unnest(range(times)) AS i FROM rows)),
+  cov AS (SELECT id, avg(CASE WHEN EXISTS (SELECT 1 FROM gen g WHERE g.id = r.id AND g.c = r.c) THEN 1.0 ELSE 0.0 END) AS coverage FROM ref r GROUP BY id),
+  acc AS (SELECT id, avg(CASE WHEN EXISTS (SELECT 1 FROM ref r WHERE g.id = r.id AND (contains(r.c, g.c) OR contains(g.c, r.c))) THEN 1.0 ELSE 0.0 END) AS accuracy FROM gen g GROUP BY id),
+  com AS (SELECT id, count(*) / sum(times) AS compression FROM rows GROUP BY id)
+SELECT CAST(id AS BIGINT) AS id, round(coverage, 4) AS coverage, round(accuracy, 4) AS accuracy, round(compression, 4) AS compression, 1.0::DOUBLE AS structure, 0.0::DOUBLE AS journalistic_value, round(coverage + accuracy + compression + 1.0, 4) AS total
+FROM cov JOIN acc USING (id) JOIN com USING (id)""")
+def metric_suite(spark, d):
+    return tables.evaluate(region_tables(spark, d), digits=4).drop("generated", "reference")
+
+
+@query("metric_report")
+def metric_report(spark, d):
+    return statistics.report(metric_suite(spark, d), P.JUDGE_KEYS)
+
+
+# -- text -------------------------------------------------------------------------------------
+@query("clean_corpus", r"""SELECT doc_id, sha256(regexp_replace(regexp_replace(translate(regexp_replace(translate(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(text, '<[^>]+>', ' ', 'g'),
+  '&[a-zA-Z]+;|&#[0-9]+;', ' ', 'g'), '[ \t]+', ' ', 'g'), '\n{3,}', chr(10) || chr(10), 'g'), '“”"', '«»«'), '–—―−', '––––'), '[^\P{C}\n\t]', '', 'g'), 'Ёё', 'Ее'), '^\s+', ''), '\s+$', '')) AS cleaned FROM documents""")
+def clean_corpus(spark, d):
+    return _table(spark, d, "documents").select("doc_id", F.sha2(text.clean_corpus(F.col("text")).cast("binary"), 256).alias("cleaned"))
+
+
+_QUOTES = "'" + '"' * 4 + "'" * 4 + "'"
+
+
+@query("clean_pages", rf"""SELECT page_id, length(c) AS n, sha256(c) AS cleaned FROM (SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(translate(translate(translate(nfc_normalize(regexp_replace(html, '<[^>]+>', ' ', 'g')), '«»“”‘’', {_QUOTES}), '–—―', '———'),
+  '{text.ZERO_WIDTH}', ''), ' {{2,}}', ' ', 'g'), '\n{{3,}}', chr(10) || chr(10), 'g'), '^\s+', ''), '\s+$', '') AS c FROM pages)""")
+def clean_pages(spark, d):
+    c = text.clean_page(F.col("html"))
+    return _table(spark, d, "pages").select("page_id", c.alias("c")).select("page_id", F.length("c").cast("bigint").alias("n"), F.sha2(F.col("c").cast("binary"), 256).alias("cleaned"))
+
+
+_FIXES = [("the", "THE"), ("and", "&"), ("la", "LA"), ("der", "DER")]
+
+
+@query("dict_correct", f"""WITH w AS (SELECT doc_id, unnest(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' ')) AS wrong, generate_subscripts(string_split_regex(trim(regexp_replace(text, '\\s+', ' ', 'g')), ' '), 1) AS pos FROM documents),
+  f(wrong, right_) AS (VALUES {_sql_values(_FIXES)})
+SELECT doc_id, sha256(string_agg(coalesce(right_, wrong), ' ' ORDER BY pos)) AS corrected FROM w LEFT JOIN f USING (wrong) GROUP BY doc_id""")
+def dict_correct(spark, d):
+    words = F.create_map(*[F.lit(x) for r in _FIXES for x in r])
+    return _table(spark, d, "documents").select("doc_id", F.sha2(text.correct_words(F.col("text"), words).cast("binary"), 256).alias("corrected"))
+
+
+_SENTENCES = r"""s AS (SELECT doc_id, unnest(p) AS sentence, generate_subscripts(p, 1) - 1 AS i FROM (SELECT doc_id, string_split(regexp_replace(trim(regexp_replace(text, '\s+', ' ', 'g')), '([.!?])\s+([\p{L}\p{N}])', '\1␞\2', 'g'), '␞') AS p FROM documents))"""
+
+
+@query("sentence_stats", f"WITH {_SENTENCES} SELECT doc_id, count(*) AS n, sum(length(sentence)) AS chars, sha256(string_agg(sentence, '|' ORDER BY i)) AS hash FROM s WHERE sentence <> '' GROUP BY doc_id")
+def sentence_stats(spark, d):
+    s = text.sentences(F.col("text"), P.MULTILINGUAL)
+    df = _table(spark, d, "documents").select("doc_id", s.alias("s")).where(F.size("s") > 0)
+    return df.select("doc_id", F.size("s").cast("bigint").alias("n"), F.expr("aggregate(s, 0L, (a, x) -> a + length(x))").alias("chars"), F.sha2(F.array_join("s", "|").cast("binary"), 256).alias("hash"))
+
+
+_SAID = [(1, "ВВП 8,7% өсті. Келесі жыл 23,4% болады."), (2, "Қазақстан Алматы қаласында 2024 жылы жиын өтті."), (3, "Бұл жай сөйлем."), (4, "Табыс 1 500 млн теңге болды"), (5, "Қаңтар айында қар жауды"), (6, "v 3.14 жоқ"), (7, "саны 12 345 678 дана"), (8, "")]
+
+
+@query("kazakh_sentences", f"""WITH v(id, said) AS (VALUES {_sql_values(_SAID)}) SELECT id, unnest(p) AS sentence FROM (SELECT id, string_split(regexp_replace(said, '([.!?])\\s+([\\x{{0400}}-\\x{{04FF}}])', '\\1␞\\2', 'g'), '␞') AS p FROM v WHERE said <> '')""")
+def kazakh_sentences(spark, d):
+    return _values(spark, "id int, said string", _SAID).select("id", F.explode(text.sentences(F.col("said"))).alias("sentence"))
+
+
+@query("anchor_sentences", f"""WITH v(id, said) AS (VALUES {_sql_values(_SAID)}) SELECT id, regexp_matches(said, '\\d+[,.]?\\d*\\s*%|(?i:\\d[\\d\\s]*(?:млрд|млн|мың|трлн))|\\d{{4}}\\s*ж|(?i:{'|'.join(P.MONTHS)})|\\d+\\.\\d+|(?:^|[^\\p{{L}}\\p{{N}}_])\\d{{1,3}}(?:\\s\\d{{3}})+(?:$|[^\\p{{L}}\\p{{N}}_])') AS is_anchor FROM v""")
+def anchor_sentences(spark, d):
+    return _values(spark, "id int, said string", _SAID).select("id", text.is_anchor(F.col("said")).alias("is_anchor"))
+
+
+@query("document_anchors", f"""WITH {_SENTENCES} SELECT doc_id, count(*) FILTER (regexp_matches(sentence, '\\d+[,.]?\\d*\\s*%|\\d{{4}}\\s*ж|\\d+\\.\\d+|\\b\\d{{1,3}}(?:\\s\\d{{3}})+\\b')) AS anchors FROM s WHERE sentence <> '' GROUP BY doc_id""")
+def document_anchors(spark, d):
+    s = _table(spark, d, "documents").select("doc_id", F.explode(text.sentences(F.col("text"), P.MULTILINGUAL)).alias("sentence"))
+    return s.groupBy("doc_id").agg(F.count(F.when(text.is_anchor(F.col("sentence")), 1)).alias("anchors"))
+
+
+_WORDS = [("Қазақстанның", "Қазақстан"), ("Алматыда", "Алматы"), ("үйге", "үйге"), ("ҚАЛАНЫҢ", "ҚАЛА"), ("сауда", "сау"), ("Энергетика", "Энергетика"), ("даны", "даны")]
+
+
+@query("lemmas", f"WITH v(word, x) AS (VALUES {_sql_values(_WORDS)}) SELECT word, regexp_replace(word, '(?is)^(.{{3,}})(?:{'|'.join(P.SUFFIXES)})$', '\\1') AS lemma FROM v")
+def lemmas(spark, d):
+    return _values(spark, "word string, x string", _WORDS).select("word", text.lemma(F.col("word")).alias("lemma"))
+
+
+_OBJECTS = [("8,7", "8.7"), ("1,5 млрд", "1500000000"), ("1 500 млн", "1 500000000"), ("2 МЫҢ", "2000"), ("4.35жүз", "434"), ("1,234,567", "1.234,567"), ("мәтін", "мәтін"), (" 3 трлн теңге", "3000000000000 теңге"), ("", "")]
+
+
+@query("objects", f"WITH v(obj, want) AS (VALUES {_sql_values(_OBJECTS)}) SELECT obj, want AS digits FROM v")
+def objects(spark, d):
+    return _values(spark, "obj string, want string", _OBJECTS).select("obj", text.spell_out(F.col("obj")).alias("digits"))
+
+
+_NUMBERS = [("23,4%", 23.4, "%", "23.4%"), ("-5", -5.0, "", "-5"), ("1 500", 1500.0, "", "1500"), ("1,5 млрд теңге", 1.5e9, "млрд", "1.50 млрд"), ("12 мың", 12000.0, "мың", "12.00 мың"), ("0,12345", 0.12345, "", "0.1235"), ("3 трлн", 3e12, "трлн", "3000.00 млрд"), ("15 пайыз", 15.0, "пайыз", "15.0%"), ("жоқ", None, None, "жоқ"), ("III тоқсан", None, None, "Q3"), ("2,5 млн", 2.5e6, "млн", "2.50 млн")]
+
+
+@query("numbers", f"WITH v(cell, value, unit, shown) AS (VALUES {_sql_values(_NUMBERS)}) SELECT cell, CAST(value AS DOUBLE) AS value, unit, shown FROM v")
+def numbers(spark, d):
+    df = _values(spark, "cell string, value double, unit string, shown string", _NUMBERS).select("cell", text.parse_number(F.col("cell")).alias("n"))
+    return df.select("cell", "n.value", "n.unit", text.normal_cell(F.col("cell")).alias("shown"))
+
+
+_TIMES = [("III тоқсан 2024", "2024-Q3"), ("I тоқсан", "Q1"), ("IV тоқсан 2023", "2023-Q4"), ("қаңтар 2024", "2024-01"), ("Желтоқсан 2019", "2019-12"), ("2024 жылы", "2024"), ("2023 ж.", "2023."), ("ештеңе", "ештеңе")]
+
+
+@query("temporal", f"WITH v(cell, iso) AS (VALUES {_sql_values(_TIMES)}) SELECT cell, iso FROM v")
+def temporal(spark, d):
+    return _values(spark, "cell string, iso string", _TIMES).select("cell", text.temporal(F.col("cell")).alias("iso"))
+
+
+_LATIN = [("Qazaqstan", "Қазақстан", True), ("Shymkent", "Шймкент", True), ("áke", "әке", True), ("úı", "ұı", True)]
+
+
+@query("translit", f"WITH v(latin, cyrillic, x) AS (VALUES {_sql_values(_LATIN)}) SELECT latin, cyrillic, replace(latin, 'ı', 'ı') AS back FROM v")
+def translit(spark, d):
+    df = _values(spark, "latin string, c string, x boolean", _LATIN).select("latin", text.latin_to_cyrillic(F.col("latin")).alias("cyrillic"))
+    return df.withColumn("back", text.cyrillic_to_latin(F.col("cyrillic")))
+
+
+_HARMONY = [("бала", True), ("өмір", True), ("кітап", False), ("мұғалім", False), ("ым", True)]
+
+
+@query("harmony", f"WITH v(word, x) AS (VALUES {_sql_values(_HARMONY)}) SELECT word, NOT (regexp_matches(lower(word), '[{P.BACK_VOWELS}]') AND regexp_matches(lower(word), '[{P.FRONT_VOWELS}]')) AS harmonic FROM v")
+def harmony(spark, d):
+    return _values(spark, "word string, x boolean", _HARMONY).select("word", text.is_harmonic(F.col("word")).alias("harmonic"))
+
+
+@query("entities")
+def entities(spark, d):
+    return _values(spark, "id int, said string", _SAID).select("id", F.explode(text.entities("said")).alias("e")).select("id", "e.*")
+
+
+@query("indicative", f"WITH v(id, said) AS (VALUES {_sql_values(_SAID)}) SELECT id, regexp_matches(lower(said), '[а-яғқңүұөәі](?:{'|'.join(P.INDICATIVE)})(?:$|[^\\p{{L}}\\p{{N}}_])') AS indicative FROM v")
+def indicative(spark, d):
+    return _values(spark, "id int, said string", _SAID).select("id", text.is_indicative(F.col("said")).alias("indicative"))
+
+
+# -- vectors, chunks, clusters ----------------------------------------------------------------
+def vector_rows(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.partitionBy("label").orderBy("vec_id")
+    return _table(spark, d, "embeddings").select(F.col("label").cast("bigint").alias("doc_id"), (F.row_number().over(w) - 1).alias("sent_idx"), "embedding", F.concat(F.lit("s"), "vec_id").alias("sentence"), (F.col("vec_id") % 5 == 0).alias("is_anchor"))
+
+
+_VECTORS = """e AS (SELECT CAST(label AS BIGINT) AS doc_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sent_idx, CAST(embedding AS DOUBLE[]) AS v, 's' || vec_id AS sentence, vec_id % 5 = 0 AS is_anchor FROM embeddings),
+  s AS (SELECT *, list_dot_product(v, lead(v) OVER (PARTITION BY doc_id ORDER BY sent_idx)) AS similarity FROM e)"""
+_CHUNKS = f"""{_VECTORS},
+  b AS (SELECT *, coalesce(lag(similarity < 0.0) OVER (PARTITION BY doc_id ORDER BY sent_idx), false) AS cut FROM s),
+  n AS (SELECT *, sum(cut::INT) OVER (PARTITION BY doc_id ORDER BY sent_idx) AS no FROM b),
+  g AS (SELECT doc_id, no, min(sent_idx) AS a, max(sent_idx) AS z, bool_or(is_anchor) AS has_anchor FROM n GROUP BY ALL HAVING count(*) >= 3),
+  p AS (SELECT doc_id, a AS start_idx, CASE WHEN z - a + 1 > 15 THEN a + (z - a + 1) // 2 - 1 ELSE z END AS end_idx, has_anchor FROM g UNION ALL SELECT doc_id, a + (z - a + 1) // 2, z, has_anchor FROM g WHERE z - a + 1 > 15),
+  c AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY start_idx) - 1 AS chunk_idx FROM p)"""
+
+
+@query("adjacent_cosine", f"WITH {_VECTORS} SELECT doc_id, sent_idx, round(similarity, 6) AS similarity FROM s")
+def adjacent_cosine(spark, d):
+    return chunking.adjacent_similarity(vector_rows(spark, d)).select("doc_id", "sent_idx", F.round("similarity", 6).alias("similarity"))
+
+
+@query("semantic_chunks", f"WITH {_CHUNKS} SELECT c.doc_id, chunk_idx, start_idx, end_idx, has_anchor, (SELECT string_agg(sentence, ' ' ORDER BY sent_idx) FROM e WHERE e.doc_id = c.doc_id AND sent_idx BETWEEN start_idx AND end_idx) AS said FROM c")
+def semantic_chunks(spark, d):
+    c = chunking.chunks(vector_rows(spark, d), theta=0.0)
+    return c.select("doc_id", "chunk_idx", "start_idx", "end_idx", "has_anchor", F.array_join("sentences", " ").alias("said"))
+
+
+@query("chunk_vectors", f"WITH {_CHUNKS}, x AS (SELECT doc_id, sent_idx, unnest(v) AS x, generate_subscripts(v, 1) - 1 AS pos FROM e) SELECT c.doc_id, chunk_idx, pos, round(avg(x), 5) AS mean FROM c JOIN x ON c.doc_id = x.doc_id AND sent_idx BETWEEN start_idx AND end_idx GROUP BY ALL")
+def chunk_vectors(spark, d):
+    rows = vector_rows(spark, d)
+    v = chunking.chunk_vectors(rows, chunking.chunks(rows, theta=0.0))
+    return v.select("doc_id", "chunk_idx", F.posexplode("mean").alias("pos", "m")).select("doc_id", "chunk_idx", "pos", F.round("m", 5).alias("mean"))
+
+
+@query("kmeans_elbow")
+def kmeans_elbow(spark, d):
+    rows = vector_rows(spark, d)
+    return clustering.cluster(chunking.chunk_vectors(rows, chunking.chunks(rows, theta=0.0)))
+
+
+_INERTIA = [(1, 2, 10.0), (1, 3, 6.0), (1, 4, 5.8), (1, 5, 1.0), (2, 2, 9.0), (2, 3, 5.0), (2, 4, 2.0), (3, 2, 4.0)]
+
+
+@query("elbow_rule", f"WITH v(id, k, inertia) AS (VALUES {_sql_values(_INERTIA)}), w AS (SELECT *, lag(inertia) OVER (PARTITION BY id ORDER BY k) - inertia AS fall, first_value(inertia) OVER (PARTITION BY id ORDER BY k) AS base, lag(k) OVER (PARTITION BY id ORDER BY k) AS before FROM v) SELECT id, coalesce(min(before) FILTER (fall < 0.05 * base), max(k)) AS k FROM w GROUP BY id")
+def elbow_rule(spark, d):
+    return clustering.elbow_from(_values(spark, "id int, k int, inertia double", _INERTIA))
+
+
+# -- statistics -------------------------------------------------------------------------------
+def label_scores(spark: SparkSession, d: str) -> DataFrame:
+    w = Window.orderBy("doc_id")  # a small table of scores
+    return _table(spark, d, "labels").select((F.row_number().over(w) - 1).cast("bigint").alias("i"), F.col("quality").cast("double").alias("quality"), F.col("toxic").cast("double").alias("toxic"))
+
+
+_DRAWS = f"""v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(quality AS DOUBLE) AS quality, CAST(toxic AS DOUBLE) AS toxic FROM labels),
+  n AS (SELECT count(*) AS n FROM v),
+  x AS (SELECT b, n, (b * 7919 + j * 104729 + 42 * 15485863) % {statistics.SCALE} AS x FROM n, range(200) t(b), range((SELECT count(*) FROM labels)) u(j)),
+  r AS (SELECT b, ((x * x + x * 31 + 17) % {statistics.SCALE} * 2654435 % {statistics.SCALE}) % n AS i FROM x),
+  m AS (SELECT b, avg(quality) AS quality, avg(toxic) AS toxic FROM r JOIN v USING (i) GROUP BY b)"""
+
+
+@query("bootstrap_mean", f"WITH {_DRAWS}, o AS (SELECT list_sort(list(quality)) AS l FROM m) SELECT round((SELECT avg(quality) FROM v), 6) AS mean, round((SELECT stddev_samp(quality) FROM v), 6) AS std, round(l[6], 6) AS lower, round(l[195], 6) AS upper, 200 AS n_bootstrap FROM o")
+def bootstrap_mean(spark, d):
+    ci = statistics.confidence_interval(label_scores(spark, d), "quality", 200)
+    return ci.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "lower", "upper")], "n_bootstrap")
+
+
+@query("bootstrap_paired", f"WITH {_DRAWS}, o AS (SELECT avg(quality) - avg(toxic) AS diff FROM v) SELECT round(diff, 6) AS diff, round(avg(CASE WHEN abs(quality - toxic) >= abs(diff) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM m, o GROUP BY diff")
+def bootstrap_paired(spark, d):
+    return statistics.paired_test(label_scores(spark, d), "quality", "toxic", 200).select(F.round("diff", 6).alias("diff"), F.round("p_value", 6).alias("p_value"))
+
+
+@query("bootstrap_exact")
+def bootstrap_exact(spark, d):
+    return statistics.exact_interval(_table(spark, d, "labels").select("toxic", F.col("quality").cast("double").alias("quality")), "toxic", "quality", 50)
+
+
+_REPLIES = [(1, 1, '{"coverage": 0.5, "accuracy": 1.0, "compression": 1.0, "structure": 1.0, "journalistic_value": 0.9}'), (1, 2, '{"coverage": 0.8, "accuracy": 0.5, "compression": 1.0, "structure": 0.9, "journalistic_value": 0.7}'), (1, 3, "no json"), (2, 1, "{bad")]
+
+
+@query("judge_agg", "SELECT * FROM (VALUES (1, 0.65::DOUBLE, 0.75::DOUBLE, 1.0::DOUBLE, 0.95::DOUBLE, 0.8::DOUBLE), (2, 0.0, 0.0, 0.0, 0.0, 0.0)) t(id, coverage, accuracy, compression, structure, journalistic_value)")
+def judge_agg(spark, d):
+    r = _values(spark, "id int, sample_no int, reply string", _REPLIES)
+    return voting.judge_scores(r, r)
+
+
+_LOSSES = [(1, 1, 0.9, 1.0), (1, 2, 0.8, 0.8), (1, 3, 0.7, 0.8), (1, 4, 0.6, 0.9), (2, 1, 1.0, 1.0), (2, 2, 0.5, 0.6), (2, 3, 0.4, 0.5)]
+_LOSS_SQL = f"v(run, epoch, train_loss, val_loss) AS (VALUES {_sql_values(_LOSSES)})"
+
+
+@query("early_stop", f"""WITH {_LOSS_SQL}, b AS (SELECT *, min(val_loss) OVER (PARTITION BY run ORDER BY epoch ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS best FROM v),
+  i AS (SELECT *, CASE WHEN best IS NULL OR val_loss < best THEN 1 ELSE 0 END AS improved FROM b), s AS (SELECT *, sum(improved) OVER (PARTITION BY run ORDER BY epoch) AS isle FROM i)
+SELECT run, epoch, improved, row_number() OVER (PARTITION BY run, isle ORDER BY epoch) - 1 AS misses, row_number() OVER (PARTITION BY run, isle ORDER BY epoch) - 1 >= 2 AS stop FROM s""")
+def early_stop(spark, d):
+    return statistics.early_stop(_values(spark, "run int, epoch int, train_loss double, val_loss double", _LOSSES)).select("run", "epoch", "improved", "misses", "stop")
+
+
+@query("loss_gap", f"WITH {_LOSS_SQL} SELECT run, epoch, round(val_loss - train_loss, 6) AS gap FROM v")
+def loss_gap(spark, d):
+    return statistics.loss_gaps(_values(spark, "run int, epoch int, train_loss double, val_loss double", _LOSSES)).select("run", "epoch", F.round("gap", 6).alias("gap"))
+
+
+# -- data sets, pages, calendar ---------------------------------------------------------------
+_BEFORE = P.USER_PROMPT.split("{text}")[0].replace("\n", "' || chr(10) || '")
+
+
+@query("prompts", f"SELECT conv_id, turn, sha256('{P.SYSTEM_PROMPTS['dynamic'].replace(chr(39), chr(39) * 2)}' || '{_BEFORE}' || text || role) AS hash FROM conversations")
+def prompts(spark, d):
+    df = _table(spark, d, "conversations").select("conv_id", "turn", dataset.messages(F.col("text"), F.col("role")).alias("m"))
+    return df.select("conv_id", "turn", F.sha2(F.expr("array_join(transform(m, x -> x.content), '')").cast("binary"), 256).alias("hash"))
+
+
+@query("label_mask", r"""WITH w AS (SELECT doc_id, list_slice(list_transform(string_split_regex(trim(text), '[ \n]+'), lambda x: length(x)), 1, 4500) AS ids FROM documents)
+SELECT doc_id, len(ids) AS n, CAST(list_sum(list_transform(ids, lambda x, i: CASE WHEN i <= 10 THEN -100 ELSE x END)) AS BIGINT) AS total FROM w""")
+def label_mask(spark, d):
+    ids = F.transform(F.split(F.trim("text"), "[ \n]+"), lambda w: F.length(w))
+    df = _table(spark, d, "documents").select("doc_id", dataset.masked(ids, F.lit(10)).alias("l"))
+    return df.select("doc_id", F.size("l").cast("bigint").alias("n"), F.expr("aggregate(l, 0L, (a, x) -> a + x)").alias("total"))
+
+
+@query("regime_filter", "SELECT doc_id, text FROM (SELECT *, CASE WHEN doc_id % 3 = 0 THEN 'static' WHEN doc_id % 3 = 1 THEN 'dynamic' END AS regime FROM documents) WHERE coalesce(regime, 'dynamic') = 'dynamic'")
+def regime_filter(spark, d):
+    regime = F.when(F.col("doc_id") % 3 == 0, "static").when(F.col("doc_id") % 3 == 1, "dynamic")
+    return dataset.of_regime(_table(spark, d, "documents").withColumn("regime", regime), "dynamic").select("doc_id", "text")
+
+
+@query("page_articles")
+def page_articles(spark, d):
+    return archive.articles(_table(spark, d, "pages"))
+
+
+@query("page_links", r"""SELECT page_id, len(list_distinct(regexp_extract_all(html, '<a href="(/[^"]+)"', 1))) AS n FROM pages""")
+def page_links(spark, d):
+    as_links = F.regexp_replace("html", '<a href=', '<a class="article-link" href=')
+    return _table(spark, d, "pages").select("page_id", F.size(archive.links(as_links)).cast("bigint").alias("n"))
+
+
+@query("archive_days", "SELECT CAST(d AS DATE) AS day, '/archive/' || strftime(d, '%Y/%m/%d') AS url FROM range(TIMESTAMP '2017-01-01', TIMESTAMP '2026-01-01', INTERVAL 1 DAY) t(d)")
+def archive_days(spark, d):
+    return archive.days(spark)
+
+
+@query("backoff", "SELECT i AS attempt, CAST(least(power(2, i), 60) AS INTEGER) AS seconds FROM range(10) t(i)")
+def backoff(spark, d):
+    return spark.range(1).select(F.posexplode(archive.backoff()).alias("attempt", "seconds"))
+
+
+# -- the whole plan ---------------------------------------------------------------------------
+@query("text_to_table")
+def whole_plan(spark, d):
+    return text_to_table(_table(spark, d, "documents").select("doc_id", "text"), Options(profile=P.MULTILINGUAL, theta=0.3))
