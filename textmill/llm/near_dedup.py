@@ -40,7 +40,7 @@ from . import textbuf
 from .common import materialise, set_apart
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 5, 5, 0.8
-PAIRED, CHUNK = 16, 256
+PAIRED, CHUNK = 16, 512
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -283,10 +283,10 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     if not large.isEmpty():
         chunk = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks"))
         dealt = place.join(large, "bucket").select("bucket", "node", "root", "chunks", chunk.alias("chunk"))
+        full = dealt.join(registers, "node").join(lists, "node")
         # every chunk meets every other once, and itself
         met = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("met")
-        dealt = dealt.select("*", met).select("bucket", "node", "root", F.least("chunk", "met").alias("low"), F.greatest("chunk", "met").alias("high"), (F.col("chunk") > F.col("met")).cast("int").alias("side"))
-        full = dealt.join(registers, "node").join(lists, "node")
+        full = full.select("*", met).select("bucket", "node", "root", "registers", "hashes", "counts", F.least("chunk", "met").alias("low"), F.greatest("chunk", "met").alias("high"), (F.col("chunk") > F.col("met")).cast("int").alias("side"))
         more = more.union(materialise(full.groupBy("bucket", "low", "high").applyInArrow(_chunk_pair(threshold, least, m), pair)))
     if not more.isEmpty():
         roots = components(first.union(more))
