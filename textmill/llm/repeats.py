@@ -7,17 +7,20 @@ to be told apart up to LENGTH bytes, so the sort is bounded to that depth:
 1. Sample. A difference cover D modulo PERIOD has, for any two positions i and j, a
    shift d < PERIOD with i + d and j + d both in the cover. So if two strings of LENGTH
    bytes are equal, then so are the strings of LENGTH - PERIOD + 1 bytes at two sampled
-   positions inside them. Sampled prefixes (12 of 133 positions) are named by 64-bit hashes,
-   dealt to buckets by name, sorted there, and names with equal neighbours are kept.
+   positions inside them. Sampled prefixes (12 of 133 positions) are named by hashes, dealt
+   to buckets by name, sorted there, and names with equal neighbours are repeated. Equal
+   whole texts are found in the same way.
 2. Merge the remaining suffixes. Only positions with a repeated sampled prefix within
-   PERIOD can start a repeated string; they get the name of their whole LENGTH bytes (64
+   PERIOD can start a repeated string; they get the name of their whole LENGTH bytes (56
    bits and the bucket of an independent hash), are dealt, sorted and compared likewise.
-3. Each block of documents gets back its repeated names and removes what they cover.
+   Of equal texts one block sends the names, as repeated; all of them lose all bytes.
+3. Each block of documents removes what its repeated names cover.
 
 Names move as packed arrays, one row per block and bucket, each name at most once per
 block however often it occurs, so a passage that all documents share costs a block
-eight bytes. Texts are dealt once, to blocks of about BLOCK_BYTES by a hash of id and
-text; the plan reuses that exchange in all three steps.
+a few bytes. Replies are one bit per name: a block sorts its names in the same way again.
+Texts are dealt once, to blocks of about BLOCK_BYTES by a hash of id and text; the plan
+reuses that exchange in all three steps.
 
 The recursion of the classic algorithm on triples is not needed at this depth: two
 rounds of names tell LENGTH bytes apart; README gives the figures that rule it out.
@@ -53,7 +56,7 @@ class Block:
         self.length = length
         self.period = PERIOD if length > PERIOD else 1
         self.sizes = np.diff(self.off)
-        self.hash = None
+        self.hash = self.second = None
 
     def _open(self, width: int) -> np.ndarray:
         """Positions from which ``width`` bytes of the same text follow."""
@@ -80,20 +83,24 @@ class Block:
             at = np.flatnonzero(wanted[rel % self.period] & self._open(width))
         return at, self._named(at, width)
 
-    def candidates(self, repeated: np.ndarray) -> np.ndarray:
-        """Positions whose LENGTH bytes may be repeated, given the repeated sampled names."""
-        at, names = self.sampled()
-        hit = at[_among(names, repeated)]
+    def candidates(self, hit: np.ndarray) -> np.ndarray:
+        """Positions whose LENGTH bytes may be repeated, given the sampled ones that are."""
         flag = np.zeros(len(self.data) + self.period + 1, np.int32)
         flag[hit + 1] = 1
         total = np.cumsum(flag, dtype=np.int32)
         n = len(self.data)
         return np.flatnonzero((total[self.period : n + self.period] > total[:n]) & self._open(self.length))
 
-    def named(self, repeated: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Candidate positions and the names of their LENGTH bytes."""
-        at = self.candidates(repeated)
-        return at, self._named(at, self.length)
+    def whole(self) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers and 128-bit names of the texts that are long enough to lose bytes."""
+        at = np.flatnonzero(self.sizes >= self.length)
+        a, b = self.off[:-1][at], self.off[1:][at]
+        return at, np.stack([self._named(a, b - a), self._other()(a, b)], axis=1)
+
+    def _other(self) -> textbuf.RangeHash:
+        if self.second is None:
+            self.second = textbuf.RangeHash(self.data, 11)
+        return self.second
 
     def removed(self, at: np.ndarray) -> np.ndarray:
         """The bytes covered by strings that start at ``at``."""
@@ -103,55 +110,125 @@ class Block:
         return np.cumsum(edge[:-1]) > 0
 
 
-def _among(names: np.ndarray, of: np.ndarray) -> np.ndarray:
-    """Which ``names`` are in the sorted array ``of``."""
-    if not len(of) or not len(names):
-        return np.zeros(len(names), bool)
-    return of[np.minimum(np.searchsorted(of, names), len(of) - 1)] == names
-
-
-def _all(column) -> np.ndarray:
-    """Names of several packed rows as one sorted array."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in column if x.is_valid]
-    return np.sort(np.concatenate(parts)) if parts else np.zeros(0, np.uint64)
-
-
-def _packed(block: int, names: np.ndarray, key: np.ndarray, buckets: int) -> pa.Table:
-    """Each distinct name once, with whether it occurs twice or more in the block."""
-    order = np.argsort(names)
-    names, key = names[order], key[order]
-    new = np.ones(len(names), bool)
-    new[1:] = names[1:] != names[:-1]
-    start = np.flatnonzero(new)
-    many = np.diff(np.append(start, len(names))) > 1
-    names, bucket = names[start], (key[start] % np.uint64(buckets)).astype(np.int64)
-    by = np.argsort(bucket, kind="stable")
-    names, many, bucket = names[by], many[by], bucket[by]
-    used, first = np.unique(bucket, return_index=True)
-    ends = np.append(first[1:], len(names))
-    parts = [slice(a, b) for a, b in zip(first, ends, strict=True)]
-    return pa.table({"bucket": pa.array(used, pa.int32()), "block": pa.array(np.full(len(used), block), pa.int32()), "names": textbuf.binary([names[p] for p in parts]), "many": textbuf.binary([many[p] for p in parts])})
-
-
-def _repeated(table: pa.Table) -> pa.Table:
-    """For each block of a bucket those of its names that occur twice or more in all."""
-    parts = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("names")]
-    many = np.concatenate([np.frombuffer(x.as_buffer(), bool) for x in table.column("many")])
-    names = np.concatenate(parts)
-    order = np.argsort(names)
-    names, many = names[order], many[order]
-    twice = np.zeros(len(names), bool)
-    same = names[1:] == names[:-1]
-    twice[1:] |= same
-    twice[:-1] |= same
-    keep = twice | many
-    owner = np.repeat(np.arange(len(parts)), [len(p) for p in parts])[order][keep]
-    names = names[keep]
-    by = np.argsort(owner, kind="stable")
-    owner, names = owner[by], names[by]
-    used, first = np.unique(owner, return_index=True)
-    ends = np.append(first[1:], len(names))
-    return pa.table({"block": table.column("block").take(pa.array(used, pa.int64())).combine_chunks(), "found": textbuf.binary([names[a:b] for a, b in zip(first, ends, strict=True)])})
+class Names:
+    """Distinct names of a block in their buckets, in an order that depends on them alone."""
+
+    def __init__(self, name: np.ndarray, bucket: np.ndarray, width: int):
+        """name: n x 1 or n x 2 values of ``width`` bytes each; bucket: n numbers."""
+        self.width = width
+        order = np.lexsort((*name.T[::-1], bucket))
+        name, bucket = name[order], bucket[order]
+        new = np.ones(len(name), bool)
+        new[1:] = (name[1:] != name[:-1]).any(axis=1) | (bucket[1:] != bucket[:-1])
+        self.index = np.empty(len(name), np.int64)  # the distinct name of each given one
+        self.index[order] = np.cumsum(new) - 1
+        start = np.flatnonzero(new)
+        self.times = np.diff(np.append(start, len(name)))
+        self.name, self.bucket = name[start], bucket[start]
+        self.used, first = np.unique(self.bucket, return_index=True)
+        self.parts = dict(zip(self.used.tolist(), map(slice, first, np.append(first[1:], len(start))), strict=True))
+
+    def rows(self, block: int, kind: int, many: np.ndarray) -> list[tuple]:
+        little = np.ascontiguousarray(self.name.astype("<u8")).view(np.uint8).reshape(len(self.name), -1, 8)[:, :, : self.width]
+        return [(b, block, kind, 0, little[p].tobytes(), np.packbits(many[p]).tobytes()) for b, p in self.parts.items()]
+
+    def flags(self, replies: dict[int, bytes], nth: int = 0) -> np.ndarray:
+        """A bit for each distinct name: the ``nth`` list of bits of its bucket's reply."""
+        out = np.zeros(len(self.name), bool)
+        for b, p in self.parts.items():
+            if b in replies:
+                n, size = p.stop - p.start, -(-(p.stop - p.start) // 8)
+                out[p] = np.unpackbits(np.frombuffer(replies[b][nth * size : (nth + 1) * size], np.uint8), count=n).astype(bool)
+        return out
+
+
+PACKED, FOUND = "bucket int, block int, kind int, source int, names binary, many binary", "block int, level int, bucket int, kind int, found binary"
+SAMPLED, WHOLE, MERGED = range(3)
+_WIDTHS = {SAMPLED: (5, 1), WHOLE: (8, 2), MERGED: (7, 1)}  # bytes of a part of a name, parts
+
+
+def _rows(rows: list[tuple], schema: str) -> pa.Table:
+    kinds = {"int": pa.int32(), "binary": pa.binary()}
+    fields = [f.split() for f in schema.split(", ")]
+    return pa.table({n: pa.array([r[i] for r in rows], kinds[k]) for i, (n, k) in enumerate(fields)})
+
+
+def _first_names(block: Block, buckets: int) -> tuple[np.ndarray, Names, np.ndarray, Names]:
+    at, name = block.sampled()
+    texts, whole = block.whole()
+    low = name & np.uint64(0xFFFFFF)
+    return at, Names((name >> np.uint64(24))[:, None], (low % np.uint64(buckets)).astype(np.int64), 5), texts, Names(whole, (whole[:, 0] % np.uint64(buckets)).astype(np.int64), 8)
+
+
+def _second_names(block: Block, replies: dict[int, dict[int, bytes]], few: int, many: int) -> tuple[np.ndarray, Names, np.ndarray, np.ndarray]:
+    """Positions to name, their names, which distinct names are known to be repeated, and
+    which texts are copies."""
+    at, sampled, texts, whole = _first_names(block, few)
+    found, answers = replies.get(SAMPLED, {}), replies.get(WHOLE, {})
+    twice = (whole.times > 1) | whole.flags(answers)
+    sends = whole.flags(answers, 1) | (twice & ~whole.flags(answers))
+    copy = np.zeros(len(block.sizes), bool)
+    copy[texts] = twice[whole.index]
+    speaks = np.zeros(len(block.sizes), bool)  # one text of each kind of copies
+    first = np.full(len(whole.name), -1)
+    first[whole.index[::-1]] = texts[::-1]
+    speaks[first[twice & sends]] = True
+    marks = np.zeros(len(block.data), bool)
+    marks[block.candidates(at[sampled.flags(found)[sampled.index]])] = True
+    marks &= ~np.repeat(copy, block.sizes)
+    marks |= np.repeat(speaks, block.sizes) & block._open(block.length)
+    at = np.flatnonzero(marks)
+    name = block._named(at, block.length)
+    names = Names((name >> np.uint64(8))[:, None], (block._other()(at, at + block.length) % np.uint64(many)).astype(np.int64), 7)
+    known = names.times > 1
+    known[names.index[np.repeat(speaks, block.sizes)[at]]] = True
+    return at, names, known, copy
+
+
+def _replies(table: pa.Table, level: int) -> dict[int, dict[int, bytes]]:
+    out: dict[int, dict[int, bytes]] = {}
+    for r in table.to_pylist():
+        if r["level"] == level:
+            out.setdefault(r["kind"], {})[r["bucket"]] = r["found"]
+    return out
+
+
+def _repeated(level: int):
+    """For each block of a bucket the bits of its names: whether they are repeated and, for whole
+    texts, whether the block is the first of those that have it."""
+
+    def run(table: pa.Table) -> pa.Table:
+        bucket, block, kind, source = (table.column(c).to_numpy() for c in ("bucket", "block", "kind", "source"))
+        if bucket[0] < 0:  # a block's own answers of the first step
+            return _rows([(int(b), 1, int(s), int(k), f) for b, s, k, f in zip(block, source, kind, table.column("names").to_pylist(), strict=True)], FOUND)
+        out = []
+        for k in np.unique(kind).tolist():
+            width, parts = _WIDTHS[k]
+            rows = np.flatnonzero(kind == k)
+            rows = rows[np.argsort(block[rows], kind="stable")]
+            raw = [np.frombuffer(table.column("names")[int(i)].as_buffer(), np.uint8).reshape(-1, width) for i in rows]
+            sizes = [len(r) // parts for r in raw]
+            wide = np.zeros((sum(map(len, raw)), 8), np.uint8)
+            wide[:, :width] = np.concatenate(raw)
+            name = wide.view("<u8").reshape(-1, parts)
+            many = np.concatenate([np.unpackbits(np.frombuffer(table.column("many")[int(i)].as_buffer(), np.uint8), count=n) for i, n in zip(rows, sizes, strict=True)]).astype(bool)
+            order = np.lexsort(name.T[::-1]) if parts > 1 else np.argsort(name[:, 0], kind="stable")
+            same = (name[order[1:]] == name[order[:-1]]).all(axis=1)
+            twice, leads = np.zeros(len(name), bool), np.ones(len(name), bool)
+            twice[order[1:]] |= same
+            twice[order[:-1]] |= same
+            leads[order[1:]] = ~same  # the sort is stable and the rows are in the order of blocks
+            twice |= many & (k != WHOLE)
+            at = 0
+            for i, n in zip(rows, sizes, strict=True):
+                part = slice(at, at + n)
+                at += n
+                if twice[part].any():
+                    found = np.packbits(twice[part]).tobytes() + (np.packbits(twice[part] & leads[part]).tobytes() if k == WHOLE else b"")
+                    out.append((int(block[i]), level, int(bucket[i]), k, found))
+        return _rows(out, FOUND)
+
+    return run
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
@@ -165,26 +242,25 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False)
     many = max(shuffle_partitions(spark), -(-total * 2 // BUCKET_BYTES))
     dealt = docs.withColumn("block", F.pmod(F.xxhash64(*[c for c in docs.columns if c in ("doc_id", "text")]), F.lit(blocks)).cast("int"))
     texts = dealt.groupBy("block")
-    packed, found = "bucket int, block int, names binary, many binary", "block int, found binary"
 
     def sampled(table: pa.Table) -> pa.Table:
-        _, names = Block(table.column("text"), length).sampled()
-        return _packed(table.column("block")[0].as_py(), names, names >> np.uint64(20), few)
-
-    def candidates(table: pa.Table, replies: pa.Table) -> pa.Table:
-        if not table.num_rows or not replies.num_rows:
-            return _packed(0, np.zeros(0, np.uint64), np.zeros(0, np.uint64), many)
-        block = Block(table.column("text"), length)
-        at, names = block.named(_all(replies.column("found")))
-        return _packed(table.column("block")[0].as_py(), names, textbuf.RangeHash(block.data, 11)(at, at + length), many)
+        number, block = table.column("block")[0].as_py(), Block(table.column("text"), length)
+        _, names, _, whole = _first_names(block, few)
+        return _rows(names.rows(number, SAMPLED, names.times > 1) + whole.rows(number, WHOLE, whole.times > 1), PACKED)
+
+    def merged(table: pa.Table, replies: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _rows([], PACKED)
+        number, block = table.column("block")[0].as_py(), Block(table.column("text"), length)
+        _, names, known, _ = _second_names(block, _replies(replies, 1), few, many)
+        own = [(-1 - number, number, r["kind"], r["bucket"], r["found"], b"") for r in replies.to_pylist()]
+        return _rows(names.rows(number, MERGED, known) + own, PACKED)
 
     def finish(table: pa.Table, replies: pa.Table) -> pa.Table:
         block = Block(table.column("text"), length)
-        gone = np.zeros(len(block.data), bool)
-        names = _all(replies.column("found")) if replies.num_rows else np.zeros(0, np.uint64)
-        if len(names):
-            at = np.flatnonzero(block._open(length))
-            gone = block.removed(at[_among(block._named(at, length), names)])
+        at, names, known, copy = _second_names(block, _replies(replies, 1), few, many)
+        repeated = known | names.flags(_replies(replies, 2).get(MERGED, {}))
+        gone = block.removed(at[repeated[names.index]]) | np.repeat(copy, block.sizes)
         counts, spans, kept = [], [], []
         for a, b in zip(block.off[:-1], block.off[1:], strict=True):
             part = gone[a:b]
@@ -196,11 +272,12 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False)
         out = table.drop_columns(["block", "text"])
         for name, value, kind in (("n_bytes", block.sizes, pa.int64()), ("n_removed", counts, pa.int64()), ("n_spans", spans, pa.int64()), ("kept", kept, pa.string() if as_text else pa.binary())):
             out = out.append_column(name, pa.array(value, kind))
+        textbuf.release()
         return out
 
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
-    first = texts.applyInArrow(sampled, packed).groupBy("bucket").applyInArrow(_repeated, found)
-    second = texts.cogroup(first.groupBy("block")).applyInArrow(candidates, packed).groupBy("bucket").applyInArrow(_repeated, found)
+    first = texts.applyInArrow(sampled, PACKED).groupBy("bucket").applyInArrow(_repeated(1), FOUND)
+    second = texts.cogroup(first.groupBy("block")).applyInArrow(merged, PACKED).groupBy("bucket").applyInArrow(_repeated(2), FOUND)
     return texts.cogroup(second.groupBy("block")).applyInArrow(finish, f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}".removeprefix(", "))
 
 
