@@ -5,7 +5,8 @@ runs of letters and digits as words. With A and B the sets of their word bigrams
 one-word text has its word), the coefficient is 2 |A and B| / (|A| + |B|). A template can
 only reach the threshold t for units with t / (2 - t) * |B| <= |A| <= (2 - t) / t * |B|, and so
 for a range of words: units outside every range are dropped before any bigram is made,
-and only templates whose range fits are compared.
+and only templates whose range fits are compared. A unit must also share so many bigrams
+with a template that it has one of a few of them; texts without any of these are left first.
 
 Everything is done in the row of the document; the templates are literals (a fixed list).
 Nulls: a null text has no units. A unit that fits several templates yields a row for
@@ -50,10 +51,18 @@ def size_range(size: int, t: float = THRESHOLD) -> tuple[int, int]:
     return ceil(t * size / (2 - t) - 1e-9), int((2 - t) * size / t + 1e-9)
 
 
-def _units(text: Column) -> Column:
-    """Normalised units of a text, from its lines and their sentences."""
+def must_share(grams: list[str], t: float = THRESHOLD) -> list[str]:
+    """Bigrams of which a unit that reaches ``t`` has one at least: all but the number it must
+    share, less one. The longest are taken, as the least likely to stand elsewhere."""
+    low, high = size_range(len(grams), t)
+    least = min(ceil(t * (n + len(grams)) / 2 - 1e-9) for n in range(max(low, 1), high + 1))
+    return sorted(grams, key=len, reverse=True)[: len(grams) - least + 1]
+
+
+def _normal(text: Column) -> Column:
+    """Units on lines of their own: lines and their sentences, in words apart by one space."""
     ends = F.regexp_replace(F.lower(text), "([.!?])[ \t]+", "$1\n")
-    return F.transform(F.split(ends, "\n"), lambda u: F.trim(F.regexp_replace(u, "[^a-z0-9]+", " ")))
+    return F.regexp_replace(ends, "[^a-z0-9\n]+", " ")
 
 
 def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRESHOLD) -> DataFrame:
@@ -61,7 +70,12 @@ def find_licenses(docs: DataFrame, templates=TEMPLATES, threshold: float = THRES
     known = [(i, name, bigrams(text)) for i, (name, text) in enumerate(templates)]
     ranges = [(*size_range(len(b), threshold), i) for i, _, b in known]
     fewest, most = min(r[0] for r in ranges), max(r[1] for r in ranges)
-    rows = docs.select("doc_id", F.posexplode(_units(F.coalesce("text", F.lit("")))).alias("unit", "said"))
+    hints = sorted({g for _, _, b in known for g in must_share(b, threshold)})
+    hint = f"(?:^|[ \n])(?:{'|'.join(hints)})(?![a-z0-9])"
+    normal = _normal(F.coalesce("text", F.lit("")))
+    rows = docs.select("doc_id", "text").where(normal.rlike(hint))
+    rows = rows.select("doc_id", F.posexplode(F.split(normal, "\n")).alias("unit", "said"))
+    rows = rows.where(F.col("said").rlike(hint)).withColumn("said", F.trim("said"))
     words = F.length("said") - F.length(F.replace("said", F.lit(" "), F.lit(""))) + 1
     # distinct bigrams are at most the words less one; repeats leave fewer, so only the lower bound prunes here
     rows = rows.where((F.col("said") != "") & (words > fewest - 1 + F.when(words > 1, 1).otherwise(0)))
