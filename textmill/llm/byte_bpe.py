@@ -1,11 +1,11 @@
 """Byte-level BPE by corpus-level merge replay.
 
-A task reads its share of the corpus in batches. The distinct pieces of a batch that the task
+A task reads its share of the corpus in batches. The distinct pieces of a batch that the worker
 has not met yet (pieces are the matches of the tokenizer's pattern) form the word list of
 a merge replay: an inverted index leads from each adjacent token pair to the positions
 where it stands, over all words at once. Merges are applied in rank order, each to all
 its positions, and only the pairs of touched neighbours are entered anew. Every piece
-is so encoded once for the task, and texts are read off the encoded pieces.
+is so encoded once for the worker, and texts are read off the encoded pieces.
 
 Pieces and their ids are kept for later batches, up to CACHE_PIECES of them, after which the
 cache starts anew; results do not depend on it. Very long texts are split by a scanner
@@ -99,7 +99,7 @@ def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
 
 
 class Encoder:
-    """Pieces of texts and their encodings, kept for one task."""
+    """Pieces of texts and their encodings."""
 
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, compiled(pattern)
@@ -118,7 +118,7 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known yet: (number of ids, ids as text, bytes)."""
         if len(self.known) > CACHE_PIECES:
-            self.known = {}
+            self.known = {p: self.known[p] for p in pieces if p in self.known}
         new = [p for p in pieces if p not in self.known]
         raw = [p.encode() for p in new]
         whole = {p: [self.ranks[b]] for p, b in zip(new, raw, strict=True) if b in self.ranks}
@@ -135,20 +135,34 @@ class Encoder:
             yield [known[p] for p in part]
 
 
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def encoder_of(ranks_path: str, pattern: str) -> Encoder:
+    """The encoder that a worker keeps from task to task."""
+    if (ranks_path, pattern) not in _encoders:
+        _encoders[ranks_path, pattern] = Encoder(load_ranks(ranks_path), pattern)
+    return _encoders[ranks_path, pattern]
+
+
 def _digests(ranks_path: str, pattern: str, text_column: str):
     def run(batches):
-        encoder = Encoder(load_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
         for whole in batches:
             for batch in textbuf.slices(whole, text_column):
+                # a long text may start the cache anew, so each is encoded after the short ones
                 texts = [t or "" for t in batch.column(text_column).to_pylist()]
-                encoder.learn({p for t in texts if len(t) <= LONG_TEXT for part in encoder.pieces(t) for p in part})
+                short = [encoder.pattern.findall(t) if len(t) <= LONG_TEXT else None for t in texts]
+                encoder.learn(set().union(*(p for p in short if p is not None)))
+                known = encoder.known
                 counts, ids_sums, text_sums = [], [], []
-                for text in texts:
+                for text, pieces in zip(texts, short, strict=True):
                     n, ids, raw, comma = 0, hashlib.sha256(), hashlib.sha256(), ""
-                    for part in encoder.encode(text):
-                        n += sum(x[0] for x in part)
-                        ids.update((comma + ",".join([x[1] for x in part])).encode())
-                        raw.update(b"".join([x[2] for x in part]))
+                    for part in encoder.encode(text) if pieces is None else [map(known.__getitem__, pieces)] if pieces else ():
+                        numbers, said, data = zip(*part, strict=True)
+                        n += sum(numbers)
+                        ids.update((comma + ",".join(said)).encode())
+                        raw.update(b"".join(data))
                         comma = ","
                     counts.append(n)
                     ids_sums.append(ids.hexdigest())
@@ -160,7 +174,7 @@ def _digests(ranks_path: str, pattern: str, text_column: str):
 
 def _ids(ranks_path: str, pattern: str):
     def run(batches):
-        encoder = Encoder(load_ranks(ranks_path), pattern)
+        encoder = encoder_of(ranks_path, pattern)
         for whole in batches:
             for batch in textbuf.slices(whole, "text"):
                 ids = []
