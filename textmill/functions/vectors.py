@@ -1,7 +1,5 @@
 """Vectors as array columns."""
 
-import hashlib
-
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column
@@ -20,11 +18,12 @@ def hashed_embedder(size: int = 64, n: int = 3):
     @F.pandas_udf(T.ArrayType(T.FloatType()))
     def embed(s: pd.Series) -> pd.Series:
         def one(t):
-            v = np.zeros(size)
-            t = f" {(t or '').lower()} "
-            for i in range(len(t) - n + 1):
-                h = int.from_bytes(hashlib.blake2b(t[i : i + n].encode(), digest_size=8).digest(), "little")
-                v[h % size] += 1 if h >> 63 else -1
+            code = np.frombuffer(f" {(t or '').lower()} ".encode("utf-32-le"), np.uint32).astype(np.uint64)
+            h = np.zeros(max(0, len(code) - n + 1), np.uint64)
+            for i in range(n):
+                h = (h ^ code[i : i + len(h)]) * np.uint64(0x9E3779B97F4A7C15)
+                h ^= h >> np.uint64(29)
+            v = np.bincount((h % np.uint64(size)).astype(int), np.where(h >> np.uint64(63), 1.0, -1.0), size)
             norm = np.linalg.norm(v)
             return (v / norm if norm else v).astype(np.float32)
 
