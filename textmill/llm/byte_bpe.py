@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import textbuf
 
-CACHE_PIECES, LONG_TEXT, SCAN = 400_000, 1 << 20, 1 << 16
+CACHE_PIECES, LONG_TEXT, SCAN = 1_000_000, 1 << 20, 1 << 16
 #: Fixed value: the characters of Unicode's White_Space property. The regex package's own
 #: class also has the separators 0x1C to 0x1F, which tiktoken's has not.
 WHITE_SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
