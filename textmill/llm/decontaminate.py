@@ -63,7 +63,10 @@ class Index:
     starts: np.ndarray
     items: np.ndarray
     impacts: np.ndarray
-    block_max: np.ndarray  # terms x blocks
+    block_starts: np.ndarray  # compressed rows over blocks: only blocks that hold the term
+    blocks: np.ndarray
+    block_max: np.ndarray
+    top: np.ndarray  # each term's highest impact, and 0 for unknown terms
     n_items: int
     tile: int
     halves: list[tuple[set, set]]
@@ -82,14 +85,23 @@ def build(texts: list[str], ids: list) -> Index:
     weight = idf[row] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * lengths[item] / max(1.0, lengths.mean() if len(lengths) else 1.0)))
     own = np.bincount(item, weight, minlength=len(texts))
     impact = weight / own[item]
-    block = np.zeros((len(terms) + 1, -(-len(texts) // BLOCK_ITEMS)), np.float32)  # the last row is for unknown terms
-    np.maximum.at(block, (row, item // BLOCK_ITEMS), np.nextafter(impact.astype(np.float32), np.float32(9)))
+    block = item // BLOCK_ITEMS
+    new = np.flatnonzero(np.append(True, (row[1:] != row[:-1]) | (block[1:] != block[:-1]))) if len(row) else np.zeros(0, np.int64)
+    block_max = np.maximum.reduceat(impact, new) if len(new) else np.zeros(0)
+    block_starts = np.searchsorted(row[new], np.arange(len(terms) + 1))
+    top = np.append(np.maximum.reduceat(block_max, block_starts[:-1]) if len(terms) else np.zeros(0), 0.0)
     halves = []
     for t in texts:
         w = plain_words(t)
         halves.append((_shingles(w[: -(-len(w) // 2)]), _shingles(w[-(-len(w) // 2) :])))
     starts = np.searchsorted(row, np.arange(len(terms) + 1))
-    return Index(terms, starts, item, impact, block, len(texts), max(1, int(lengths.max(initial=1))), halves, ids)
+    return Index(terms, starts, item, impact, block_starts, block[new], block_max, top, len(texts), max(1, int(lengths.max(initial=1))), halves, ids)
+
+
+def _entries(starts: np.ndarray, rows: np.ndarray) -> np.ndarray:
+    """Places of all entries of some compressed rows."""
+    size = starts[rows + 1] - starts[rows]
+    return np.repeat(starts[rows], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
 
 
 def search(index: Index, row: np.ndarray, doc: np.ndarray, least: float) -> list[tuple[int, int, int, float]]:
@@ -101,8 +113,7 @@ def search(index: Index, row: np.ndarray, doc: np.ndarray, least: float) -> list
     first = np.cumsum(count) - count
     begin = np.flatnonzero((np.arange(len(row)) - first[doc]) % index.tile == 0)
     # WAND's first test over all blocks at once, then the bound of each block
-    top = index.block_max.max(axis=1)
-    bound = np.add.reduceat(top[row], begin)
+    bound = np.add.reduceat(index.top[row], begin)
     owner = doc[begin]
     joined = bound.copy()
     follows = owner[1:] == owner[:-1]
@@ -113,14 +124,12 @@ def search(index: Index, row: np.ndarray, doc: np.ndarray, least: float) -> list
         end = ends[i + 1] if i + 1 < len(begin) and owner[i + 1] == owner[i] else ends[i]
         terms = np.unique(row[begin[i] : end])
         terms = terms[terms < len(index.terms)]
-        blocks = np.flatnonzero(index.block_max[terms].sum(axis=0, dtype=np.float64) >= least - 1e-6)
-        if not len(blocks):
+        at = _entries(index.block_starts, terms)
+        open_ = np.bincount(index.blocks[at], index.block_max[at], -(-index.n_items // BLOCK_ITEMS)) >= least - 1e-6
+        if not open_.any():
             continue
         scores = np.zeros(index.n_items)
-        open_ = np.zeros(index.block_max.shape[1], bool)
-        open_[blocks] = True
-        size = index.starts[terms + 1] - index.starts[terms]
-        at = np.repeat(index.starts[terms], size) + np.arange(size.sum()) - np.repeat(np.cumsum(size) - size, size)
+        at = _entries(index.starts, terms)
         at = at[open_[index.items[at] // BLOCK_ITEMS]]
         np.add.at(scores, index.items[at], index.impacts[at])
         found += [(int(begin[i]), int(end), int(j), float(scores[j])) for j in np.flatnonzero(scores >= least - 1e-9)]

@@ -40,7 +40,7 @@ from . import textbuf
 from .common import materialise, set_apart
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 5, 5, 0.8
-PAIRED, CHUNK = 16, 512
+PAIRED, CHUNK, HOT = 16, 512, 1000
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -212,6 +212,16 @@ def _chunk_pair(threshold: float, least: float, m: int):
     return run
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has each ``key`` once and in ``n`` its number of rows.
+    Keys with more than a share of 1 / HOT of all rows, fewer than HOT by their definition, are
+    broadcast, so their rows stay where they are; the others are shuffled."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > F.lit(total)
+    often, seldom = F.broadcast(keyed.where(hot).drop("n")), keyed.where(~hot).drop("n")
+    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
+
+
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``links`` (a, b); the root is the
     smallest node of its component. Rounds of hooking to the smallest neighbour, two
@@ -241,7 +251,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     text = F.coalesce(F.col("text"), F.lit(""))
     base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("node"))
     signed = materialise(base.mapInArrow(_signed(bands, rows, shingle), "doc_id long, node long, bands array<long>, registers binary"))
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"))
+    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
 
     pair = "a long, b long"
     held = signed.select("node", F.explode("bands").alias("bucket")).distinct()
@@ -249,7 +259,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     member = materialise(held.join(shared.select("bucket", "pivot"), "bucket"))
     least = threshold - 4.5 * (threshold * (1 - threshold) / m) ** 0.5
     active = member.select("node").distinct()
-    registers = materialise(signed.join(active, "node", "left_semi").groupBy("node").agg(F.first("registers").alias("registers")))
+    # copies are folded before the join, so that a text with many of them is not gathered in a task
+    registers = materialise(signed.groupBy("node").agg(F.first("registers").alias("registers")).join(active, "node", "left_semi"))
     lists = None
 
     def links(pairs: DataFrame) -> DataFrame:
@@ -258,7 +269,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
             pairs = pairs.join(registers.select(F.col("node").alias(end), F.col("registers").alias(f"registers_{end}")), end)
         pairs = materialise(pairs.select("a", "b", "registers_a", "registers_b").mapInArrow(_likely(least, m), pair))
         if lists is None:  # shingles of the texts that share a bucket: one row of each text
-            near = member.select("node").distinct().join(nodes, "node")
+            near = member.select("node").distinct().join(nodes.drop("n"), "node")
             lists = materialise(
                 base.join(near.select(F.col("node").alias("near"), "rep"), (F.col("node") == F.col("near")) & F.col("doc_id").eqNullSafe(F.col("rep")))
                 .select("node", "text").mapInArrow(_shingle_lists(shingle), "node long, hashes binary, counts binary").dropDuplicates(["node"])
@@ -282,7 +293,7 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
     large = sizes.where(F.col("count") > PAIRED).withColumn("chunks", F.ceil(F.col("count") / CHUNK))
     if not large.isEmpty():
         chunk = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks"))
-        dealt = place.join(large, "bucket").select("bucket", "node", "root", "chunks", chunk.alias("chunk"))
+        dealt = join_hot(place, large.withColumn("n", F.col("count")), "bucket").select("bucket", "node", "root", "chunks", chunk.alias("chunk"))
         full = dealt.join(registers, "node").join(lists, "node")
         # every chunk meets every other once, and itself
         met = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("met")
@@ -293,8 +304,8 @@ def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int
 
     ranked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ranked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = ranked.join(named, "root").select("node", "class_id")
-    return signed.select("doc_id", "node").join(classes, "node").select("doc_id", "node", "class_id")
+    classes = materialise(ranked.join(named, "root").select("node", "class_id", "n"))
+    return join_hot(signed.select("doc_id", "node"), classes, "node").select("doc_id", "node", "class_id")
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

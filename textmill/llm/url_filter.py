@@ -28,7 +28,7 @@ from .common import materialise
 
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-ORDER, STRENGTH, BROADCAST_WINDOWS, SALTS, STEPS = 4, 2.0, 400_000, 16, 100
+ORDER, STRENGTH, BROADCAST_WINDOWS, SALTS, STEPS, SHORT = 4, 2.0, 400_000, 16, 100, 2
 MARKS = ":/.?#=&-_%~+"
 SYMBOLS = 42
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -77,7 +77,10 @@ def _log_ratios(windows: DataFrame, counted: DataFrame) -> DataFrame:
         struct(substring(window, {ORDER} - k + 1, k + 1) AS gram, k AS size, true AS whole),
         struct(substring(window, {ORDER} - k + 1, k) AS gram, k AS size, false AS whole))))"""))
     rows = windows.select("window", need.alias("n")).select("window", F.col("n.gram").alias("gram"), "n.size", "n.whole")
-    rows = rows.join(seen, "gram", "left")
+    # a gram of three symbols or more is sought by a few thousand windows at most, a shorter one by up
+    # to all of them; there are fewer than 2,000 of the latter, which are broadcast
+    is_short = F.length("gram") <= SHORT
+    rows = rows.where(is_short).join(F.broadcast(seen.where(is_short)), "gram", "left").unionByName(rows.where(~is_short).join(seen.where(~is_short), "gram", "left"))
     picked = []
     for k in range(ORDER + 1):
         for kind in ("good", "bad"):
