@@ -6,10 +6,11 @@ the toxic and of the other training texts; a regularised logistic regression is
 trained on the scaled features. Features seen in fewer than MIN_TEXTS training texts are
 dropped. The score is the logistic of bias + sum of the weights of the n-grams present.
 
-Training reads a bounded sample of the labelled texts: of each label at most SAMPLE texts,
-those with the lowest hash of their id, and of each at most SAMPLE_BYTES bytes spread over the
-text; it runs in one task. The model has at most 2 ** BITS weights. Scoring reads every
-text whole, with no shuffle.
+Training reads a bounded sample of the labelled texts, whole: of each label about SAMPLE texts,
+those with the lowest hash of their id. They are written once; one task counts their features slice
+by slice, all tasks then list the wanted features of each text, and one task fits the weights to
+these lists. No task holds more text than a slice or a single text. The model has at most 2 ** BITS
+weights. Scoring reads every text whole, with no shuffle.
 
 Nulls: a null text is an empty one and gets the bias alone; rows without a label or an id
 are not trained on. Without examples of both classes the score is the share of toxic examples (0
@@ -22,8 +23,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
+from .common import materialise
 
-BITS, LENGTHS, SAMPLE, SAMPLE_BYTES, MIN_TEXTS = 22, (3, 5, 7, 9), 2000, 10_000, 6
+BITS, LENGTHS, SAMPLE, MIN_TEXTS = 22, (3, 5, 7, 9), 2000, 6
 RIDGE, STEPS, ALPHA, LEAST_RATIO = 2.0, 300, 1.0, 1.5
 
 
@@ -65,63 +67,80 @@ def _features(column, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.
     return (keys >> np.uint64(BITS)).astype(np.int64), (keys & np.uint64((1 << BITS) - 1)).astype(np.int64)
 
 
-def train(column, labels: np.ndarray) -> tuple[np.ndarray, np.ndarray, float]:
-    """Features, their weights and the bias."""
-    n, toxic = len(labels), labels.astype(float)
-    share = float(toxic.mean()) if n else 0.0
-    if share in (0.0, 1.0):
-        return np.zeros(0, np.int64), np.zeros(0), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
-    parts = list(textbuf.slices(pa.record_batch([column], ["text"]), "text"))
-    ends = np.cumsum([0, *[x.num_rows for x in parts]])
-    seen = [np.zeros(1 << BITS, np.int32), np.zeros(1 << BITS, np.int32)]
-    for part, at in zip(parts, ends[:-1], strict=True):
+def _parts(batches):
+    for batch in batches:
+        for part in textbuf.slices(batch, "text"):
+            yield part, part.column("toxic").to_numpy(zero_copy_only=False)
+
+
+def _counter(batches):
+    """The wanted features and their log-count ratios."""
+    seen, texts = np.zeros((2, 1 << BITS), np.int32), np.zeros(2)
+    for part, toxic in _parts(batches):
         row, feature = _features(part.column("text"))
         for label in (0, 1):
-            seen[label] += np.bincount(feature[toxic[at + row] == label], minlength=1 << BITS).astype(np.int32)
-    p = (ALPHA + seen[1]) / (2 * ALPHA + toxic.sum())
-    q = (ALPHA + seen[0]) / (2 * ALPHA + n - toxic.sum())
+            seen[label] += np.bincount(feature[toxic[row] == label], minlength=1 << BITS).astype(np.int32)
+            texts[label] += np.count_nonzero(toxic == label)
+    p, q = ((ALPHA + seen[label]) / (2 * ALPHA + texts[label]) for label in (1, 0))
     ratio = np.log(p / q)
-    wanted = (seen[0] + seen[1] >= MIN_TEXTS) & (np.abs(ratio) > LEAST_RATIO)  # the others move no score by much
-    used = np.flatnonzero(wanted)
-    if not len(used):
-        return used, np.zeros(0), float(np.log(share / (1 - share)))
-    found = [_features(part.column("text"), wanted) for part in parts]
-    row = np.concatenate([r + at for (r, _), at in zip(found, ends[:-1], strict=True)])
-    at = np.searchsorted(used, np.concatenate([f for _, f in found]))
-    scale = ratio[used]
+    used = np.flatnonzero((seen.sum(axis=0) >= MIN_TEXTS) & (np.abs(ratio) > LEAST_RATIO))  # the others move no score by much
+    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(ratio[used])], ["feature", "ratio"])
+
+
+def _lister(used: np.ndarray):
+    """Each text's wanted features, as places in ``used``."""
+    wanted = np.zeros(1 << BITS, bool)
+
+    def run(batches):
+        wanted[used] = True
+        for part, _ in _parts(batches):
+            row, feature = _features(part.column("text"), wanted)
+            at = np.searchsorted(used, feature).astype(np.int32)
+            ends = np.searchsorted(row, np.arange(part.num_rows + 1))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("toxic"), textbuf.binary([at[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)])], ["doc_id", "toxic", "places"])
+
+    return run
+
+
+def optimise(row: np.ndarray, at: np.ndarray, toxic: np.ndarray, ratio: np.ndarray, ridge: float = RIDGE) -> tuple[np.ndarray, float]:
+    """Weights (scales included) and bias of the logistic regression on the pairs of text and feature."""
+    n, k, share = len(toxic), len(ratio), float(toxic.mean()) if len(toxic) else 0.0
+    if share in (0.0, 1.0):
+        return np.zeros(k), float(np.log((share + 1e-6) / (1 - share + 1e-6)))
     # the last column is the bias, which is not regularised
-    k = len(used)
-    row, at, values = np.append(row, np.arange(n)), np.append(at, np.full(n, k)), np.append(scale[at], np.ones(n))
-    ridge = np.append(np.full(k, RIDGE), 0.0)
+    row, at, values = np.append(row, np.arange(n)), np.append(at, np.full(n, k)), np.append(ratio[at], np.ones(n))
+    penalty = np.append(np.full(k, ridge), 0.0)
     along = np.ones(k + 1)
     for _ in range(15):  # the largest curvature, by power iteration
         along = np.bincount(at, np.bincount(row, along[at] * values, n)[row] * values, k + 1)
         curve = np.linalg.norm(along)
         along /= curve
-    step = 1 / (0.3 * curve + RIDGE)
+    step = 1 / (0.3 * curve + ridge)
     weights = np.append(np.zeros(k), np.log(share / (1 - share)))
     before = weights
     for i in range(1, STEPS + 1):  # accelerated gradient descent on the logistic loss
         w = weights + (i - 1) / (i + 2) * (weights - before)
         miss = 1 / (1 + np.exp(-np.bincount(row, w[at] * values, n))) - toxic
         before = weights
-        weights = w - step * (np.bincount(at, miss[row] * values, k + 1) + ridge * w)
-    bias, weights = float(weights[k]), weights[:k]
-    return used, weights * scale, bias
+        weights = w - step * (np.bincount(at, miss[row] * values, k + 1) + penalty * w)
+    return weights[:k] * ratio, float(weights[k])
 
 
-def _trainer(batches):
-    texts, labels = [], []
-    for batch in batches:
-        texts.append(batch.column("text"))
-        labels.append(batch.column("toxic").to_numpy(zero_copy_only=False))
-    text = pa.concat_arrays(texts) if texts else pa.array([], pa.string())
-    used, weights, bias = train(text, np.concatenate(labels) if labels else np.zeros(0))
-    yield pa.RecordBatch.from_arrays([pa.array([-1, *used.tolist()], pa.int64()), pa.array([bias, *weights.tolist()], pa.float64())], ["feature", "weight"])
+def _trainer(ratio: np.ndarray):
+    def run(batches):
+        toxic, places = [np.zeros(0)], [np.zeros(0, np.int32)]
+        for batch in batches:
+            toxic.append(batch.column("toxic").to_numpy(zero_copy_only=False))
+            places += [np.frombuffer(x.as_buffer(), np.int32) for x in batch.column("places")]
+        row = np.repeat(np.arange(len(places) - 1), [len(x) for x in places[1:]])
+        weights, bias = optimise(row, np.concatenate(places), np.concatenate(toxic), ratio)
+        yield pa.RecordBatch.from_arrays([pa.array(np.append(-1, np.arange(len(ratio))), pa.int64()), pa.array(np.append(bias, weights))], ["place", "weight"])
+
+    return run
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
-    """The model from (doc_id, text) and (doc_id, toxic)."""
+    """Features, their weights and the bias, from (doc_id, text) and (doc_id, toxic)."""
     order = F.xxhash64("doc_id")
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct()
     # the hash bound that leaves about SAMPLE of each label, without ordering all in one task
@@ -129,13 +148,16 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     bound = F.lit(0.0)
     for label, n in counts.items():
         bound = F.when(F.col("toxic") == label, min(1.0, SAMPLE / n)).otherwise(bound)
-    few = known.where((order.cast("double") / 2.0**64 + 0.5) <= bound).limit(4 * SAMPLE)
-    piece = F.expr(f"CASE WHEN octet_length(text) > {SAMPLE_BYTES} THEN array_join(transform(sequence(0, 9), i -> substring(text, cast(1 + i * (length(text) - {SAMPLE_BYTES // 10}) / 9 as int), {SAMPLE_BYTES // 10})), ' ') ELSE text END")
-    rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id").select(piece.alias("text"), F.col("toxic").cast("long").alias("toxic"), "doc_id")
-    model = rows.repartition(1).sortWithinPartitions("doc_id", "text").mapInArrow(_trainer, "feature long, weight double").toPandas()
-    bias = float(model.weight[model.feature < 0].sum())
-    model = model[model.feature >= 0].sort_values("feature")
-    return model.feature.to_numpy(np.int64), model.weight.to_numpy(float), bias
+    few = known.where((order.cast("double") / 2.0**64 + 0.5) <= bound)
+    rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
+    rows = materialise(rows.select("doc_id", F.col("toxic").cast("long").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")))
+    found = rows.coalesce(1).mapInArrow(_counter, "feature long, ratio double").toPandas().sort_values("feature")
+    used, ratio = found.feature.to_numpy(np.int64), found.ratio.to_numpy(float)
+    lists = rows.mapInArrow(_lister(used), "doc_id long, toxic long, places binary")
+    model = lists.repartition(1).sortWithinPartitions("doc_id", "places").mapInArrow(_trainer(ratio), "place long, weight double").toPandas().sort_values("place")
+    if not len(model):  # no texts, so no task
+        return used, np.zeros(len(used)), optimise(used, used, np.zeros(0), ratio)[1]
+    return used, model.weight.to_numpy(float)[1:], float(model.weight.iloc[0])
 
 
 def _scorer(model):
