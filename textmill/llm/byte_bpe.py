@@ -8,7 +8,7 @@ its positions, and only the pairs of touched neighbours are entered anew. Every
 is so encoded once for the worker, and texts are read off the encoded pieces.
 
 Pieces and their ids are kept for later batches, up to CACHE_PIECES of them, after which the
-cache starts anew; results do not depend on it. Very long texts are split by a scanner
+half met first stays; results do not depend on it. Very long texts are split by a scanner
 that never holds all matches. Decoding goes from the ids back to bytes.
 
 Nulls: a null text counts as empty and has no ids. Repeated rows are encoded alike. Other
@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 
 from . import textbuf
 
-CACHE_PIECES, LONG_TEXT, SCAN = 1_000_000, 1 << 20, 1 << 16
+CACHE_PIECES, LONG_TEXT, SCAN = 400_000, 1 << 20, 1 << 16
 #: Fixed value: the characters of Unicode's White_Space property. The regex package's own
 #: class also has the separators 0x1C to 0x1F, which tiktoken's has not.
 WHITE_SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -118,7 +118,9 @@ class Encoder:
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known yet: (number of ids, ids as text, bytes)."""
         if len(self.known) > CACHE_PIECES:
-            self.known = {p: self.known[p] for p in pieces if p in self.known}
+            kept = dict(islice(self.known.items(), CACHE_PIECES // 2))  # those met first are mostly the frequent ones
+            kept.update((p, self.known[p]) for p in pieces if p in self.known)
+            self.known = kept
         new = [p for p in pieces if p not in self.known]
         raw = [p.encode() for p in new]
         whole = {p: [self.ranks[b]] for p, b in zip(new, raw, strict=True) if b in self.ranks}
