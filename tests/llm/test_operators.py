@@ -53,6 +53,19 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert got == brute.classes(rows)
 
 
+def test_chunks_are_compared_in_any_row_order():
+    import numpy as np
+    import pyarrow as pa
+
+    hashes = np.arange(100, dtype=np.uint64)
+    for side in ([1, 1, 0, 0], [0, 0, 1, 1], [1, 0, 1, 0], [0, 0, 0, 0]):
+        n = len(side)
+        table = pa.table({"node": pa.array(range(n), pa.int64()), "root": pa.array(range(n), pa.int64()), "side": pa.array(side, pa.int32()), "registers": [b"x" * 120] * n, "hashes": [hashes.tobytes()] * n, "counts": [b""] * n})
+        got = near_dedup._chunk_pair(0.8, 0.6, 120)(table).to_pylist()
+        assert len(got) == n - 1, side  # all texts are alike, so all become one component
+        assert not any(side) or all(side[x["a"]] == 0 and side[x["b"]] == 1 for x in got)
+
+
 def test_empty_tables(spark):
     none = docs_of(spark, [])
     assert near_dedup.near_duplicates(none).count() == 0

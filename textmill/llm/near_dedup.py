@@ -190,7 +190,8 @@ def _chunk_pair(threshold: float, least: float, m: int):
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, m)
         hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
         counts = [np.frombuffer(c, np.int64).astype(float) if c else np.ones(len(h)) for c, h in zip(table.column("counts").to_pylist(), hashes, strict=True)]
-        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if side.any() else (np.arange(len(node)),) * 2
+        across = side.any()  # two chunks: their rows come in any order
+        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(len(node)),) * 2
         parent = {r: r for r in root.tolist()}
 
         def top(r: int) -> int:
@@ -200,7 +201,7 @@ def _chunk_pair(threshold: float, least: float, m: int):
 
         out = []
         for i in one:
-            others = two[(two > i) & (root[two] != root[i])]
+            others = two[(across | (two > i)) & (root[two] != root[i])]
             likely = others[(registers[others] == registers[i]).mean(axis=1) >= least]
             for j in likely:
                 a, b = top(int(root[i])), top(int(root[j]))
