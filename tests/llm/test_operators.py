@@ -215,6 +215,27 @@ def test_licenses(spark):
     assert got == want and {(r[0], r[3]) for r in got} == {(1, "Apache-2.0"), (2, "MIT"), (2, "proprietary"), (4, "proprietary")}
 
 
+def test_licence_texts_and_wrapped_notices(spark):
+    import textwrap
+
+    texts = {}
+    for name, text in licenses.full_texts():
+        texts[name] = max(text, texts.get(name, ""), key=len)
+    headers = [(n, t) for n, t in licenses.full_texts() if len(t) < 1500]
+    rows = [(i, "Some code.\n\n" + textwrap.fill(t, 60) + "\n\nThe end of it.") for i, t in enumerate(texts.values())]
+    rows += [(50 + i, " ".join(prose(i, 90)) + "\n" + t + "\n" + " ".join(prose(70 + i, 90))) for i, (_, t) in enumerate(headers)]
+    rows += [(90, "Some code. Released under\nthe MIT License."), (91, "Released under the MIT License.\n" * 3), (92, "\n".join(prose(9, 300)))]
+    rows += [(93, (texts["MIT"] + "\n" + " ".join(prose(3, 400)) + "\n") * 2), *EDGES]
+    got = [tuple(r) for r in licenses.find_licenses(docs_of(spark, rows)).collect()]
+    found = {(r[0], r[3]) for r in got}
+    assert {(i, n) for i, n in enumerate(texts)} <= found
+    assert {(50 + i, n) for i, (n, _) in enumerate(headers)} <= found
+    assert [r[1:4] for r in got if r[0] == 90] == [(1, 1, "MIT")]
+    assert sorted(r[1:3] for r in got if r[0] == 91) == [(0, 1), (1, 1), (2, 1)]
+    assert not [r for r in got if r[0] == 92 or r[0] >= 100]
+    assert len({r[1] for r in got if r[0] == 93 and r[2] >= len(licenses.TEMPLATES)}) == 2
+
+
 def test_byte_bpe(spark):
     path = public_tokenizers.path(queries.RANKS)
     with open(path, "rb") as f:
