@@ -122,6 +122,15 @@ def test_decontamination(spark):
     assert {x.doc_id for x in left.collect()} == {i for i, _ in rows} - {i for i, _ in pairs}
 
 
+def test_altered_items_are_found(spark):
+    w = prose(77, 38, 500)
+    items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
+    rows = [(i, " ".join(prose(800 + i, 90, 500)) + " " + changed(w, i) + " " + " ".join(prose(900 + i, 40, 500))) for i in range(38)]
+    rows += [(50, " ".join(prose(999, 90, 500) + w[:19])), (51, " ".join(prose(998, 90, 500) + w[:26]))]
+    found = {x.doc_id for x in decontaminate.contaminated(docs_of(spark, rows), items).collect()}
+    assert found == set(range(38))  # one altered word anywhere; not the question alone, or with a third of the answer
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     rows = [(i, " ".join(prose(i, 60, 300) + (["vilegrub", "zorkface"] if i % 4 == 0 else []))) for i in range(400)]

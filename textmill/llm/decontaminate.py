@@ -12,7 +12,8 @@ skipped where it stays below the threshold, and only items of the other blocks a
 scored exactly. Bounds count repeated words twice, which only raises them. All retrieved pairs
 are then verified on casefolded words: an item's text is split into a question (its first
 half) and an answer (its second), and both must overlap: at least ``overlap`` of the five-word
-shingles of each half lie in the passage.
+shingles of each half lie in the passage, or of those of the whole item (across its middle too) with
+at least ``floor`` of each half's, so that an altered word in a short half does not hide an item.
 
 The index is sent to the executors in parts of at most MAX_INDEX_ITEMS items, with one
 pass over the documents for each part, so that its size is bounded for any benchmark.
@@ -34,7 +35,7 @@ from pyspark.sql import functions as F
 from . import textbuf
 from .common import set_apart
 
-SCORE, OVERLAP, SHINGLE, BLOCK_ITEMS, MAX_INDEX_ITEMS = 0.5, 0.8, 5, 8, 20_000
+SCORE, OVERLAP, FLOOR, SHINGLE, BLOCK_ITEMS, MAX_INDEX_ITEMS = 0.5, 0.8, 0.3, 5, 8, 20_000
 K1, B = 1.2, 0.75
 _IS_WORD = np.zeros(256, bool)
 _IS_WORD[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = True
@@ -69,7 +70,7 @@ class Index:
     top: np.ndarray  # each term's highest impact, and 0 for unknown terms
     n_items: int
     tile: int
-    halves: list[tuple[set, set]]
+    halves: list[tuple[set, set, set]]  # the question's shingles, the answer's and the whole item's
     ids: list
 
 
@@ -93,7 +94,7 @@ def build(texts: list[str], ids: list) -> Index:
     halves = []
     for t in texts:
         w = plain_words(t)
-        halves.append((_shingles(w[: -(-len(w) // 2)]), _shingles(w[-(-len(w) // 2) :])))
+        halves.append((_shingles(w[: -(-len(w) // 2)]), _shingles(w[-(-len(w) // 2) :]), _shingles(w)))
     starts = np.searchsorted(row, np.arange(len(terms) + 1))
     return Index(terms, starts, item, impact, block_starts, block[new], block_max, top, len(texts), max(1, int(lengths.max(initial=1))), halves, ids)
 
@@ -136,7 +137,7 @@ def search(index: Index, row: np.ndarray, doc: np.ndarray, least: float) -> list
     return found
 
 
-def _matches(index: Index, least: float, overlap: float):
+def _matches(index: Index, least: float, overlap: float, floor: float):
     def run(batches):
         for whole in batches:
             for batch in textbuf.slices(whole, "text"):
@@ -153,10 +154,11 @@ def _matches(index: Index, least: float, overlap: float):
                     have = _shingles(words)
                     # a half of under five words is sought as a run of words
                     joined = " " + " ".join(words) + " "
-                    share = [len(h & have) / len(h) if h and len(next(iter(h))) == SHINGLE else float(bool(h) and " " + " ".join(next(iter(h))) + " " in joined) for h in index.halves[item]]
+                    share = [len(h & have) / len(h) if h and len(next(iter(h))) == SHINGLE else float(bool(h) and " " + " ".join(next(iter(h))) + " " in joined) for h in index.halves[item][:2]]
                     if not index.halves[item][1]:
                         share[1] = share[0]
-                    if min(share) >= overlap - 1e-9:
+                    every = index.halves[item][2]
+                    if min(share) >= overlap - 1e-9 or (min(share) >= floor - 1e-9 and len(every & have) >= overlap * len(every) - 1e-9):
                         at = (int(doc[a]), item)
                         best[at] = max(best.get(at, (0.0, 0.0, 0.0)), (score, *share))
                 keys = sorted(best)
@@ -167,7 +169,7 @@ def _matches(index: Index, least: float, overlap: float):
     return run
 
 
-def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, overlap: float = OVERLAP) -> DataFrame:
+def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, overlap: float = OVERLAP, floor: float = FLOOR) -> DataFrame:
     """(doc_id, item_id, score, question_overlap, answer_overlap) for each document that holds an item."""
     texts = items.select("item_id", "text").where("text is not null").distinct().orderBy("item_id", "text")
     out, part = None, []
@@ -175,7 +177,7 @@ def contaminated(docs: DataFrame, items: DataFrame, score: float = SCORE, overla
     def add(part):
         nonlocal out
         index = build([r["text"] for r in part], [r["item_id"] for r in part])
-        found = docs.select("doc_id", "text").mapInArrow(_matches(index, score, overlap), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
+        found = docs.select("doc_id", "text").mapInArrow(_matches(index, score, overlap, floor), "doc_id long, item_id long, score double, question_overlap double, answer_overlap double")
         found = found.withColumns({c: F.round(c, 6) for c in ("score", "question_overlap", "answer_overlap")})
         out = found if out is None else out.unionAll(found)
 
