@@ -131,6 +131,16 @@ def test_altered_items_are_found(spark):
     assert found == set(range(38))  # one altered word anywhere; not the question alone, or with a third of the answer
 
 
+def test_toxicity_keeps_the_natural_share(spark, monkeypatch):
+    r = random.Random(1)
+    rows = [(i, "the same plain text" + (" vilegrub" if r.random() < (0.9 if i % 10 == 0 else 0.1) else "")) for i in range(1000)]
+    labels = spark.createDataFrame([(i, int(i % 10 == 0)) for i, _ in rows], "doc_id long, toxic int")
+    df = docs_of(spark, rows)
+    whole = toxicity.fit(df, labels)[2]
+    monkeypatch.setattr(toxicity, "SAMPLE", 50)
+    assert abs(toxicity.fit(df, labels)[2] - whole) < 1.0  # about 50 : 50 sampled of 100 : 900
+
+
 def test_toxicity(spark):
     r = random.Random(1)
     rows = [(i, " ".join(prose(i, 60, 300) + (["vilegrub", "zorkface"] if i % 4 == 0 else []))) for i in range(400)]

@@ -7,7 +7,8 @@ trained on the scaled features. Features seen in fewer than MIN_TEXTS training t
 dropped. The score is the logistic of bias + sum of the weights of the n-grams present.
 
 Training reads a bounded sample of the labelled texts, whole: of each label about SAMPLE texts,
-those with the lowest hash of their id. They are written once; one task counts their features slice
+those with the lowest hash of their id. The bias is shifted by the log of the two labels' sampling
+rates, so that the score keeps the labels' natural share at any size. They are written once; one task counts their features slice
 by slice, all tasks then list the wanted features of each text, and one task fits the weights to
 these lists. No task holds more text than a slice or a single text. The model has at most 2 ** BITS
 weights. Scoring reads every text whole, with no shuffle.
@@ -146,8 +147,10 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     # the hash bound that leaves about SAMPLE of each label, without ordering all in one task
     counts = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
     bound = F.lit(0.0)
-    for label, n in counts.items():
-        bound = F.when(F.col("toxic") == label, min(1.0, SAMPLE / n)).otherwise(bound)
+    rates = {label: min(1.0, SAMPLE / n) for label, n in counts.items()}
+    for label, rate in rates.items():
+        bound = F.when(F.col("toxic") == label, rate).otherwise(bound)
+    shift = float(np.log(rates.get(0, 1.0) / rates.get(1, 1.0))) if len(rates) > 1 else 0.0
     few = known.where((order.cast("double") / 2.0**64 + 0.5) <= bound)
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
     rows = materialise(rows.select("doc_id", F.col("toxic").cast("long").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")))
@@ -157,7 +160,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     model = lists.repartition(1).sortWithinPartitions("doc_id", "places").mapInArrow(_trainer(ratio), "place long, weight double").toPandas().sort_values("place")
     if not len(model):  # no texts, so no task
         return used, np.zeros(len(used)), optimise(used, used, np.zeros(0), ratio)[1]
-    return used, model.weight.to_numpy(float)[1:], float(model.weight.iloc[0])
+    return used, model.weight.to_numpy(float)[1:], float(model.weight.iloc[0]) + shift
 
 
 def _scorer(model):
