@@ -111,6 +111,16 @@ def test_bootstrap_indices(spark):
     assert (int(0.025 * 10_000), int(0.975 * 10_000) - 1) == (250, 9749)
 
 
+def test_draws_reach_every_row_of_a_large_table(spark):
+    n = 6_000_000
+    draws = spark.range(2 * n).select(statistics.draw(F.expr(f"id div {n}"), F.col("id") % n, n).alias("i"))
+    most, least, distinct = draws.agg(F.max("i"), F.min("i"), F.approx_count_distinct("i", 0.01)).first()
+    assert 0 <= least < 100 and n - 100 < most < n
+    assert abs(distinct / n - 0.865) < 0.04  # 1 - exp(-2) of the rows in two resamples
+    one = spark.range(20_000).select(statistics.draw(F.lit(3), F.col("id"), 20_000).alias("i")).distinct().count()
+    assert abs(one / 20_000 - 0.632) < 0.02  # with replacement
+
+
 def test_article_page():
     body = "Мәтін " * 30
     page = f'<html><head><meta name="description" content="ab"></head><body><nav>menu</nav><h1 class="entry-title">T</h1><span class="author">A</span><div class="content"><script>x</script><p>{body}</p></div><i class="category">C</i></body></html>'

@@ -7,10 +7,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 SCALE = 1_000_003
+#: Up to so many rows indices are drawn modulo SCALE; more would feel that it has too few values.
+SMALL = 10_000
 
 
 def draw(b: Column, j: Column, n: int, seed: int = 42) -> Column:
-    """Row index of draw j in resample b: integer arithmetic that any engine can repeat."""
+    """Row index of draw j in resample b: integer arithmetic that any engine can repeat, and
+    for more than SMALL rows a 63-bit hash, whose range far exceeds any number of rows."""
+    if n > SMALL:
+        return F.xxhash64(b, j, F.lit(seed)).bitwiseAND(F.lit(2**63 - 1)) % n
     x = (b * 7919 + j * 104_729 + seed * 15_485_863) % SCALE
     return ((x * x + x * 31 + 17) % SCALE * 2_654_435 % SCALE) % n
 
