@@ -121,6 +121,14 @@ def test_draws_reach_every_row_of_a_large_table(spark):
     assert abs(one / 20_000 - 0.632) < 0.02  # with replacement
 
 
+def test_pivot_of_all_documents(spark, data):
+    from textmill import registry
+
+    rows = registry.QUERIES["static_pivot_all"](spark, data)
+    users = spark.read.parquet(f"{data}/events.parquet").select("user_id").distinct()
+    assert sorted((r.doc_id, r.subject) for r in rows.collect()) == sorted((r.user_id % 50, f"u{r.user_id}") for r in users.collect())
+
+
 def test_article_page():
     body = "Мәтін " * 30
     page = f'<html><head><meta name="description" content="ab"></head><body><nav>menu</nav><h1 class="entry-title">T</h1><span class="author">A</span><div class="content"><script>x</script><p>{body}</p></div><i class="category">C</i></body></html>'

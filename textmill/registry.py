@@ -86,8 +86,16 @@ def static_table(spark, d):
 
 @query("static_pivot", f"WITH {_TUPLES}, w AS (SELECT subject, predicate, arg_max(obj, tuple_ord) AS obj FROM t WHERE doc_id = 1 GROUP BY ALL) PIVOT w ON predicate IN ('click', 'purchase', 'view') USING max(obj) GROUP BY subject")
 def dynamic_pivot(spark, d):
-    t = event_tuples(spark, d).where("doc_id = 1")
-    return t.groupBy("subject").pivot("predicate", ["click", "purchase", "view"]).agg(F.max_by("obj", "tuple_ord"))
+    return pivoted(event_tuples(spark, d).where("doc_id = 1"), "subject")
+
+
+def pivoted(t: DataFrame, *keys: str) -> DataFrame:
+    return t.groupBy(*keys).pivot("predicate", ["click", "purchase", "view"]).agg(F.max_by("obj", "tuple_ord"))
+
+
+@query("static_pivot_all", f"WITH {_TUPLES}, w AS (SELECT doc_id, subject, predicate, arg_max(obj, tuple_ord) AS obj FROM t GROUP BY ALL) PIVOT w ON predicate IN ('click', 'purchase', 'view') USING max(obj) GROUP BY doc_id, subject")
+def static_pivot_all(spark, d):
+    return pivoted(event_tuples(spark, d), "doc_id", "subject")
 
 
 @query("majority_vote", """WITH s AS (SELECT user_id AS cluster_id, event_type AS completion, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS sample_no FROM events),
