@@ -168,6 +168,16 @@ def test_chat_layouts_and_digests(spark, data):
     assert got == want
 
 
+def test_turns_without_a_number(spark, tmp_path):
+    rows = [(1, 1, "assistant", "b"), (1, None, "user", "late"), (1, 0, "user", "a"), (1, None, None, "x"), (2, None, "user", "only"), (2, None, None, None), (3, 0, None, None)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view conversations as select * from '{tmp_path}/conversations.parquet/*.parquet'")
+    got = sorted(tuple(r) for r in queries.chat_digests(spark, str(tmp_path)).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect())
+    assert got == sorted(con.sql(oracle.chat_sql()).fetchall())
+    assert [r[:2] for r in got] == [(-7, 2), (1, 4), (2, 2), (3, 1)]
+
+
 def test_escapes_round_trip(spark):
     r = random.Random(3)
     said = ["".join(r.choice(["\\", "<", "|", "<|", "</s>", "[INST]", "[/INST]", ">", "n", "é"]) for _ in range(12)) for _ in range(200)]

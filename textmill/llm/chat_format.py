@@ -13,8 +13,8 @@ the text are doubled before, so that reading back is exact and no text can open
 a turn. Loss lies on the texts of assistant turns; each segment of the output carries
 its flag.
 
-Nulls: a null role or text counts as empty. Turns with equal numbers are ordered by role
-and text; repeated rows are repeated turns. Rows of an unknown layout yield no
+Nulls: a null role or text counts as empty, and turns without a number come last. Turns with
+equal numbers are ordered by role and text; repeated rows are repeated turns. Rows of an unknown layout yield no
 conversation. Other columns are ignored. A conversation is one value, so its turns meet
 in one row; a turn's text is escaped before, where it is read.
 """
@@ -34,7 +34,7 @@ TURNS = "array<struct<turn:bigint,role:string,text:string>>"
 
 @dataclass(frozen=True)
 class Layout:
-    """A mapping: the paths that must and those that may be present, and the turns."""
+    """A mapping: the paths that must and those that may be present (one at least), and the turns."""
 
     name: str
     needed: tuple[str, ...]
@@ -42,7 +42,7 @@ class Layout:
     turns: str
 
     def shapes(self) -> list[tuple[str, ...]]:
-        return [tuple(sorted(self.needed + more)) for n in range(len(self.optional) + 1) for more in combinations(self.optional, n)]
+        return [tuple(sorted(self.needed + more)) for n in range(len(self.optional) + 1) for more in combinations(self.optional, n) if self.needed + more]
 
 
 def _turn(number: str, role: str, text: str) -> str:
@@ -50,7 +50,7 @@ def _turn(number: str, role: str, text: str) -> str:
 
 
 LAYOUTS = [
-    Layout("turn", ("turn",), ("role", "text"), f"array({_turn('turn', 'role', 'text')})"),
+    Layout("turn", (), ("turn", "role", "text"), f"array({_turn('turn', 'role', 'text')})"),
     Layout("messages", ("messages",), ("messages[].role", "messages[].content"), f"transform(messages, (m, i) -> {_turn('i', 'm.role', 'm.content')})"),
     Layout("prompt", ("prompt", "response"), ("system",), f"filter(array({_turn('0', chr(39) + 'system' + chr(39), 'system')}, {_turn('1', chr(39) + 'user' + chr(39), 'prompt')}, {_turn('2', chr(39) + 'assistant' + chr(39), 'response')}), t -> t.turn > 0 or t.text is not null)"),
     Layout("instruction", ("instruction", "output"), ("input",), f"array({_turn('0', chr(39) + 'user' + chr(39), 'concat_ws(chr(10), instruction, nullif(input, chr(39) || chr(39)))')}, {_turn('1', chr(39) + 'assistant' + chr(39), 'output')})".replace("nullif(input, chr(39) || chr(39))", "nullif(input, '')")),
@@ -86,7 +86,7 @@ def canonical_turns(records: DataFrame, key: str, layouts: list[Layout] = LAYOUT
         df = df.withColumn(c, F.expr("cast(null as array<struct<role:string,content:string>>)" if c == "messages" else "cast(null as string)"))
     turns, name = F.lit(None).cast(TURNS), F.lit("unknown")
     for layout in layouts:
-        if not {p.split(".")[0].split("[")[0] for p in layout.needed} <= set(columns):
+        if not {p.split(".")[0].split("[")[0] for p in layout.needed} <= set(columns) or not {p.split(".")[0].split("[")[0] for p in layout.needed + layout.optional} & set(columns):
             continue
         is_it = F.col("print").isin([F.xxhash64(F.lit(",".join(s))) for s in layout.shapes()])
         turns, name = F.when(is_it, F.expr(layout.turns).cast(TURNS)).otherwise(turns), F.when(is_it, F.lit(layout.name)).otherwise(name)
@@ -122,7 +122,7 @@ def format_chats(records: DataFrame, key: str, layouts: list[Layout] = LAYOUTS)
     and ``formatted`` is their concatenation."""
     turns = canonical_turns(records, key, layouts).where("layout <> 'unknown' and (turn is not null or role is not null or text is not null)")
     made = turns.select("key", "turn", F.coalesce("role", F.lit("")).alias("role"), F.concat(F.lit(OPEN), _role(F.col("role")), F.lit("\n")).alias("head"), escape(F.col("text")).alias("body"))
-    packed = made.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "body", "head"))).alias("turns"))
+    packed = made.groupBy("key").agg(F.sort_array(F.collect_list(F.struct(F.col("turn").isNull().alias("last"), "turn", "role", "body", "head"))).alias("turns"))
     segments = F.expr(f"flatten(transform(turns, t -> array(struct(t.head AS text, false AS loss), struct(t.body AS text, t.role = 'assistant' AS loss), struct('{CLOSE}\\n' AS text, false AS loss))))")
     return packed.select("key", segments.alias("segments")).withColumn("formatted", F.expr("array_join(transform(segments, s -> s.text), '')"))
 
