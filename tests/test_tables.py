@@ -121,6 +121,12 @@ def test_draws_reach_every_row_of_a_large_table(spark):
     assert abs(one / 20_000 - 0.632) < 0.02  # with replacement
 
 
+def test_exact_bootstrap_has_all_resamples(spark, data):
+    from textmill import registry
+
+    assert {r.n_bootstrap for r in registry.QUERIES["bootstrap_exact"](spark, data).collect()} == {10_000}
+
+
 def test_pivot_of_all_documents(spark, data):
     from textmill import registry
 

@@ -342,7 +342,7 @@ def bootstrap_paired(spark, d):
 
 @query("bootstrap_exact")
 def bootstrap_exact(spark, d):
-    return statistics.exact_interval(_table(spark, d, "labels").select("toxic", F.col("quality").cast("double").alias("quality")), "toxic", "quality", 50)
+    return statistics.exact_interval(_table(spark, d, "labels").select("toxic", F.col("quality").cast("double").alias("quality")), "toxic", "quality")
 
 
 _REPLIES = [(1, 1, '{"coverage": 0.5, "accuracy": 1.0, "compression": 1.0, "structure": 1.0, "journalistic_value": 0.9}'), (1, 2, '{"coverage": 0.8, "accuracy": 0.5, "compression": 1.0, "structure": 0.9, "journalistic_value": 0.7}'), (1, 3, "no json"), (2, 1, "{bad")]
