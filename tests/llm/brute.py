@@ -58,6 +58,26 @@ def quality_features(text):
 
 def kept_bytes(texts, length=200):
     """(number of removed bytes, number of spans, remaining bytes) of each text."""
+    out = []
+    for t, gone in zip(texts, gone_bytes(texts, length), strict=True):
+        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
+        out.append((sum(gone), spans, bytes(x for x, g in zip((t or "").encode(), gone, strict=True) if not g)))
+    return out
+
+
+def kept_text(text, gone):
+    """The characters of a text none of whose bytes is removed; gone: removed flags of its bytes."""
+    out, at = [], 0
+    for c in text:
+        n = len(c.encode())
+        if not any(gone[at : at + n]):
+            out.append(c)
+        at += n
+    return "".join(out)
+
+
+def gone_bytes(texts, length=200):
+    """For each text, a flag for each byte: whether a repeated string covers it."""
     raw = [(t or "").encode() for t in texts]
     seen = Counter(b[i : i + length] for b in raw for i in range(len(b) - length + 1))
     out = []
@@ -66,8 +86,7 @@ def kept_bytes(texts, length=200):
         for i in range(len(b) - length + 1):
             if seen[b[i : i + length]] > 1:
                 gone[i : i + length] = [True] * length
-        spans = sum(g and not (k and gone[k - 1]) for k, g in enumerate(gone))
-        out.append((sum(gone), spans, bytes(x for x, g in zip(b, gone, strict=True) if not g)))
+        out.append(gone)
     return out
 
 

@@ -300,4 +300,49 @@ def test_repeats(spark):
     assert text.columns == docs_of(spark, rows, True).columns
     left = {x.doc_id: x.text for x in text.collect()}
     assert 50 not in left and 52 not in left and left[100] is None
-    assert all(left[i] == k.decode("utf-8", "ignore") for i, (n, _, k) in want if n and k)
+    flags = brute.gone_bytes([t for _, t in rows])
+    assert all(left.get(i, "") == brute.kept_text(t, g) for (i, t), g in zip(rows, flags, strict=True) if any(g))
+
+
+def removed_of(df):
+    return sorted((x.doc_id, (x.n_removed, x.n_spans, bytes(x.kept))) for x in df.collect())
+
+
+def test_repeats_of_tables_without_long_texts_or_repeats(spark):
+    r = random.Random(16)
+    unique = [(i, "".join(r.choice("abcdefghijkl ") for _ in range(400))) for i in range(60)]
+    for rows in (unique, [(1, "short"), (2, None), (3, "")], [(1, "a" * 300), (2, "b")], [(1, "a" * 200)], []):
+        want = sorted(zip([i for i, _ in rows], brute.kept_bytes([t for _, t in rows]), strict=True))
+        assert removed_of(repeats.remove_repeats(docs_of(spark, rows))) == want
+    df = spark.createDataFrame([(i, t, 3, "x", 2) for i, t in [*unique, (61, unique[0][1])]], "doc_id long, text string, block int, n_bytes string, kept int")
+    out = repeats.remove_repeats(df)
+    assert out.columns == ["doc_id", "block", "n_bytes", "n_removed", "n_spans", "kept"] and {x.block for x in out.collect()} == {3}
+    assert sorted(x.doc_id for x in out.where("n_removed = 400").collect()) == [0, 61]
+    left = repeats.without_repeats(df)
+    assert left.columns == df.columns and left.count() == 59
+    only = spark.createDataFrame([("t" * 250,), ("u",)], "text string")
+    assert sorted(x.n_removed for x in repeats.remove_repeats(only).collect()) == [0, 250]
+
+
+def test_repeats_over_many_partitions(spark, data):
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", 200)
+    try:
+        got = removed_of(repeats.remove_repeats(docs))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    assert got == sorted(zip([i for i, _ in rows], brute.kept_bytes([t for _, t in rows]), strict=True))
+
+
+def test_repeats_in_a_very_long_text(spark):
+    import numpy as np
+
+    data = np.random.default_rng(1).integers(97, 123, 6 << 20, dtype=np.uint8)
+    at = [0, (1 << 20) - 100, (2 << 20) - 1, 3 << 20, 5_000_000]  # copies across and at the edges of segments
+    for a in at[1:]:
+        data[a : a + 300] = data[:300]
+    text = data.tobytes().decode()
+    got = {x.doc_id: (x.n_removed, x.n_spans, len(x.kept)) for x in repeats.remove_repeats(docs_of(spark, [(1, text), (2, "z" + text[:250])])).collect()}
+    assert got == {1: (1500, 5, len(text) - 1500), 2: (250, 1, 1)}

@@ -36,10 +36,14 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def set_apart(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[[DataFrame], DataFrame]]:
-    """``docs`` with all columns but ``own`` under names that clash with none of an operator's,
-    and the function that gives the original columns back."""
+def set_apart(docs: DataFrame, *own: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but ``own`` under names that clash with none of an operator's, and the
+    function that gives the original columns back: those still there, and then the ``more`` that it is told."""
     other = {c: f"__extra_{i}" for i, c in enumerate(docs.columns) if c not in own}
     quoted = {c: F.col("`" + c.replace("`", "``") + "`") for c in docs.columns}
     apart = docs.select(*[quoted[c].alias(other.get(c, c)) for c in docs.columns])
-    return apart, lambda df: df.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns])
+
+    def restored(df: DataFrame, *more: str) -> DataFrame:
+        return df.select(*[F.col(other.get(c, c)).alias(c) for c in docs.columns if other.get(c, c) in df.columns], *more)
+
+    return apart, restored

@@ -25,10 +25,17 @@ reuses that exchange in all three steps.
 The recursion of the classic algorithm on triples is not needed at this depth: two
 rounds of names tell LENGTH bytes apart; README gives the figures that rule it out.
 
+Names are made segment by segment, so a worker's memory beyond the block itself grows with its
+repeated positions alone. A text is never cut, so one longer than BLOCK_BYTES makes its block larger.
+
 Nulls: a null text is an empty one. Texts shorter than LENGTH lose nothing. Repeated rows
-repeat each other's strings, so all their bytes go. Other columns pass through.
+repeat each other's strings, so all their bytes go. Other columns pass through, but for those named
+like a result, which the result replaces. Blocks and tables without long texts, or without repeats, are whole.
 """
 
+import hashlib
+from itertools import pairwise
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -40,7 +47,8 @@ from .common import set_apart, shuffle_partitions
 LENGTH, PERIOD = 200, 133
 #: A perfect difference set modulo 133.
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BLOCK_BYTES, BUCKET_BYTES = 4 << 20, 8 << 20
+BLOCK_BYTES, BUCKET_BYTES, SEGMENT = 4 << 20, 8 << 20, 1 << 20
+RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
 def is_cover(cover: tuple[int, ...], period: int) -> bool:
@@ -56,7 +64,6 @@ class Block:
         self.length = length
         self.period = PERIOD if length > PERIOD else 1
         self.sizes = np.diff(self.off)
-        self.hash = self.second = None
 
     def _open(self, width: int) -> np.ndarray:
         """Positions from which ``width`` bytes of the same text follow."""
@@ -64,12 +71,17 @@ class Block:
         has = self.sizes >= width
         np.add.at(inside, self.off[:-1][has], 1)
         np.add.at(inside, self.off[1:][has] - width + 1, -1)
-        return np.cumsum(inside[:-1]) > 0
-
-    def _named(self, at: np.ndarray, width: int) -> np.ndarray:
-        if self.hash is None:
-            self.hash = textbuf.RangeHash(self.data, 7)
-        return self.hash(at, at + width)
+        return np.cumsum(inside[:-1], dtype=np.int32) > 0
+
+    def _named(self, at: np.ndarray, width: int, seed: int = 7) -> np.ndarray:
+        """Hashes of the ``width`` bytes from each position; ``at`` is sorted."""
+        out = np.empty(len(at), np.uint64)
+        edges = np.searchsorted(at, np.arange(0, len(self.data) + SEGMENT, SEGMENT))
+        for i, (a, b) in enumerate(pairwise(edges)):
+            if a < b:
+                start = at[a:b] - i * SEGMENT
+                out[a:b] = textbuf.RangeHash(self.data[i * SEGMENT : (i + 1) * SEGMENT + width], seed)(start, start + width)
+        return out
 
     def sampled(self) -> tuple[np.ndarray, np.ndarray]:
         """Sampled positions and the names of their prefixes."""
@@ -79,8 +91,11 @@ class Block:
         else:
             wanted = np.zeros(self.period, bool)
             wanted[list(COVER)] = True
-            rel = np.arange(len(self.data)) - np.repeat(self.off[:-1], self.sizes)
-            at = np.flatnonzero(wanted[rel % self.period] & self._open(width))
+            kind = np.int32 if len(self.data) < 1 << 31 else np.int64
+            rel = np.arange(len(self.data), dtype=kind)
+            rel -= np.repeat(self.off[:-1].astype(kind), self.sizes)
+            rel %= self.period
+            at = np.flatnonzero(wanted[rel] & self._open(width))
         return at, self._named(at, width)
 
     def candidates(self, hit: np.ndarray) -> np.ndarray:
@@ -94,20 +109,21 @@ class Block:
     def whole(self) -> tuple[np.ndarray, np.ndarray]:
         """Numbers and 128-bit names of the texts that are long enough to lose bytes."""
         at = np.flatnonzero(self.sizes >= self.length)
-        a, b = self.off[:-1][at], self.off[1:][at]
-        return at, np.stack([self._named(a, b - a), self._other()(a, b)], axis=1)
-
-    def _other(self) -> textbuf.RangeHash:
-        if self.second is None:
-            self.second = textbuf.RangeHash(self.data, 11)
-        return self.second
+        digests = [hashlib.blake2b(self.data[a:b], digest_size=16).digest() for a, b in zip(self.off[:-1][at], self.off[1:][at], strict=True)]
+        return at, np.frombuffer(b"".join(digests), np.uint64).reshape(len(at), 2)
 
     def removed(self, at: np.ndarray) -> np.ndarray:
         """The bytes covered by strings that start at ``at``."""
         edge = np.zeros(len(self.data) + 1, np.int32)
         edge[at] += 1
         edge[at + self.length] -= 1
-        return np.cumsum(edge[:-1]) > 0
+        return np.cumsum(edge[:-1], dtype=np.int32) > 0
+
+
+def whole_characters(data: np.ndarray, gone: np.ndarray) -> np.ndarray:
+    """``gone`` with all bytes of the UTF-8 characters that have one gone."""
+    character = np.cumsum((data & 0xC0) != 0x80) - 1
+    return (np.bincount(character, gone) > 0)[character] if len(data) else gone
 
 
 class Names:
@@ -129,7 +145,7 @@ class Names:
         self.parts = dict(zip(self.used.tolist(), map(slice, first, np.append(first[1:], len(start))), strict=True))
 
     def rows(self, block: int, kind: int, many: np.ndarray) -> list[tuple]:
-        little = np.ascontiguousarray(self.name.astype("<u8")).view(np.uint8).reshape(len(self.name), -1, 8)[:, :, : self.width]
+        little = np.ascontiguousarray(self.name.astype("<u8")).view(np.uint8).reshape(*self.name.shape, 8)[:, :, : self.width]
         return [(b, block, kind, 0, little[p].tobytes(), np.packbits(many[p]).tobytes()) for b, p in self.parts.items()]
 
     def flags(self, replies: dict[int, bytes], nth: int = 0) -> np.ndarray:
@@ -179,7 +195,7 @@ def _second_names(block: Block, replies: dict[int, dict[int, bytes]], few: int,
     marks |= np.repeat(speaks, block.sizes) & block._open(block.length)
     at = np.flatnonzero(marks)
     name = block._named(at, block.length)
-    names = Names((name >> np.uint64(8))[:, None], (block._other()(at, at + block.length) % np.uint64(many)).astype(np.int64), 7)
+    names = Names((name >> np.uint64(8))[:, None], (block._named(at, block.length, 11) % np.uint64(many)).astype(np.int64), 7)
     known = names.times > 1
     known[names.index[np.repeat(speaks, block.sizes)[at]]] = True
     return at, names, known, copy
@@ -233,14 +249,18 @@ def _repeated(level: int):
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False) -> DataFrame:
     """The columns of ``docs`` but ``text``, with n_bytes, n_removed, n_spans and ``kept``: the
-    remaining bytes, or with ``as_text`` the characters none of whose bytes went (null for null)."""
+    remaining bytes, or with ``as_text`` the characters none of whose bytes went (null for null;
+    n_removed and n_spans are then of whole characters)."""
     spark = docs.sparkSession
+    docs = docs.drop(*RESULTS)
+    own = [c for c in ("doc_id", "text") if c in docs.columns]
+    docs, restored = set_apart(docs, *own)
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     blocks = max(shuffle_partitions(spark), -(-total // BLOCK_BYTES))
     # 12 of 133 positions have a name of 8 bytes; candidates may be as many as the bytes
     few = max(shuffle_partitions(spark), -(-total * 8 // 11 // BUCKET_BYTES))
     many = max(shuffle_partitions(spark), -(-total * 2 // BUCKET_BYTES))
-    dealt = docs.withColumn("block", F.pmod(F.xxhash64(*[c for c in docs.columns if c in ("doc_id", "text")]), F.lit(blocks)).cast("int"))
+    dealt = docs.withColumn("block", F.pmod(F.xxhash64(*own), F.lit(blocks)).cast("int"))
     texts = dealt.groupBy("block")
 
     def sampled(table: pa.Table) -> pa.Table:
@@ -264,11 +284,13 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False)
         counts, spans, kept = [], [], []
         for a, b in zip(block.off[:-1], block.off[1:], strict=True):
             part = gone[a:b]
+            if as_text and part.any():
+                part = whole_characters(block.data[a:b], part)
             counts.append(int(part.sum()))
             spans.append(int(np.count_nonzero(part[1:] & ~part[:-1]) + (len(part) > 0 and part[0])))
             kept.append((block.data[a:b][~part] if counts[-1] else block.data[a:b]).tobytes())
         if as_text:
-            kept = [k.decode("utf-8", "ignore") if t.is_valid else None for k, t in zip(kept, table.column("text"), strict=True)]
+            kept = [k.decode("utf-8", "replace") if t.is_valid else None for k, t in zip(kept, table.column("text"), strict=True)]
         out = table.drop_columns(["block", "text"])
         for name, value, kind in (("n_bytes", block.sizes, pa.int64()), ("n_removed", counts, pa.int64()), ("n_spans", spans, pa.int64()), ("kept", kept, pa.string() if as_text else pa.binary())):
             out = out.append_column(name, pa.array(value, kind))
@@ -278,7 +300,8 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, as_text: bool = False)
     fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "text")
     first = texts.applyInArrow(sampled, PACKED).groupBy("bucket").applyInArrow(_repeated(1), FOUND)
     second = texts.cogroup(first.groupBy("block")).applyInArrow(merged, PACKED).groupBy("bucket").applyInArrow(_repeated(2), FOUND)
-    return texts.cogroup(second.groupBy("block")).applyInArrow(finish, f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}".removeprefix(", "))
+    out = texts.cogroup(second.groupBy("block")).applyInArrow(finish, f"{fields}, n_bytes long, n_removed long, n_spans long, kept {'string' if as_text else 'binary'}".removeprefix(", "))
+    return restored(out, *RESULTS)
 
 
 def without_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
