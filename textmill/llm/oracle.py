@@ -10,14 +10,14 @@ def _quoted(text: str) -> str:
     return "'" + text.replace("'", "''") + "'"
 
 
-def chat_sql() -> str:
+def chat_sql(more: bool = True) -> str:
+    said = f" UNION ALL SELECT -7, 0, 'user', {_quoted(SAID)} UNION ALL SELECT -7, 1, 'assistant', {_quoted(SAID)}" if more else ""
     body = "replace(text, '\\', '\\\\')"
     for c in CONTROLS:
         body = f"replace({body}, {_quoted(c)}, {_quoted(c[0] + chr(92) + c[1:])})"
     return f"""
     WITH rows AS (
-      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
-      UNION ALL SELECT -7, 0, 'user', {_quoted(SAID)} UNION ALL SELECT -7, 1, 'assistant', {_quoted(SAID)}),
+      SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations{said}),
     done AS (
       SELECT conv_id, count(*) AS n_turns,
         string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text) AS turns,
@@ -74,4 +74,4 @@ def license_sql() -> str:
     SELECT doc_id, CAST(unit AS BIGINT) AS unit, CAST(template AS BIGINT) AS template, license, round(dice, 6) AS dice FROM dice WHERE dice >= 0.8 - 1e-9"""
 
 
-ORACLE = {"op5_chat_format": chat_sql(), "op8_licenses": license_sql()}
+ORACLE = {"op5_chat_format": chat_sql(), "chat_layouts": chat_sql(more=False), "op8_licenses": license_sql()}

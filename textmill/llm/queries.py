@@ -38,13 +38,37 @@ def toxicity_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def chat_digests(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text").withColumn("text", F.coalesce("text", F.lit("")))
     more = spark.sql(f"SELECT -7L AS conv_id, turn, role, '{SAID}' AS text FROM VALUES (0L, 'user'), (1L, 'assistant') AS t(turn, role)")
-    read = chat_format.read_back(chat_format.format_chats(rows.unionByName(more), "conv_id"))
+    return _digests(chat_format.format_chats(rows.unionByName(more), "conv_id"))
+
+
+def _digests(formatted: DataFrame) -> DataFrame:
+    read = chat_format.read_back(formatted)
     turns = F.expr("array_join(transform(turns, t -> concat(t.role, '\\n', t.text, '\\n')), '')")
     return read.select(
         F.col("key").alias("conv_id"), F.size("turns").cast("long").alias("n_turns"), F.sha2(turns.cast("binary"), 256).alias("turns_sha256"),
         F.length("loss_text").cast("long").alias("loss_chars"), F.sha2(F.col("loss_text").cast("binary"), 256).alias("loss_sha256"), "formatted_chars")
 
 
+def laid_out(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The conversations in all layouts at once: by conv_id as rows of turns, lists of messages or of values, and
+    those of a user and an assistant alone as prompts or instructions."""
+    rows = table(spark, sf_dir, "conversations", "conv_id", "turn", "role", "text")
+    whole = rows.groupBy("conv_id").agg(F.expr("sort_array(collect_list(struct(turn, role, text)))").alias("t"))
+    pair = F.expr("transform(t, x -> x.role) = array('user', 'assistant')")
+    whole = whole.withColumn("as", F.when(pair, F.expr("element_at(array('prompt', 'instruction'), cast(conv_id % 2 + 1 as int))")).otherwise(F.expr("element_at(array('turn', 'messages', 'conversations'), cast(conv_id % 3 + 1 as int))")))
+    value = lambda layout, sql: F.when(F.col("as") == layout, F.expr(sql))
+    whole = whole.select(
+        "conv_id", value("messages", "transform(t, x -> struct(x.role AS role, x.text AS content, 'a' AS name))").alias("messages"),
+        value("conversations", "transform(t, x -> struct(CASE x.role WHEN 'user' THEN 'human' WHEN 'assistant' THEN 'gpt' ELSE x.role END AS `from`, x.text AS value))").alias("conversations"),
+        value("prompt", "t[0].text").alias("prompt"), value("prompt", "t[1].text").alias("response"), value("instruction", "t[0].text").alias("instruction"), value("instruction", "t[1].text").alias("output"),
+        F.explode(F.when(F.col("as") == "turn", F.col("t")).otherwise(F.array(F.lit(None).cast("struct<turn:bigint,role:string,text:string>")))).alias("row"))
+    return whole.select("*", "row.*").drop("row")
+
+
+def chat_layouts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _digests(chat_format.format_chats(laid_out(spark, sf_dir), "conv_id"))
+
+
 def shard_placement(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.assign_shards(table(spark, sf_dir, "documents", "doc_id", "text"), TREE, TREE.grow())
 
@@ -79,4 +103,5 @@ QUERIES = {
     "op8_licenses": license_notices,
     "op9_byte_bpe": bpe_digests,
     "op10_repeats": repeat_removal,
+    "chat_layouts": chat_layouts,
 }
