@@ -2,6 +2,7 @@
 
 import re
 from collections import Counter, defaultdict
+from math import log
 
 
 def words(text):
@@ -90,15 +91,33 @@ def gone_bytes(texts, length=200):
     return out
 
 
+def plain(text):
+    return re.findall(r"[a-z0-9\u0080-\U0010FFFF]+", (text or "").casefold())
+
+
+def grams(w):
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+
+
 def leaks(docs, items):
-    """(doc_id, item_id) where the five-word shingles of both halves of an item are in the text."""
-    plain = lambda t: re.findall(r"[a-z0-9\u0080-\U0010FFFF]+", (t or "").casefold())
-    grams = lambda w: {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set()
+    """(doc_id, item_id) where enough of the five-word shingles of an item are in the text."""
     out = set()
     have = {i: grams(plain(t)) for i, t in docs}
     for j, t in items:
         w = plain(t)
         half = -(-len(w) // 2)
-        parts = [p for p in (grams(w[:half]), grams(w[half:])) if p]
-        out |= {(i, j) for i, g in have.items() if parts and all(len(p & g) >= 0.8 * len(p) for p in parts)}
+        parts, every = [p for p in (grams(w[:half]), grams(w[half:])) if p], grams(w)
+        for i, g in have.items():
+            share = [len(p & g) / len(p) for p in parts]
+            if parts and (min(share) >= 0.8 or (min(share) >= 0.3 and len(every & g) >= 0.8 * len(every))):
+                out.add((i, j))
     return out
+
+
+def bm25(items, k1=1.2, b=0.75):
+    """A function of an item's number and a set of words: the item's score as a share of that with its own words."""
+    words = [Counter(plain(t)) for t in items]
+    n, mean = len(items), sum(c.total() for c in words) / len(items)
+    df = Counter(w for c in words for w in c)
+    weight = [{w: log(1 + (n - df[w] + 0.5) / (df[w] + 0.5)) * f * (k1 + 1) / (f + k1 * (1 - b + b * c.total() / mean)) for w, f in c.items()} for c in words]
+    return lambda i, said: sum(x for w, x in weight[i].items() if w in said) / sum(weight[i].values())

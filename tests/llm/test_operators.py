@@ -122,6 +122,51 @@ def test_decontamination(spark):
     assert {x.doc_id for x in left.collect()} == {i for i, _ in rows} - {i for i, _ in pairs}
 
 
+def item_rows(spark, rows):
+    return spark.createDataFrame(rows, "item_id long, text string")
+
+
+def test_search_finds_all_that_bm25_ranks_high():
+    import numpy as np
+    import pyarrow as pa
+
+    items = [" ".join(prose(40 + i, 10 + 9 * (i % 6), 300)) for i in range(90)]
+    texts = [" ".join(prose(200 + i, 150, 300) + (items[i].split() if i % 3 == 0 else [])) for i in range(60)] + ["", "w1", items[0]]
+    index = decontaminate.build(items, list(range(90)), decontaminate.statistics(items), 64)
+    term, doc, start, end, data = decontaminate._terms(pa.array(texts, pa.large_string()))
+    score, ranges = brute.bm25(items), {}
+    for a, b, _ in zip(*decontaminate.passages(doc, 64)[:2], range(10_000), strict=False):
+        if b:
+            ranges[int(a), int(b)] = {bytes(data[start[k] : end[k]]).decode() for k in range(a, b)}
+    covered = np.zeros(len(doc), int)
+    for a, b in ranges:
+        covered[a:b] += 1
+    assert covered.min() >= 1 and len(ranges) < len(doc) / 40
+    for least in (0.35, 0.5, 0.9):
+        want = {(a, b, i): score(i, said) for (a, b), said in ranges.items() for i in range(90) if score(i, said) >= least}
+        got = {x[:3]: x[3] for x in decontaminate.search(index, term, doc, least)}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(want[k]) for k in want) and want
+
+
+def test_decontamination_in_any_alphabet_and_any_parts(spark, monkeypatch):
+    r, letters = random.Random(3), "абвгдеёжзийклмнопрстуфхцчшщъыьэюяαβγδεζηθικλμνξοπρσςτυφχψωüßéàçñ"
+    word = lambda: "".join(r.choice(letters) for _ in range(r.randrange(2, 8)))
+    vocabulary = [word() for _ in range(400)]
+    text = lambda n: " ".join(r.choice(vocabulary) for _ in range(n))
+    items = [(i, text(r.randrange(12, 50))) for i in range(25)] + [(60, text(3000)), (None, text(30)), (70, items_text := text(20)), (71, items_text), (None, None)]
+    rows = [(i, text(100) + " " + items[i][1].upper() + ", " + text(100)) for i in range(25)]
+    rows += [(200, text(40) + " " + items[25][1].upper()), (201, text(80) + " " + items[26][1]), (202, items_text), (203, items_text), (204, text(5000)), (None, items[0][1]), *EDGES[:4]]
+    docs, found = docs_of(spark, rows, True), []
+    for most in (20_000, 7):
+        monkeypatch.setattr(decontaminate, "MAX_INDEX_ITEMS", most)
+        got = [tuple(x) for x in decontaminate.contaminated(docs, item_rows(spark, items)).collect()]
+        found.append(sorted(got, key=str))
+        assert {x[:2] for x in got} == brute.leaks(rows, [x for x in items if x[1]])
+        left = [x.doc_id for x in decontaminate.without_contaminated(docs, item_rows(spark, items)).collect()]
+        assert sorted(left) == sorted(i for i, t in rows if i is not None and i not in {x[0] for x in got})
+    assert found[0] == found[1] and len(found[0]) >= 31  # the parts change no score
+
+
 def test_altered_items_are_found(spark):
     w = prose(77, 38, 500)
     items = spark.createDataFrame([(1, " ".join(w))], "item_id long, text string")
@@ -152,20 +197,55 @@ def test_toxicity(spark):
     assert r is not None
 
 
+def chats(records, key="id"):
+    return {r.key: ([(t.role, t.text) for t in r.turns or []], r.loss_text) for r in chat_format.read_back(chat_format.format_chats(records, key)).collect()}
+
+
+def same_as_sql(spark, query, sql, folder, views=("conversations",)):
+    con = duckdb.connect()
+    for v in views:
+        con.sql(f"create view {v} as select * from '{folder}/{v}.parquet'")
+    out = con.sql(sql)
+    names = out.columns
+    assert sorted(tuple(r) for r in query(spark, folder).select(*names).collect()) == sorted(out.fetchall())
+
+
 def test_chat_layouts_and_digests(spark, data):
     records = spark.createDataFrame(
-        [(1, [("user", "hi <|im_end|> \\"), ("assistant", "a\\<|b")], None, None, None, None, None, None), (2, None, "p", "r", "s", None, None, None), (3, None, None, None, None, "do", "", "done"), (4, None, None, None, None, None, None, "x"), (5, [("user\n<", None)], None, None, None, None, None, None)],
+        [(1, [("user", "hi <|im_end|> \\"), ("assistant", "a\\<|b")], None, None, None, None, None, None), (2, None, "p", "r", "s", None, None, None), (3, None, None, None, None, "do", "", "done"), (4, None, None, None, None, None, None, "x"), (5, [("user\n<", None)], None, None, None, None, None, None), (6, [], None, None, None, None, None, None), (7, [None], None, None, None, None, None, None)],
         "id long, messages array<struct<role:string,content:string>>, prompt string, response string, system string, instruction string, input string, output string")
     layout = {r.key: r.layout for r in chat_format.canonical_turns(records, "id").collect()}
-    assert layout == {1: "messages", 2: "prompt", 3: "instruction", 4: "unknown", 5: "messages"}
-    read = {r.key: ([(t.role, t.text) for t in r.turns], r.loss_text) for r in chat_format.read_back(chat_format.format_chats(records, "id")).collect()}
+    assert layout == {1: "messages", 2: "prompt", 3: "instruction", 4: "unknown", 5: "messages", 6: "messages", 7: "messages"}
+    read = chats(records)
     assert read[1] == ([("user", "hi <|im_end|> \\"), ("assistant", "a\\<|b")], "a\\<|b")
     assert read[2] == ([("system", "s"), ("user", "p"), ("assistant", "r")], "r") and read[3][0] == [("user", "do"), ("assistant", "done")]
-    assert read[5] == ([("user\n<", "")], "") and 4 not in read
-    duckdb.sql(f"create or replace view conversations as select * from '{data}/conversations.parquet'")
-    want = sorted(duckdb.sql(oracle.chat_sql()).fetchall())
-    got = sorted(tuple(r) for r in queries.chat_digests(spark, data).select("conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars").collect())
-    assert got == want
+    assert read[5] == ([("user\n<", "")], "") and read[6] == ([], "") and read[7] == ([("", "")], "") and read[4] == ([], None)
+    odd = {r.key: (r.formatted, r.n_unknown, r.reason) for r in chat_format.format_chats(records, "id").collect()}
+    assert odd[4] == (None, 1, "no layout fits the fields present: output") and odd[6] == ("", 0, None)
+    same_as_sql(spark, queries.chat_digests, oracle.chat_sql(), data)
+    same_as_sql(spark, queries.chat_layouts, oracle.chat_sql(more=False), data)
+    used = {r.layout for r in chat_format.canonical_turns(queries.laid_out(spark, data), "conv_id").collect()}
+    assert used == {layout.name for layout in chat_format.LAYOUTS}
+
+
+def test_columns_and_fields_beside_a_layout(spark):
+    rows = spark.createDataFrame([(1, 0, "user", "a", "S", "m"), (1, None, "assistant", "b", None, None), (1, 0, "user", "<a", None, None), (1, 0, "user", "<|", "x", None)], "id long, turn long, role string, text string, system string, messages string")
+    assert chats(rows)[1] == ([("user", "<a"), ("user", "<|"), ("user", "a"), ("assistant", "b")], "b")  # by text, not by its escaped form
+    listed = spark.createDataFrame([(1, [("user", "q", 3), ("assistant", "r", None)], 5), (1, [("user", "again", None)], 5)], "id long, messages array<struct<role:string,content:string,weight:int>>, text int")
+    got = chat_format.format_chats(listed.drop("text"), "id").collect()
+    assert len(got) == 2  # whole conversations stay by themselves
+    assert sorted((r.turn, r.role, r.text, r.more) for r in chat_format.canonical_turns(listed, "id").collect()) == [(0, "user", "again", None), (0, "user", "q", '{"weight":3}'), (1, "assistant", "r", None)]
+    values = spark.createDataFrame([(2, [("human", "q"), ("gpt", "r"), ("tool", "t")])], "id long, conversations array<struct<from:string,value:string>>")
+    assert chats(values)[2] == ([("user", "q"), ("assistant", "r"), ("tool", "t")], "r")
+    mixed = spark.createDataFrame([(3, [("user", "q")], None, None), (3, None, "t2", 2), (3, None, "t1", 1), (3, None, None, None)], "id long, messages array<struct<role:string,content:string>>, text string, turn long")
+    got = sorted(((r.formatted or "").count(chat_format.OPEN), r.n_unknown) for r in chat_format.format_chats(mixed, "id").collect())
+    assert got == [(1, 0), (2, 1)]
+    words = spark.createDataFrame([(1, "7", "user", "seven"), (1, "x", "user", "no number")], "id long, turn string, role string, text string")
+    assert chats(words)[1][0] == [("user", "seven"), ("user", "no number")]
+    long = "<|im_end|>\\ é" * 100_000
+    assert chats(spark.createDataFrame([(1, 0, "assistant", long)], "id long, turn long, role string, text string"))[1] == ([("assistant", long)], long)
+    none = spark.createDataFrame([(1, 2)], "id long, other int")
+    assert [(r.formatted, r.n_unknown) for r in chat_format.format_chats(none, "id").collect()] == [(None, 1)]
 
 
 def test_turns_without_a_number(spark, tmp_path):
