@@ -32,6 +32,21 @@ def materialise(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: Keys with more than a share of 1 / HOT of all rows are joined by broadcast.
+HOT = 1000
+
+
+def join_hot(rows: DataFrame, keyed: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` joined to ``keyed``, which has each key once and in ``n`` its number of rows.
+    Keys with more than a share of 1 / HOT of all rows, fewer than HOT by their definition, are
+    broadcast, so their rows stay where they are; the others are shuffled."""
+    total = keyed.agg(F.sum("n")).first()[0] or 0
+    hot = F.col("n") * HOT > F.lit(total)
+    often, seldom = F.broadcast(keyed.where(hot).drop("n")), keyed.where(~hot).drop("n")
+    by = list(keys)
+    return rows.join(often, by).unionByName(rows.join(often.select(*by), by, "left_anti").join(seldom, by))
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -15,32 +15,36 @@ band are verified on all their shingles; classes are the components of the links
 
 Steps and what they move:
 
-* equal texts are one node (64-bit hash of the text), so copies cost one row each;
+* equal texts are one node, so copies cost one row each. A node is named by a 64-bit hash of its text;
+  where a second hash shows that texts share a name, they get names from both;
 * in each bucket every member is compared to one pivot, which merges most of a
   group of any size with a linear number of pairs;
-* the rest is exact: in buckets whose members then still belong to different components, all
-  members of different components are compared, but for pairs whose registers put them
-  more than four and a half standard deviations below the threshold. Small buckets
-  (PAIRED members at most) list these pairs; larger ones are cut into chunks of CHUNK
-  members, each two of which are compared as packed arrays by a task of their own, which
+* the rest is exact: in buckets whose members then still belong to different components, the
+  members outside the bucket's largest component are compared with all that are in another component
+  than theirs. Pairs whose registers put them more than ``slack`` (four and a half) standard deviations
+  below the threshold are left out, about 3 of a million at the threshold itself; with ``slack=None`` none are. Small buckets
+  (PAIRED members at most) list these pairs; larger ones are cut into chunks of CHUNK members or CHUNK_BYTES
+  of shingles, and each chunk of outsiders meets each chunk of members as packed arrays in a task of its own, which
   returns only links that join components. No pair of a large group becomes a row;
-* components are contracted in rounds of joins; nothing is collected.
+* components are contracted in rounds of joins; nothing is collected but the names that texts share.
+
+Buckets, pivots and nodes with more than a thousandth of all rows are joined by broadcast, others by shuffle.
 
 Nulls: a null text counts as an empty one, and texts without words are only alike
 if they are equal. A class is named by its smallest ``doc_id`` (null if it has none).
-Repeated rows get one result row each. Other columns are ignored.
+Repeated rows get one result row each. Other columns are ignored. Ids may be of any type that can be ordered.
 """
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import materialise, set_apart
+from .common import join_hot, materialise, set_apart
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 5, 5, 0.8
-PAIRED, CHUNK, HOT = 16, 512, 1000
+PAIRED, CHUNK, CHUNK_BYTES, SLACK = 16, 512, 16 << 20, 4.5
 
 
 def shingles(data: np.ndarray, off: np.ndarray, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -115,7 +119,8 @@ def _signed(bands: int, rows: int, k: int):
                 key = textbuf.mix(key + number).view(np.int64)
                 small = (registers >> np.uint64(56)).astype(np.uint8)
                 lists = pa.LargeListArray.from_arrays(np.concatenate([[0], np.cumsum(has * bands)]), key[has].ravel())
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("node"), lists.cast(pa.list_(pa.int64())), textbuf.binary(list(small))], ["doc_id", "node", "bands", "registers"])
+                size = pa.array(np.bincount(owner, minlength=n), pa.int64())
+                yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("doc_id", "name", "other")], lists.cast(pa.list_(pa.int64())), textbuf.binary(list(small)), size], ["doc_id", "name", "other", "bands", "registers", "size"])
 
     return run
 
@@ -183,15 +188,16 @@ def _likely(least: float, m: int):
 
 
 def _chunk_pair(threshold: float, least: float, m: int):
-    """Links between the members of two chunks (or within one) that join components."""
+    """Links that join components, between a chunk of outsiders (side 0) and one of members (side 1).
+    Rows come in any order. Two outsiders meet twice and are compared where the smaller is on side 0."""
 
     def run(table: pa.Table) -> pa.Table:
         node, root, side = (table.column(c).to_numpy() for c in ("node", "root", "side"))
+        outside = table.column("outside").to_numpy(zero_copy_only=False)
         registers = np.frombuffer(b"".join(table.column("registers").to_pylist()), np.uint8).reshape(-1, m)
         hashes = [np.frombuffer(x.as_buffer(), np.uint64) for x in table.column("hashes")]
         counts = [np.frombuffer(c, np.int64).astype(float) if c else np.ones(len(h)) for c, h in zip(table.column("counts").to_pylist(), hashes, strict=True)]
-        across = side.any()  # two chunks: their rows come in any order
-        one, two = (np.flatnonzero(side == 0), np.flatnonzero(side == 1)) if across else (np.arange(len(node)),) * 2
+        one, two = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
         parent = {r: r for r in root.tolist()}
 
         def top(r: int) -> int:
@@ -201,7 +207,7 @@ def _chunk_pair(threshold: float, least: float, m: int):
 
         out = []
         for i in one:
-            others = two[(across | (two > i)) & (root[two] != root[i])]
+            others = two[(root[two] != root[i]) & (~outside[two] | (node[two] > node[i]))]
             likely = others[(registers[others] == registers[i]).mean(axis=1) >= least]
             for j in likely:
                 a, b = top(int(root[i])), top(int(root[j]))
@@ -213,16 +219,6 @@ def _chunk_pair(threshold: float, least: float, m: int):
     return run
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, key: str) -> DataFrame:
-    """``rows`` joined to ``keyed``, which has each ``key`` once and in ``n`` its number of rows.
-    Keys with more than a share of 1 / HOT of all rows, fewer than HOT by their definition, are
-    broadcast, so their rows stay where they are; the others are shuffled."""
-    total = keyed.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT > F.lit(total)
-    often, seldom = F.broadcast(keyed.where(hot).drop("n")), keyed.where(~hot).drop("n")
-    return rows.join(often, key).unionByName(rows.join(often.select(key), key, "left_anti").join(seldom, key))
-
-
 def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``links`` (a, b); the root is the
     smallest node of its component. Rounds of hooking to the smallest neighbour, two
@@ -246,79 +242,98 @@ def components(links: DataFrame) -> DataFrame:
     return links.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
-def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
-    """(doc_id, node, class_id) for every row of ``docs`` (doc_id, text, ...)."""
+def _named(text: Column) -> tuple[Column, Column]:
+    """Two independent hashes of a text."""
+    return F.xxhash64(text), F.xxhash64(F.lit(7), text)
+
+
+def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int, slack: float | None) -> DataFrame:
+    """(doc_id, name, other, node, class_id) for every row of ``docs``; name and other hash its text."""
     m = bands * rows
+    kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))
-    base = docs.select("doc_id", text.alias("text"), F.xxhash64(text).alias("node"))
-    signed = materialise(base.mapInArrow(_signed(bands, rows, shingle), "doc_id long, node long, bands array<long>, registers binary"))
-    nodes = signed.groupBy("node").agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"))
+    name, other = _named(text)
+    base = docs.select("doc_id", text.alias("text"), name.alias("name"), other.alias("other"))
+    signed = materialise(base.mapInArrow(_signed(bands, rows, shingle), f"doc_id {kind}, name long, other long, bands array<long>, registers binary, size long"))
+    # names that several texts share: about the square of the number of texts over 2 ** 65
+    shared_names = [r[0] for r in signed.groupBy("name").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high").select("name").collect()]
+    node = F.when(F.col("name").isin(shared_names), F.xxhash64("name", "other")).otherwise(F.col("name")) if shared_names else F.col("name")
+    # one row for each text; copies are folded before any shuffle
+    nodes = materialise(signed.groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("size").alias("size")))
 
     pair = "a long, b long"
-    held = signed.select("node", F.explode("bands").alias("bucket")).distinct()
-    shared = held.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last")).where("pivot < last")
-    member = materialise(held.join(shared.select("bucket", "pivot"), "bucket"))
-    least = threshold - 4.5 * (threshold * (1 - threshold) / m) ** 0.5
-    active = member.select("node").distinct()
-    # copies are folded before the join, so that a text with many of them is not gathered in a task
-    registers = materialise(signed.groupBy("node").agg(F.first("registers").alias("registers")).join(active, "node", "left_semi"))
-    lists = None
+    held = nodes.select("node", F.explode("bands").alias("bucket"))
+    shared = materialise(held.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).where("pivot < last").select("bucket", "pivot", "n"))
+    member = materialise(join_hot(held, shared, "bucket"))
+    least = -1.0 if slack is None else threshold - slack * (threshold * (1 - threshold) / m) ** 0.5
+    near = member.select("node").distinct()
+    registers = materialise(nodes.select("node", "registers", "size").join(near, "node", "left_semi"))
+    # shingles of the texts that share a bucket: one row of each text
+    reps = near.join(nodes.select("node", "rep"), "node").select(F.col("node").alias("near"), "rep")
+    own = base.withColumn("node", node).select("doc_id", "node", "text")
+    own = own.join(reps, (F.col("node") == F.col("near")) & F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node", "doc_id"])
+    lists = materialise(own.select("node", "text").mapInArrow(_shingle_lists(shingle), "node long, hashes binary, counts binary"))
+
+    def with_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+        """``pairs`` with the columns of ``table`` (node, ...) for both ends; an end ``a`` may have many pairs."""
+        side = lambda end: table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "node"])
+        often = pairs.groupBy("a").agg(F.count("*").alias("n"))
+        return join_hot(pairs, materialise(often).join(side("a"), "a"), "a").join(side("b"), "b")
 
     def links(pairs: DataFrame) -> DataFrame:
-        nonlocal lists
-        for end in ("a", "b"):
-            pairs = pairs.join(registers.select(F.col("node").alias(end), F.col("registers").alias(f"registers_{end}")), end)
+        pairs = with_ends(materialise(pairs), registers.drop("size"))
         pairs = materialise(pairs.select("a", "b", "registers_a", "registers_b").mapInArrow(_likely(least, m), pair))
-        if lists is None:  # shingles of the texts that share a bucket: one row of each text
-            near = member.select("node").distinct().join(nodes.drop("n"), "node")
-            lists = materialise(
-                base.join(near.select(F.col("node").alias("near"), "rep"), (F.col("node") == F.col("near")) & F.col("doc_id").eqNullSafe(F.col("rep")))
-                .select("node", "text").mapInArrow(_shingle_lists(shingle), "node long, hashes binary, counts binary").dropDuplicates(["node"])
-            )
-        for end in ("a", "b"):
-            pairs = pairs.join(lists.select(F.col("node").alias(end), F.col("hashes").alias(f"hashes_{end}"), F.col("counts").alias(f"counts_{end}")), end)
-        return pairs.mapInArrow(_verify(threshold), pair)
+        return with_ends(pairs, lists).mapInArrow(_verify(threshold), pair)
 
-    starred = member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()
-    first = materialise(links(starred))
+    first = materialise(links(member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()))
     roots = components(first)
     # the rest: members of one bucket that are in different components, but for pairs with the pivot
-    place = member.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root"))
-    mixed = place.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low < high").select("bucket")
-    place = materialise(place.where("node <> pivot").join(mixed, "bucket", "left_semi"))
-    sizes = materialise(place.groupBy("bucket").count())
-    small = place.join(sizes.where(F.col("count") <= PAIRED), "bucket")
-    other = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
-    rest = small.withColumnRenamed("node", "a").join(other, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
+    place = materialise(member.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root")))
+    mixed = materialise(place.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n"))
+    place = materialise(join_hot(place, mixed, "bucket").where("node <> pivot").select("bucket", "node", "root").join(registers.select("node", "size"), "node"))
+    per_root = place.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
+    sums = per_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("most"))
+    sums = materialise(sums.select("bucket", "n", "size", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("n_out"), (F.col("size") - F.col("most.size")).alias("size_out")).where("n_out > 0"))
+    small = place.join(sums.where(F.col("n") <= PAIRED).select("bucket"), "bucket")
+    facing = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
+    rest = small.withColumnRenamed("node", "a").join(facing, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
     more = materialise(links(rest))
-    large = sizes.where(F.col("count") > PAIRED).withColumn("chunks", F.ceil(F.col("count") / CHUNK))
+    large = sums.where(F.col("n") > PAIRED)
     if not large.isEmpty():
-        chunk = F.pmod(F.xxhash64("node", "bucket"), F.col("chunks"))
-        dealt = join_hot(place, large.withColumn("n", F.col("count")), "bucket").select("bucket", "node", "root", "chunks", chunk.alias("chunk"))
-        full = dealt.join(registers, "node").join(lists, "node")
-        # every chunk meets every other once, and itself
-        met = F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("met")
-        full = full.select("*", met).select("bucket", "node", "root", "registers", "hashes", "counts", F.least("chunk", "met").alias("low"), F.greatest("chunk", "met").alias("high"), (F.col("chunk") > F.col("met")).cast("int").alias("side"))
-        more = more.union(materialise(full.groupBy("bucket", "low", "high").applyInArrow(_chunk_pair(threshold, least, m), pair)))
+        chunks = lambda n, size: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(size) * 8 / CHUNK_BYTES))
+        large = large.select("bucket", "n", "main", chunks("n", "size").alias("all"), chunks("n_out", "size_out").alias("few"))
+        dealt = join_hot(place.drop("size"), large, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+        full = dealt.join(registers.drop("size"), "node").join(lists, "node")
+        columns = ["bucket", "node", "root", "outside", "registers", "hashes", "counts"]
+        spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
+        every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+        one = full.where("outside").select(*columns, spread("few", 1).alias("i"), every("all").alias("j"), F.lit(0).alias("side"))
+        two = full.select(*columns, every("few").alias("i"), spread("all", 2).alias("j"), F.lit(1).alias("side"))
+        more = more.union(materialise(one.union(two).groupBy("bucket", "i", "j").applyInArrow(_chunk_pair(threshold, least, m), pair)))
     if not more.isEmpty():
         roots = components(first.union(more))
 
-    ranked = nodes.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    ranked = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ranked.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = materialise(ranked.join(named, "root").select("node", "class_id", "n"))
-    return join_hot(signed.select("doc_id", "node"), classes, "node").select("doc_id", "node", "class_id")
+    return join_hot(signed.select("doc_id", "name", "other", node.alias("node")), classes, "node").select("doc_id", "name", "other", "node", "class_id")
+
+
+def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, slack: float | None = SLACK) -> DataFrame:
+    """(doc_id, node, class_id) for every row of ``docs`` (doc_id, text, ...)."""
+    return _classes(docs, threshold, shingle, bands, rows, slack).select("doc_id", "node", "class_id")
 
 
-def one_of_each(docs: DataFrame, **options) -> DataFrame:
+def one_of_each(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, slack: float | None = SLACK) -> DataFrame:
     """The rows of ``docs`` that stay: of each class the one with the smallest doc_id."""
     docs, restored = set_apart(docs, "doc_id", "text")
-    classes = materialise(near_duplicates(docs, **options))
-    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "node")
-    keep = classes.groupBy(F.coalesce("class_id", "node").alias("class"), F.col("class_id").isNull().alias("unnamed")).agg(F.min(order).alias("kept"))
-    keep = keep.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.node").alias("kept_node"))
-    node = F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
-    kept = docs.join(keep, (node == F.col("kept_node")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
-    repeated = classes.groupBy("doc_id", "node").count().where("count > 1")
+    classes = materialise(_classes(docs, threshold, shingle, bands, rows, slack))
+    order = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "name", "other")
+    keep = classes.groupBy(F.col("class_id").isNull().alias("unnamed"), "class_id", F.when(F.col("class_id").isNull(), F.col("node")).alias("of")).agg(F.min(order).alias("kept"))
+    keep = keep.select(F.col("kept.doc_id").alias("kept_id"), F.col("kept.name").alias("kept_name"), F.col("kept.other").alias("kept_other"))
+    name, other = _named(F.coalesce(F.col("text"), F.lit("")))
+    kept = docs.join(keep, (name == F.col("kept_name")) & (other == F.col("kept_other")) & F.col("doc_id").eqNullSafe(F.col("kept_id")))
+    repeated = classes.groupBy("doc_id", "name", "other").count().where("count > 1")
     if not repeated.isEmpty():
-        kept = kept.dropDuplicates(["kept_id", "kept_node"])
+        kept = kept.dropDuplicates(["kept_id", "kept_name", "kept_other"])
     return restored(kept)
