@@ -53,17 +53,44 @@ def test_near_duplicates_of_a_large_group(spark, monkeypatch):
     assert got == brute.classes(rows)
 
 
+def test_texts_that_share_a_name_stay_apart(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "_named", lambda text: (F.pmod(F.xxhash64(text), F.lit(5)), F.xxhash64(F.lit(7), text)))
+    rows = [(i, " ".join(prose(i % 30, 60))) for i in range(45)] + [(50, changed(prose(3, 60), 7)), *EDGES]
+    assert {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs_of(spark, rows)).collect()} == brute.classes(rows)
+    assert sorted(x.doc_id for x in near_dedup.one_of_each(docs_of(spark, rows)).collect()) == sorted(set(brute.classes(rows).values()))
+
+
+def test_ids_of_other_types_and_missing_ids(spark):
+    a = prose(1, 60)
+    rows = [("b", " ".join(a)), ("a", changed(a, 30)), (None, "only text"), (None, "only text"), (None, "other"), ("c", None)]
+    df = spark.createDataFrame(rows, "doc_id string, text string")
+    got = sorted(((x.doc_id, x.class_id) for x in near_dedup.near_duplicates(df).collect()), key=str)
+    assert got == sorted([("b", "a"), ("a", "a"), (None, None), (None, None), (None, None), ("c", "c")], key=str)
+    assert sorted((x.doc_id, x.text) for x in near_dedup.one_of_each(df).collect() if x.doc_id) == [("a", changed(a, 30)), ("c", None)]
+    assert sorted(x.text for x in near_dedup.one_of_each(df).collect() if x.doc_id is None) == ["only text", "other"]
+
+
+def test_no_pair_is_left_out_without_slack(spark, monkeypatch):
+    monkeypatch.setattr(near_dedup, "PAIRED", 2)
+    monkeypatch.setattr(near_dedup, "CHUNK_BYTES", 2000)  # chunks by bytes
+    r, a = random.Random(15), prose(14, 80)
+    rows = [(i, changed(a, *r.sample(range(80), r.randrange(1, 5)))) for i in range(40)] + [(50, " ".join(prose(2, 5000)))]
+    got = {x.doc_id: x.class_id for x in near_dedup.near_duplicates(docs_of(spark, rows), slack=None).collect()}
+    assert got == brute.classes(rows)
+
+
 def test_chunks_are_compared_in_any_row_order():
     import numpy as np
     import pyarrow as pa
 
     hashes = np.arange(100, dtype=np.uint64)
-    for side in ([1, 1, 0, 0], [0, 0, 1, 1], [1, 0, 1, 0], [0, 0, 0, 0]):
-        n = len(side)
-        table = pa.table({"node": pa.array(range(n), pa.int64()), "root": pa.array(range(n), pa.int64()), "side": pa.array(side, pa.int32()), "registers": [b"x" * 120] * n, "hashes": [hashes.tobytes()] * n, "counts": [b""] * n})
-        got = near_dedup._chunk_pair(0.8, 0.6, 120)(table).to_pylist()
-        assert len(got) == n - 1, side  # all texts are alike, so all become one component
-        assert not any(side) or all(side[x["a"]] == 0 and side[x["b"]] == 1 for x in got)
+    for side in ([1, 1, 0, 0], [0, 0, 1, 1], [1, 0, 1, 0]):
+        for outside in (False, True):
+            nodes = [10, 20, 30, 40]
+            table = pa.table({"node": pa.array(nodes, pa.int64()), "root": pa.array(nodes, pa.int64()), "side": pa.array(side, pa.int32()), "outside": pa.array([outside or s == 0 for s in side]), "registers": [b"x" * 120] * 4, "hashes": [hashes.tobytes()] * 4, "counts": [b""] * 4})
+            got = near_dedup._chunk_pair(0.8, 0.6, 120)(table).to_pylist()
+            assert all(side[nodes.index(x["a"])] == 0 and side[nodes.index(x["b"])] == 1 and (not outside or x["a"] < x["b"]) for x in got)
+            assert outside or len(got) == 3, side  # all texts are alike, so all become one component
 
 
 def test_empty_tables(spark):
@@ -108,6 +135,29 @@ def test_urls(spark):
     assert at[8][2] is None and all(v[3] in ("allow", "block") for v in at.values())
 
 
+def test_url_scores_and_verdicts(spark, data, monkeypatch):
+    r = random.Random(9)
+    host = lambda: "".join(r.choice("abcdeghilmnorst") for _ in range(r.randrange(3, 9)))
+    urls = [f"https://{host()}.com/{host()}/{r.randrange(999)}" for _ in range(60)] + [f"http://{host()}.net/{r.choice(['fr', 'es'])}/casino-{host()}" for _ in range(50)]
+    urls += [f"http://{host()}.org/{r.choice(['', 'casino-'])}{host()}" for _ in range(40)] + [None, "", "x", urls[0], urls[0], "http://é.org/Ü" + "ab" * 900]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    for table in (pages, spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url")):
+        given = {x.page_id: x.url for x in table.collect()}
+        got = {x.page_id: x for x in url_filter.judge_urls(table).collect()}
+        ids = sorted(given)
+        ruled = [got[i].verdict if got[i].rule else None for i in ids]
+        scores = brute.url_scores([given[i] for i in ids], ruled)
+        cut = brute.url_cut(scores, ruled, [given[i] for i in ids])
+        for i, x, rule in zip(ids, scores, ruled, strict=True):
+            assert got[i].score == pytest.approx(x, abs=1e-8), given[i]
+            assert rule or got[i].verdict == ("allow" if cut is None or not given[i] or round(x, 9) >= cut else "block")
+        monkeypatch.setattr(url_filter, "BROADCAST_WINDOWS", 0)
+        assert {x.page_id: x for x in url_filter.judge_urls(table).collect()} == got
+        monkeypatch.undo()
+    one_kind = spark.createDataFrame([(i, f"http://a{i}.com/x") for i in range(30)] + [(99, "http://b.org/y")], "page_id long, url string")
+    assert {x.verdict for x in url_filter.judge_urls(one_kind).collect()} == {"allow"}
+
+
 def test_decontamination(spark):
     r = random.Random(8)
     items = [(i, " ".join(prose(50 + i, r.randrange(12, 50), 500)) + ".") for i in range(30)] + [(90, None), (91, ""), (92, "short item"), (0, " ".join(prose(50, 20, 500)))]

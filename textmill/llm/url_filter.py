@@ -12,23 +12,25 @@ a fold of the ruled URLs that the models have not seen: the cut with the highest
 of the two classes' hit rates.
 
 URLs are read over 42 symbols: a-z, one digit class, thirteen marks and one for the
-rest. Only distinct symbol windows are scored; a window table of at most
-BROADCAST_WINDOWS rows is broadcast (its size is counted first), a larger one is joined
-by a salted shuffle. A URL's windows are summed where they are made, before any shuffle.
+rest. Each distinct URL is counted and scored once. Only distinct symbol windows get a ratio; a window table of at most
+BROADCAST_WINDOWS rows is broadcast (its size is counted first), and a URL's windows are summed where they are made;
+with a larger one a row of two hashes and a window is shuffled for each symbol of a distinct URL,
+but for the windows that are so common that they are broadcast in any case. Scores go back to the rows by the URL's hashes.
 
 Null or malformed URLs have an empty host and path and no rule; the method still judges
-them (an empty URL scores 0). Without ruled URLs of both kinds every verdict is allow.
+them, but a null or empty URL says nothing: it scores 0 and is allowed. Without ruled URLs of both kinds
+in the fold for calibration every other verdict is allow too. A score at the cut is allowed.
 Repeated rows are judged alike; other columns are ignored.
 """
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import materialise
+from .common import join_hot, materialise
 
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
-ORDER, STRENGTH, BROADCAST_WINDOWS, SALTS, STEPS, SHORT = 4, 2.0, 400_000, 16, 100, 2
+ORDER, STRENGTH, BROADCAST_WINDOWS, STEPS, SHORT = 4, 2.0, 400_000, 100, 2
 MARKS = ":/.?#=&-_%~+"
 SYMBOLS = 42
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -98,31 +100,31 @@ def _log_ratios(windows: DataFrame, counted: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of ``pages``."""
-    df = _ruled(pages.select("page_id", "url"), rules).withColumn("symbols", _symbols(F.col("url")))
-    df = df.withColumn("fold", F.when(F.col("ruled").isNotNull(), F.pmod(F.crc32(F.coalesce("url", F.lit(""))), F.lit(5))))
-    fresh = (F.col("fold") > 0).cast("long")
-    counted = _windows(df.select("symbols", "ruled", "fold")).groupBy("window").agg(
-        F.sum(F.when(F.col("ruled") == "allow", fresh).otherwise(0)).alias("good"), F.sum(F.when(F.col("ruled") == "block", fresh).otherwise(0)).alias("bad"))
-    counted = materialise(counted)
-    ratios = materialise(_log_ratios(counted.select("window"), counted.where("good + bad > 0")))
-
-    rows = _windows(df)
-    keys = ["page_id", "url", "host", "path", "rule", "ruled", "fold"]
+    df = _ruled(pages.select("page_id", "url"), rules)
+    raw = F.coalesce("url", F.lit(""))
+    df = df.withColumn("fold", F.when(F.col("ruled").isNotNull(), F.pmod(F.crc32(raw), F.lit(5)))).withColumns({"h1": F.xxhash64(raw), "h2": F.xxhash64(F.lit(7), raw)})
+    urls = df.groupBy("h1", "h2").agg(F.first(_symbols(F.col("url"))).alias("symbols"), F.first("ruled").alias("ruled"), F.first("fold").alias("fold"), F.count("*").alias("n"))
+    urls = materialise(urls)
+    fresh = lambda verdict: F.sum(F.when((F.col("ruled") == verdict) & (F.col("fold") > 0), F.col("n")).otherwise(0))
+    counted = materialise(_windows(urls.drop("h1", "h2")).groupBy("window").agg(fresh("allow").alias("good"), fresh("block").alias("bad"), F.count("*").alias("n")))
+    ratios = materialise(_log_ratios(counted.select("window"), counted.where("good + bad > 0").drop("n")))
+
+    rows = _windows(urls.select("h1", "h2", "symbols")).select("h1", "h2", "window")
     if ratios.count() <= BROADCAST_WINDOWS:
         rows = rows.join(F.broadcast(ratios), "window")
     else:
-        salted = ratios.withColumn("salt", F.explode(F.array([F.lit(i) for i in range(SALTS)])))
-        rows = rows.withColumn("salt", F.pmod(F.xxhash64("page_id", "at"), F.lit(SALTS)).cast("int")).join(salted, ["window", "salt"])
-    # each repeated row has as many windows more, so the mean stays the same and its rows are counted
-    scored = rows.groupBy(*keys).agg(F.round(F.avg("ratio"), 9).alias("score"), F.sum(F.when(F.col("at") == 1, 1).otherwise(0)).alias("times"))
-    scored = materialise(scored)
-
-    bins = scored.where("fold = 0").groupBy(F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")) * STEPS).cast("long").alias("bin")).agg(
-        F.sum(F.when(F.col("ruled") == "allow", F.col("times")).otherwise(0)).alias("good"), F.sum(F.when(F.col("ruled") == "block", F.col("times")).otherwise(0)).alias("bad"))
+        rows = join_hot(rows, ratios.join(counted.select("window", "n"), "window"), "window")
+    scores = rows.groupBy("h1", "h2").agg(F.round(F.avg("ratio"), 9).alias("score"))
+    scores = materialise(urls.select("h1", "h2", "n").join(scores, ["h1", "h2"]))
+    blank = raw == ""
+    scored = join_hot(df.select("page_id", "host", "path", "rule", "ruled", "fold", "h1", "h2", blank.alias("blank")), scores, "h1", "h2")
+    scored = materialise(scored.withColumn("score", F.when(F.col("blank"), 0.0).otherwise(F.col("score"))).drop("h1", "h2"))
+
+    one = lambda verdict: F.sum((F.col("ruled") == verdict).cast("long"))
+    bins = scored.where("fold = 0").groupBy(F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")) * STEPS).cast("long").alias("bin")).agg(one("allow").alias("good"), one("block").alias("bad"))
     least = _cut([(r["bin"], r["good"], r["bad"]) for r in bins.collect()])  # at most 40 * STEPS + 1 bins
-    verdict = F.coalesce("ruled", F.when(F.lit(least is None) | (F.col("score") >= F.lit(least)), "allow").otherwise("block"))
-    copies = F.explode(F.sequence(F.lit(1), F.col("times"))).alias("copy")
-    return scored.withColumn("verdict", verdict).select("page_id", "host", "path", "rule", "verdict", "score", copies).drop("copy")
+    verdict = F.coalesce("ruled", F.when(F.lit(least is None) | F.col("blank") | (F.col("score") >= F.lit(least)), "allow").otherwise("block"))
+    return scored.withColumn("verdict", verdict).select("page_id", "host", "path", "rule", "verdict", "score")
 
 
 def _cut(bins: list[tuple[int, int, int]]) -> float | None:
