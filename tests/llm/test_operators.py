@@ -326,9 +326,15 @@ def test_sharding(spark, data):
         assert slots == list(range(len(slots)))
     assert all(r.grown_shard in (r.shard, 40) for r in got) and any(r.grown_shard == 40 for r in got)
     assert len({r.shard for r in got if r.doc_id is None}) == 1 == len({r.shard for r in got if r.doc_id == 7})
+    from zlib import crc32
+
+    assert sorted((r.doc_id or -1, r.size, r.text_crc32) for r in got) == sorted((i or -1, len((t or "").encode()) + 16, crc32((t or "").encode())) for i, t in rows)
+    same = spark.createDataFrame([(None, "same é")] * 3000 + [(i, "t" * 300_000) for i in range(3)], "doc_id long, text string").repartition(16)
+    got_same = sharding.assign_shards(same, queries.TREE, queries.TREE.grow()).where("doc_id is null").collect()  # one key for nearly all rows
+    assert len({r.slot for r in got_same}) == 3000 and {r.text_crc32 for r in got_same} == {crc32("same é".encode())}
     duckdb.sql(f"create or replace view documents as select * from '{data}/documents.parquet'")
-    want = sorted(duckdb.sql(oracle.shard_sql()).select("doc_id, size, shard, slot, grown_shard").fetchall())
-    assert want == sorted(tuple(r) for r in queries.shard_placement(spark, data).select("doc_id", "size", "shard", "slot", "grown_shard").collect())
+    want = sorted(duckdb.sql(oracle.shard_sql()).select("doc_id, size, shard, grown_shard").fetchall())
+    assert want == sorted(tuple(r) for r in queries.shard_placement(spark, data).select("doc_id", "size", "shard", "grown_shard").collect())
 
 
 def test_weight_change_moves_only_into_its_subtree(spark):

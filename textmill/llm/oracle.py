@@ -3,7 +3,7 @@
 from . import licenses
 from .chat_format import CLOSE, CONTROLS, OPEN
 from .queries import SAID, TREE
-from .sharding import BLOCKS, _weight
+from .sharding import _weight
 
 
 def _quoted(text: str) -> str:
@@ -53,8 +53,7 @@ def shard_sql() -> str:
 
     base = "(SELECT doc_id, strlen(coalesce(text, '')) + 16 AS size, coalesce(text, '') AS text FROM documents)"
     both = placed(TREE.grow(), placed(TREE, base, "shard"), "grown_shard")
-    return f"""SELECT doc_id, CAST(size AS BIGINT) AS size, 'key' AS law, shard, grown_shard,
-      row_number() OVER (PARTITION BY shard ORDER BY {_draw('block')} % {BLOCKS}, doc_id) - 1 AS slot FROM {both}"""
+    return f"""SELECT doc_id, CAST(size AS BIGINT) AS size, 'key' AS law, shard, grown_shard FROM {both}"""
 
 
 def license_sql() -> str:

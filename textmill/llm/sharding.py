@@ -10,8 +10,10 @@ A new shard is added as a region of its own (``grow``): no other weight changes,
 every key either stays or goes to the new shard. That is the law ``key``.
 
 Slots number the rows of a shard without gaps, with no task holding a whole shard: rows
-are numbered in blocks of a shard (a hash of the key), whose starts are the running sums of
-the block sizes; the table of sizes has at most shards x blocks rows.
+are numbered in blocks of a shard, whose starts are the running sums of the block sizes. A block is a hash
+of the key, the ties and the number of the row's partition, so rows of one key, or equal rows, spread
+over blocks too; rows are written with their shards and blocks, once. The table of sizes has at most shards x blocks rows; it is joined to the
+blocks where they are, as both are dealt by shard and block, and broadcast only if Spark finds it small.
 
 A null key is a key of its own; repeated rows share the shard and get slots of their own,
 in any order among equal rows. A null text has no bytes. Other columns are ignored.
@@ -22,6 +24,8 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import materialise
+
 BLOCKS = 1024
 
 
@@ -41,12 +45,6 @@ class Tree:
         return Tree((*self.weights, (((last + 1, weight),),)))
 
 
-def hashed(key: Column, name: str) -> Column:
-    """52 bits of a hash that other engines can compute as well."""
-    digest = F.md5(F.concat(F.coalesce(key.cast("string"), F.lit("")), F.lit("/" + name)).cast("binary"))
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
-
-
 def _weight(node) -> float:
     return node[1] if isinstance(node[0], int) else sum(map(_weight, node))
 
@@ -74,12 +72,13 @@ def place(df: DataFrame, key: str, tree: Tree, out: str) -> DataFrame:
 
 def numbered(df: DataFrame, key: str, shard: str, out: str, ties: list[str], blocks: int = BLOCKS) -> DataFrame:
     """``df`` with gapless slots from 0 in each shard, ordered by block, key and ties."""
-    df = df.withColumn("_block", F.pmod(hashed(F.col(key), "block"), F.lit(blocks)).cast("int"))
+    # written once: the blocks' sizes and their rows must agree on every row's block
+    df = materialise(df.withColumn("_block", F.pmod(F.xxhash64(key, *ties, F.spark_partition_id()), F.lit(blocks)).cast("int")))
     sizes = df.groupBy(shard, "_block").count()
     before = Window.partitionBy(shard).orderBy("_block").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select(F.col(shard).alias("_shard"), F.col("_block").alias("_at"), F.coalesce(F.sum("count").over(before), F.lit(0)).alias("_start"))
     within = Window.partitionBy(shard, "_block").orderBy(F.col(key).asc_nulls_first(), *ties)
-    rows = df.withColumn("_row", F.row_number().over(within)).join(F.broadcast(starts), (F.col(shard) == F.col("_shard")) & (F.col("_block") == F.col("_at")))
+    rows = df.withColumn("_row", F.row_number().over(within)).join(starts, (F.col(shard) == F.col("_shard")) & (F.col("_block") == F.col("_at")))
     return rows.withColumn(out, (F.col("_start") + F.col("_row") - 1).cast("long")).drop("_block", "_shard", "_at", "_start", "_row")
 
 
