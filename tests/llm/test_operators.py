@@ -226,6 +226,70 @@ def test_altered_items_are_found(spark):
     assert found == set(range(38))  # one altered word anywhere; not the question alone, or with a third of the answer
 
 
+def test_features_counts_and_ratios_against_plain_ones(spark):
+    import numpy as np
+    import pyarrow as pa
+
+    r = random.Random(12)
+    texts = [" ".join(r.choice(["Bad", "good", "ÀÉß", "x-y", "plain", "zorkface"]) for _ in range(r.randrange(0, 12))) for _ in range(60)]
+    data, off = toxicity._clean(pa.array(texts, pa.large_string()))
+    for i, t in enumerate(texts):
+        low = "".join(c.lower() if c.isalnum() else " " for c in t).replace("ß", "ss")
+        assert data[off[i] : off[i + 1]].tobytes().decode() == " " + " ".join(low.split(" ")) + " "
+    grams = [{data[off[i] : off[i + 1]].tobytes()[k : k + n] for n in toxicity.LENGTHS for k in range(off[i + 1] - off[i] - n + 1)} for i in range(60)]
+    row, feature = toxicity._features(pa.array(texts, pa.large_string()))
+    assert [np.count_nonzero(row == i) for i in range(60)] == [len(g) for g in grams]  # hashed apart at this size
+    toxic = np.array([i % 3 == 0 for i in range(60)]).astype(np.int64)
+    batch = pa.RecordBatch.from_arrays([pa.array(texts), pa.array(toxic)], ["text", "toxic"])
+    halves = [list(toxicity._counter([batch.slice(0, 25)])), list(toxicity._counter([batch.slice(25)]))]
+    got = {}
+    for i in range(toxicity.RANGES):
+        out = toxicity._ratios(pa.Table.from_batches([h[i] for h in halves]))
+        got |= dict(zip(out["feature"].to_pylist(), out["ratio"].to_pylist(), strict=True))
+    of = {}
+    for i in range(60):
+        for f in feature[row == i]:
+            of.setdefault(int(f), [0, 0])[int(toxic[i])] += 1
+    want = {f: np.log((1 + b) / (2 + 20) / ((1 + a) / (2 + 40))) for f, (a, b) in of.items() if a + b >= toxicity.MIN_TEXTS}
+    want = {f: x for f, x in want.items() if abs(x) > toxicity.LEAST_RATIO}
+    assert got.keys() == want.keys() and all(got[f] == pytest.approx(x) for f, x in want.items())
+
+
+def test_weights_are_the_optimum():
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    x = rng.random((80, 12)) < 0.4
+    toxic = (x[:, 0] | (rng.random(80) < 0.2)).astype(float)
+    ratio = rng.normal(0, 2, 12)
+    row, at = np.nonzero(x)
+    weights, bias = toxicity.optimise(row, at, toxic, ratio, ridge=2.0)
+    scaled, w = x * ratio, weights / ratio
+
+    def loss(w, bias):
+        z = scaled @ w + bias
+        return np.sum(np.logaddexp(0, z) - toxic * z) + np.sum(w**2)
+
+    least = loss(w, bias)
+    z = 1 / (1 + np.exp(-(scaled @ w + bias))) - toxic
+    assert np.abs(scaled.T @ z + 2.0 * w).max() < 1e-2 and abs(z.sum()) < 1e-2  # no slope is left
+    for _ in range(200):
+        assert loss(w + rng.normal(0, 0.05, 12), bias + rng.normal(0, 0.05)) >= least
+
+
+def test_labels_that_repeat_contradict_or_lack(spark):
+    rows = [(i, "vile words here" if i % 2 else "good words there") for i in range(40)] + [(3, "another vile text"), (None, "vile")]
+    pairs = [(i, i % 2) for i in range(40)] + [(1, 1), (2, 1), (None, 1), (5, None), (99, 1)]
+    df = docs_of(spark, rows, True)
+    got = {x.doc_id: x.score for x in toxicity.score(df, toxicity.fit(df, spark.createDataFrame(pairs, "doc_id long, toxic int"))).collect()}
+    assert len(got) == 41 and got[7] > 0.5 > got[8]
+    for label in (0, 1):
+        one = toxicity.score(df, toxicity.fit(df, spark.createDataFrame([(i, label) for i in range(9)], "doc_id long, toxic int"))).collect()
+        assert {round(x.score) for x in one} == {label} and len(one) == len(rows)
+    none = toxicity.score(df, toxicity.fit(df, spark.createDataFrame([(1, None)], "doc_id long, toxic int"))).collect()
+    assert {round(x.score, 3) for x in none} == {0.0}
+
+
 def test_toxicity_keeps_the_natural_share(spark, monkeypatch):
     r = random.Random(1)
     rows = [(i, "the same plain text" + (" vilegrub" if r.random() < (0.9 if i % 10 == 0 else 0.1) else "")) for i in range(1000)]
@@ -237,14 +301,12 @@ def test_toxicity_keeps_the_natural_share(spark, monkeypatch):
 
 
 def test_toxicity(spark):
-    r = random.Random(1)
     rows = [(i, " ".join(prose(i, 60, 300) + (["vilegrub", "zorkface"] if i % 4 == 0 else []))) for i in range(400)]
     labels = spark.createDataFrame([(i, int(i % 4 == 0)) for i, _ in rows if i < 300], "doc_id long, toxic int")
     df = docs_of(spark, rows + [(900, None), (901, ""), (902, "ok " * 100_000)])
     got = {x.doc_id: x.score for x in toxicity.score(df, toxicity.fit(df, labels)).collect()}
     assert all((got[i] >= 0.3) == (i % 4 == 0) for i, _ in rows if i >= 300)
     assert len(got) == 403 and all(0 <= s <= 1 for s in got.values()) and got[900] == got[901]
-    assert r is not None
 
 
 def chats(records, key="id"):

@@ -8,14 +8,15 @@ dropped. The score is the logistic of bias + sum of the weights of the n-grams p
 
 Training reads a bounded sample of the labelled texts, whole: of each label about SAMPLE texts,
 those with the lowest hash of their id. The bias is shifted by the log of the two labels' sampling
-rates, so that the score keeps the labels' natural share at any size. They are written once; one task counts their features slice
-by slice, all tasks then list the wanted features of each text, and one task fits the weights to
+rates, so that the score keeps the labels' natural share at any size. They are written once; tasks count their features slice by slice and sum the counts by RANGES of
+features, then list the wanted features of each text, and one task fits the weights to
 these lists. No task holds more text than a slice or a single text. The model has at most 2 ** BITS
-weights. Scoring reads every text whole, with no shuffle.
+weights and is broadcast. Scoring reads every text whole, with no shuffle.
 
 Nulls: a null text is an empty one and gets the bias alone; rows without a label or an id
-are not trained on. Without examples of both classes the score is the share of toxic examples (0
-without any). Other columns are never read.
+are not trained on. A repeated id trains with each of its texts, a repeated label once, and
+labels that contradict each other with both. Without examples of both classes the score is the share
+of toxic examples (0 without any). Other columns are never read.
 """
 
 import numpy as np
@@ -26,7 +27,7 @@ from pyspark.sql import functions as F
 from . import textbuf
 from .common import materialise
 
-BITS, LENGTHS, SAMPLE, MIN_TEXTS = 22, (3, 5, 7, 9), 2000, 6
+BITS, LENGTHS, SAMPLE, MIN_TEXTS, RANGES = 22, (3, 5, 7, 9), 2000, 6, 64
 RIDGE, STEPS, ALPHA, LEAST_RATIO = 2.0, 300, 1.0, 1.5
 
 
@@ -74,18 +75,30 @@ def _parts(batches):
             yield part, part.column("toxic").to_numpy(zero_copy_only=False)
 
 
+COUNTED = "range int, clean binary, toxic binary, n_clean long, n_toxic long"
+
+
 def _counter(batches):
-    """The wanted features and their log-count ratios."""
-    seen, texts = np.zeros((2, 1 << BITS), np.int32), np.zeros(2)
+    """For each range of features the numbers of clean and of toxic texts that have them."""
+    seen, texts = np.zeros((2, 1 << BITS), np.int32), [0, 0]
     for part, toxic in _parts(batches):
         row, feature = _features(part.column("text"))
         for label in (0, 1):
             seen[label] += np.bincount(feature[toxic[row] == label], minlength=1 << BITS).astype(np.int32)
-            texts[label] += np.count_nonzero(toxic == label)
+            texts[label] += int(np.count_nonzero(toxic == label))
+    for i, (clean, toxic) in enumerate(zip(seen[0].reshape(RANGES, -1), seen[1].reshape(RANGES, -1), strict=True)):
+        yield pa.RecordBatch.from_pydict({"range": pa.array([i], pa.int32()), "clean": [clean.tobytes()], "toxic": [toxic.tobytes()], "n_clean": [texts[0]], "n_toxic": [texts[1]]})
+
+
+def _ratios(counts: pa.Table) -> pa.Table:
+    """The wanted features of a range and their log-count ratios."""
+    seen = [np.sum([np.frombuffer(x, np.int32) for x in counts.column(c).to_pylist()], axis=0) for c in ("clean", "toxic")]
+    texts = [sum(counts.column(c).to_pylist()) for c in ("n_clean", "n_toxic")]
     p, q = ((ALPHA + seen[label]) / (2 * ALPHA + texts[label]) for label in (1, 0))
     ratio = np.log(p / q)
-    used = np.flatnonzero((seen.sum(axis=0) >= MIN_TEXTS) & (np.abs(ratio) > LEAST_RATIO))  # the others move no score by much
-    yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(ratio[used])], ["feature", "ratio"])
+    used = np.flatnonzero((seen[0] + seen[1] >= MIN_TEXTS) & (np.abs(ratio) > LEAST_RATIO))  # the others move no score by much
+    first = counts.column("range")[0].as_py() * ((1 << BITS) // RANGES)
+    return pa.table({"feature": pa.array(used + first, pa.int64()), "ratio": pa.array(ratio[used])})
 
 
 def _lister(used: np.ndarray):
@@ -154,7 +167,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
     few = known.where((order.cast("double") / 2.0**64 + 0.5) <= bound)
     rows = docs.where("doc_id is not null").select("doc_id", "text").join(F.broadcast(few), "doc_id")
     rows = materialise(rows.select("doc_id", F.col("toxic").cast("long").alias("toxic"), F.coalesce("text", F.lit("")).alias("text")))
-    found = rows.coalesce(1).mapInArrow(_counter, "feature long, ratio double").toPandas().sort_values("feature")
+    found = rows.mapInArrow(_counter, COUNTED).groupBy("range").applyInArrow(_ratios, "feature long, ratio double").toPandas().sort_values("feature")
     used, ratio = found.feature.to_numpy(np.int64), found.ratio.to_numpy(float)
     lists = rows.mapInArrow(_lister(used), "doc_id long, toxic long, places binary")
     model = lists.repartition(1).sortWithinPartitions("doc_id", "places").mapInArrow(_trainer(ratio), "place long, weight double").toPandas().sort_values("place")
@@ -164,10 +177,9 @@ def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, flo
 
 
 def _scorer(model):
-    used, weights, bias = model
-    table, wanted = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool)
-
     def run(batches):
+        used, weights, bias = model.value
+        table, wanted = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, bool)
         table[used], wanted[used] = weights, True
         for whole in batches:
             for batch in textbuf.slices(whole, "text"):
@@ -181,5 +193,5 @@ def _scorer(model):
 
 def score(docs: DataFrame, model) -> DataFrame:
     """(doc_id, score) for every row of ``docs``."""
-    return docs.select("doc_id", "text").mapInArrow(_scorer(model), "doc_id long, score double")
-
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(model)), f"doc_id {kind}, score double")
