@@ -168,3 +168,46 @@ def url_cut(scores, ruled, urls, steps=100):
     places = [at[0] - 0.5] + [(a + b) / 2 for a, b in zip(at, [*at[1:], at[-1] + 1], strict=True)]
     rate = lambda c: sum(1 / kinds[r] for b, r in rows if (b >= c) == (r == "allow"))
     return max(places, key=lambda c: (round(rate(c), 9), c)) / steps
+
+
+def quality_votes(text):
+    """The votes of the rules on a text, in the order of their definition."""
+    text = text or ""
+    w, lines = words(text), [x for x in text.split("\n") if x.strip(" \t\r\n\x0b\x0c")]
+    n, chars = max(1, len(w)), max(1, sum(map(len, w)))
+    repeated, symbols = quality_features(text)[4], quality_features(text)[2]
+    mean = sum(map(len, w)) / n
+    upper = sum(c in "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÃÄÅÆÇÈÉÊËÌÍÎÏÑÒÓÔÕÖØÙÚÛÜÝ" for c in text)
+    bad = [len(w) < 5, mean > 7 or mean < 3, symbols > 0.1 * n, len(lines) - len(set(lines)) > 0.3 * len(lines), repeated > 0.3 * n, upper > 0.3 * chars, text.count("!") > 0.5 * n, sum(c in "0123456789" for c in text) > 0.4 * chars]
+    good = [40 <= len(w) <= 20_000, 4.2 <= mean <= 6.5, *[False] * 6]
+    return tuple(-1 if b else 1 if g else 0 for b, g in zip(bad, good, strict=True))
+
+
+def em_posteriors(votes, prior, start, rounds=300, least=0.01):
+    """Posterior probabilities of good, by expectation-maximisation over single documents."""
+    import numpy as np
+
+    v = np.array(votes)
+    chance = {k: {x: [start[x][k]] * v.shape[1] for x in (1, 0, -1)} for k in (0, 1)}  # 0: in good documents
+
+    def posteriors():
+        like = []
+        for k, share in ((0, prior), (1, 1 - prior)):
+            z = np.full(len(v), np.log(share))
+            for j in range(v.shape[1]):
+                for x in (1, 0, -1):
+                    z[v[:, j] == x] += np.log(chance[k][x][j])
+            like.append(z)
+        return 1 / (1 + np.exp(like[1] - like[0]))
+
+    for _ in range(rounds):
+        p = posteriors()
+        was, prior = prior, min(1 - least, max(least, p.mean()))
+        for k, weight in ((0, p), (1, 1 - p)):
+            for j in range(v.shape[1]):
+                sums = {x: 1.0 + weight[v[:, j] == x].sum() for x in (1, 0, -1)}
+                for x in (1, 0, -1):
+                    chance[k][x][j] = min(1 - least, max(least, sums[x] / sum(sums.values())))
+        if abs(was - prior) < 1e-9:
+            break
+    return posteriors()

@@ -421,6 +421,29 @@ def test_quality(spark, data):
     assert sorted(r.doc_id for r in kept.collect()) == sorted(i for i, r in whole.items() if r.kept)
 
 
+def test_posteriors_and_verdicts_against_plain_em(spark, data):
+    r = random.Random(21)
+    junk = [(1000 + i, r.choice(["!!! ", "#$% ", "12345 99 ", "SHOUT AGAIN "]) * r.randrange(1, 60)) for i in range(300)]
+    texts = [(x.doc_id, x.text) for x in spark.read.parquet(f"{data}/documents.parquet").collect()]
+    for rows in (texts, texts + EDGES, texts[:30] + junk):  # the last is mostly bad
+        got = sorted((x.doc_id, x.quality, x.kept) for x in quality.judge(docs_of(spark, rows, True)).collect())
+        p = brute.em_posteriors([brute.quality_votes(t) for _, t in rows], quality.PRIOR, quality.START)
+        want = sorted((i, x, bool(x >= 0.5 and not brute.quality_features(t)[5])) for (i, t), x in zip(rows, p, strict=True))
+        assert [(i, k) for i, _, k in got] == [(i, k) for i, _, k in want]
+        assert all(a[1] == pytest.approx(b[1], abs=2e-6) for a, b in zip(got, want, strict=True))
+
+
+def test_a_mostly_bad_corpus_is_found_bad():
+    r = random.Random(4)
+    counts = {}
+    for _ in range(4000):
+        good = r.random() < 0.1
+        p = tuple((1 if (r.random() < acc) == good else -1) for acc in (0.95, 0.9, 0.9))
+        counts[p] = counts.get(p, 0) + 1
+    prior, _ = quality.fit(sorted(counts.items()), 3)
+    assert prior < 0.2
+
+
 def test_em_finds_the_better_rule():
     r = random.Random(2)
     counts = {}
