@@ -47,7 +47,7 @@ from .common import set_apart, shuffle_partitions
 LENGTH, PERIOD = 200, 133
 #: A perfect difference set modulo 133.
 COVER = (0, 1, 3, 12, 20, 34, 38, 81, 88, 94, 104, 109)
-BLOCK_BYTES, BUCKET_BYTES, SEGMENT = 4 << 20, 8 << 20, 1 << 20
+BLOCK_BYTES, BUCKET_BYTES, SEGMENT = 2 << 20, 8 << 20, 1 << 20
 RESULTS = ("n_bytes", "n_removed", "n_spans", "kept")
 
 
@@ -132,7 +132,12 @@ class Names:
     def __init__(self, name: np.ndarray, bucket: np.ndarray, width: int):
         """name: n x 1 or n x 2 values of ``width`` bytes each; bucket: n numbers."""
         self.width = width
-        order = np.lexsort((*name.T[::-1], bucket))
+        order = np.argsort(name[:, 0]) if name.shape[1] == 1 else np.lexsort(name.T[::-1])
+        near = bucket[order]
+        if near.max(initial=0) < 1 << 16:
+            near = near.astype(np.uint16)  # stable sorts of so short numbers are by radix
+        order = order[np.argsort(near, kind="stable")]
+        del near
         name, bucket = name[order], bucket[order]
         new = np.ones(len(name), bool)
         new[1:] = (name[1:] != name[:-1]).any(axis=1) | (bucket[1:] != bucket[:-1])
@@ -228,12 +233,12 @@ def _repeated(level: int):
             wide[:, :width] = np.concatenate(raw)
             name = wide.view("<u8").reshape(-1, parts)
             many = np.concatenate([np.unpackbits(np.frombuffer(table.column("many")[int(i)].as_buffer(), np.uint8), count=n) for i, n in zip(rows, sizes, strict=True)]).astype(bool)
-            order = np.lexsort(name.T[::-1]) if parts > 1 else np.argsort(name[:, 0], kind="stable")
+            order = np.lexsort(name.T[::-1]) if parts > 1 else np.argsort(name[:, 0])
             same = (name[order[1:]] == name[order[:-1]]).all(axis=1)
             twice, leads = np.zeros(len(name), bool), np.ones(len(name), bool)
             twice[order[1:]] |= same
             twice[order[:-1]] |= same
-            leads[order[1:]] = ~same  # the sort is stable and the rows are in the order of blocks
+            leads[order[1:]] = ~same  # of whole texts: their sort is stable and the rows are in the order of blocks
             twice |= many & (k != WHOLE)
             at = 0
             for i, n in zip(rows, sizes, strict=True):
