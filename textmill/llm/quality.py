@@ -27,7 +27,7 @@ from .common import materialise, set_apart
 SPACE = " \t\n\x0b\f\r"
 SYMBOLS = "#*$%&|<>"
 #: EM starts from this share of good documents and these chances of each vote, in good and in
-#: bad documents; no chance leaves (LEAST, 1 - LEAST).
+#: bad documents; no chance, nor the share, leaves (LEAST, 1 - LEAST), so that no logarithm is of 0.
 PRIOR, START = 0.85, {1: (0.6, 0.3), -1: (0.05, 0.35), 0: (0.35, 0.35)}
 ROUNDS, LEAST, THRESHOLD = 300, 0.01, 0.5
 FEATURES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
@@ -95,7 +95,7 @@ def fit(patterns: list[tuple[tuple[int, ...], int]], m: int) -> tuple[float, lis
     total = sum(n for _, n in patterns)
     for _ in range(ROUNDS if total else 0):
         good = [n * posterior(p, prior, table) for p, n in patterns]
-        was, prior = prior, min(0.99, max(0.5, sum(good) / total))
+        was, prior = prior, min(1 - LEAST, max(LEAST, sum(good) / total))
         new = []
         for j in range(m):
             of = {v: [1.0, 1.0] for v in START}  # one pseudo vote of each kind
@@ -142,8 +142,8 @@ def judge(docs: DataFrame) -> DataFrame:
 
 
 def keep_good(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that are kept. Texts are read twice and never moved."""
+    """The rows of ``docs`` that are kept. Features are computed once and written with the rows; the
+    model reads only their columns back."""
     docs, restored = set_apart(docs, "doc_id", "text")
-    model = learn(with_features(docs.select("text")))
-    kept = with_features(docs).where((F.col("_row") >= 0) & ~base_failed() & (F.round(probability(model), 6) >= THRESHOLD))
-    return restored(kept)
+    featured = materialise(with_features(docs).drop("_row"))
+    return restored(featured.where(~base_failed() & (F.round(probability(learn(featured)), 6) >= THRESHOLD)))
