@@ -7,9 +7,11 @@ where it stands, over all words at once. Merges are applied in rank order, each
 its positions, and only the pairs of touched neighbours are entered anew. Every piece
 is so encoded once for the worker, and texts are read off the encoded pieces.
 
-Pieces and their ids are kept for later batches, up to CACHE_PIECES of them, after which the
+Pieces and their ids are kept for later batches, up to CACHE_BYTES, after which the
 half met first stays; results do not depend on it. Very long texts are split by a scanner
-that never holds all matches. Decoding goes from the ids back to bytes.
+that never holds all matches. Decoding goes from the ids back to bytes: in ``decode`` for all ids, in
+``encode_digests`` once for each distinct piece, which must come back as it was, so that a text's
+decoded bytes are those of its pieces in order.
 
 Nulls: a null text counts as empty and has no ids. Repeated rows are encoded alike. Other
 columns are ignored.
@@ -26,7 +28,8 @@ from pyspark.sql import DataFrame
 
 from . import textbuf
 
-CACHE_PIECES, LONG_TEXT, SCAN = 400_000, 1 << 20, 1 << 16
+#: A worker's cache holds so many bytes; a piece costs its own characters, those of its ids and PIECE_BYTES for the objects.
+CACHE_BYTES, PIECE_BYTES, LONG_TEXT, SCAN = 96 << 20, 200, 1 << 20, 1 << 16
 #: Fixed value: the characters of Unicode's White_Space property. The regex package's own
 #: class also has the separators 0x1C to 0x1F, which tiktoken's has not.
 WHITE_SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -104,7 +107,8 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, compiled(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
-        self.known: dict[str, tuple[int, str, bytes]] = {}
+        self.known: dict[str, str] = {}
+        self.held = 0  # characters of the known pieces and of their ids
 
     def pieces(self, text: str):
         """The text's pieces, in lists; a long text in several."""
@@ -116,25 +120,30 @@ class Encoder:
             yield part
 
     def learn(self, pieces: set[str]) -> None:
-        """Encode the pieces that are not known yet: (number of ids, ids as text, bytes)."""
-        if len(self.known) > CACHE_PIECES:
-            kept = dict(islice(self.known.items(), CACHE_PIECES // 2))  # those met first are mostly the frequent ones
+        """Encode the pieces that are not known yet, as their ids in text. Ids are decoded here, once for
+        each piece, and must give the piece back."""
+        if self.held + PIECE_BYTES * len(self.known) > CACHE_BYTES:
+            kept = dict(islice(self.known.items(), len(self.known) // 2))  # those met first are mostly the frequent ones
             kept.update((p, self.known[p]) for p in pieces if p in self.known)
-            self.known = kept
-        new = [p for p in pieces if p not in self.known]
+            self.known, self.held = kept, sum(len(p) + len(i) for p, i in kept.items())
+        ranks, known = self.ranks, self.known
+        new = [p for p in pieces if p not in known]
         raw = [p.encode() for p in new]
-        whole = {p: [self.ranks[b]] for p, b in zip(new, raw, strict=True) if b in self.ranks}
-        rest = [(p, b) for p, b in zip(new, raw, strict=True) if p not in whole]
-        encoded = whole | dict(zip((p for p, _ in rest), replay([b for _, b in rest], self.ranks), strict=True))
-        for p, ids in encoded.items():
-            self.known[p] = len(ids), ",".join(map(str, ids)), b"".join(map(self.token.__getitem__, ids))
+        rest = [i for i, b in enumerate(raw) if b not in ranks]
+        ids = [[ranks[b]] if b in ranks else None for b in raw]
+        for i, found in zip(rest, replay([raw[i] for i in rest], ranks), strict=True):
+            ids[i] = found
+        for p, b, found in zip(new, raw, ids, strict=True):
+            if b"".join(map(self.token.__getitem__, found)) != b:
+                raise ValueError("the ranks do not decode to what they encode")
+            said = known[p] = ",".join(map(str, found))
+            self.held += len(p) + len(said)
 
     def encode(self, text: str):
-        """Lists of (number of ids, ids as text, bytes) of the text's pieces, in order."""
+        """(ids as text, decoded text) of the text's pieces, in lists, in order."""
         for part in self.pieces(text):
             self.learn(set(part))
-            known = self.known
-            yield [known[p] for p in part]
+            yield list(map(self.known.__getitem__, part)), "".join(part)
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -157,18 +166,19 @@ def _digests(ranks_path: str, pattern: str, text_column: str):
                 short = [encoder.pattern.findall(t) if len(t) <= LONG_TEXT else None for t in texts]
                 encoder.learn(set().union(*(p for p in short if p is not None)))
                 known = encoder.known
-                counts, ids_sums, text_sums = [], [], []
-                for text, pieces in zip(texts, short, strict=True):
-                    n, ids, raw, comma = 0, hashlib.sha256(), hashlib.sha256(), ""
-                    for part in encoder.encode(text) if pieces is None else [map(known.__getitem__, pieces)] if pieces else ():
-                        numbers, said, data = zip(*part, strict=True)
-                        n += sum(numbers)
-                        ids.update((comma + ",".join(said)).encode())
-                        raw.update(b"".join(data))
-                        comma = ","
-                    counts.append(n)
-                    ids_sums.append(ids.hexdigest())
-                    text_sums.append(raw.hexdigest())
+                counts, ids_sums, text_sums = [0] * len(texts), [""] * len(texts), [""] * len(texts)
+                for long in (False, True):
+                    for i, (text, pieces) in enumerate(zip(texts, short, strict=True)):
+                        if (pieces is None) != long:
+                            continue
+                        n, ids, raw, comma = 0, hashlib.sha256(), hashlib.sha256(), ""
+                        for said, data in encoder.encode(text) if long else [([known[p] for p in pieces], "".join(pieces))] if pieces else ():
+                            joined = ",".join(said)
+                            n += joined.count(",") + 1
+                            ids.update((comma + joined).encode())
+                            raw.update(data.encode())
+                            comma = ","
+                        counts[i], ids_sums[i], text_sums[i] = n, ids.hexdigest(), raw.hexdigest()
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array(ids_sums), pa.array(text_sums)], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -181,7 +191,7 @@ def _ids(ranks_path: str, pattern: str):
             for batch in textbuf.slices(whole, "text"):
                 ids = []
                 for text in batch.column("text").to_pylist():
-                    ids.append([int(i) for part in encoder.encode(text or "") for x in part for i in x[1].split(",")])
+                    ids.append([int(i) for said, _ in encoder.encode(text or "") for x in said for i in x.split(",")])
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return run
