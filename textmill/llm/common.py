@@ -1,8 +1,12 @@
 """Helpers shared by the operators: reading tables and cutting lineage durably."""
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -15,23 +19,76 @@ def table(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFra
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a local one only where none is set."""
+    """The folder that driver and executors share. Where none is set a session on one machine gets a local
+    one; elsewhere that is an error, as executors could not read each other's files."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="textmill-checkpoint-")
+        atexit.register(shutil.rmtree, found.removeprefix("file://"), ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
-def materialise(df: DataFrame) -> DataFrame:
+#: A small result is written by as many tasks as FILE_BYTES of it need, and LEAST_FILES at least.
+FILE_BYTES, LEAST_FILES = 8 << 20, 4
+
+
+def materialise(df: DataFrame, rows: int | None = None, width: int = 16, heavy: bool = False) -> DataFrame:
     """Write ``df`` to the shared folder and read it back, so that its lineage ends
-    there and a lost executor costs a reread, not a recomputation."""
+    there and a lost executor costs a reread, not a recomputation.
+
+    With ``rows``, a bound of its number of rows of about ``width`` bytes, a small result is not written as
+    a file for each of many partitions. The last stage then has as few tasks, or, if it is ``heavy``, hands
+    its rows to others that write them. A large result keeps its partitions."""
     spark = df.sparkSession
+    if rows is not None and (files := max(LEAST_FILES, -(-rows * width // FILE_BYTES))) < shuffle_partitions(spark):
+        df = df.repartition(files) if heavy else df.coalesce(files)
     path = f"{shared_dir(spark)}/textmill-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
+    _written.append(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+_written: list[str] = []
+
+
+def remove(spark: SparkSession, paths: list[str]) -> None:
+    """Delete tables that no result depends on any more."""
+    for path in paths:
+        at = spark._jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
+    """Deletes the tables that were materialised inside it when it ends, but for those that the yielded
+    function was given right after they were written."""
+    began, kept = len(_written), []
+
+    def keep(df: DataFrame) -> DataFrame:
+        kept.append(_written[-1])
+        return df
+
+    try:
+        yield keep
+    finally:
+        mine = _written[began:]
+        held = [p for p in mine if p in kept]
+        del _written[began:]
+        _written.extend(held)
+        remove(spark, [p for p in mine if p not in held])
+
+
+def clear(spark: SparkSession) -> None:
+    """Delete all tables that this process has materialised; frames that read them are of no use then."""
+    remove(spark, _written)
+    _written.clear()
+
+
+
+
 #: Keys with more than a share of 1 / HOT of all rows are joined by broadcast.
 HOT = 1000
 

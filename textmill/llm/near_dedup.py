@@ -35,13 +35,15 @@ if they are equal. A class is named by its smallest ``doc_id`` (null if it has n
 Repeated rows get one result row each. Other columns are ignored. Ids may be of any type that can be ordered.
 """
 
+from collections.abc import Callable
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import join_hot, materialise, set_apart
+from .common import join_hot, materialise, scratch, set_apart
 
 BANDS, ROWS, SHINGLE, THRESHOLD = 24, 5, 5, 0.8
 PAIRED, CHUNK, CHUNK_BYTES, SLACK = 16, 512, 16 << 20, 4.5
@@ -223,22 +225,22 @@ def components(links: DataFrame) -> DataFrame:
     """(node, root) for every node of the undirected ``links`` (a, b); the root is the
     smallest node of its component. Rounds of hooking to the smallest neighbour, two
     pointer jumps and contraction; each round at least halves the roots that have links."""
-    edges = materialise(links.select("a", "b").where("a <> b").distinct())
-    roots = None
-    while not edges.isEmpty():
+    edges = materialise(links.select("a", "b").where("a <> b").distinct(), links.count())
+    roots, most = None, 0
+    while n := edges.count():
         both = edges.union(edges.select("b", "a"))
-        step = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"))
+        step = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), 2 * n)
         for _ in range(2):
             on = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            step = materialise(step.join(on, "to").select("node", F.col("next").alias("to")))
+            step = materialise(step.join(on, "to").select("node", F.col("next").alias("to")), 2 * n)
         if roots is None:
-            roots = step.select("node", F.col("to").alias("root"))
+            roots, most = step.select("node", F.col("to").alias("root")), 2 * n
         else:
             on = step.select(F.col("node").alias("root"), "to")
-            roots = materialise(roots.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root")))
+            roots = materialise(roots.join(on, "root", "left").select("node", F.coalesce("to", "root").alias("root")), most)
         for end in ("a", "b"):
             edges = edges.join(step.select(F.col("node").alias(end), "to"), end).drop(end).withColumnRenamed("to", end)
-        edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        edges = materialise(edges.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), n)
     return links.sparkSession.createDataFrame([], "node long, root long") if roots is None else roots
 
 
@@ -247,57 +249,69 @@ def _named(text: Column) -> tuple[Column, Column]:
     return F.xxhash64(text), F.xxhash64(F.lit(7), text)
 
 
-def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int, slack: float | None) -> DataFrame:
+def _classes(docs: DataFrame, *options) -> DataFrame:
     """(doc_id, name, other, node, class_id) for every row of ``docs``; name and other hash its text."""
+    with scratch(docs.sparkSession) as keep:
+        return _found_classes(keep, docs, *options)
+
+
+def _found_classes(keep: Callable[[DataFrame], DataFrame], docs: DataFrame, threshold: float, shingle: int, bands: int, rows: int, slack: float | None) -> DataFrame:
     m = bands * rows
     kind = docs.schema["doc_id"].dataType.simpleString()
     text = F.coalesce(F.col("text"), F.lit(""))
     name, other = _named(text)
     base = docs.select("doc_id", text.alias("text"), name.alias("name"), other.alias("other"))
-    signed = materialise(base.mapInArrow(_signed(bands, rows, shingle), f"doc_id {kind}, name long, other long, bands array<long>, registers binary, size long"))
+    signed = keep(materialise(base.mapInArrow(_signed(bands, rows, shingle), f"doc_id {kind}, name long, other long, bands array<long>, registers binary, size long")))
+    n_docs = signed.count()
     # names that several texts share: about the square of the number of texts over 2 ** 65
     shared_names = [r[0] for r in signed.groupBy("name").agg(F.min("other").alias("low"), F.max("other").alias("high")).where("low < high").select("name").collect()]
     node = F.when(F.col("name").isin(shared_names), F.xxhash64("name", "other")).otherwise(F.col("name")) if shared_names else F.col("name")
     # one row for each text; copies are folded before any shuffle
-    nodes = materialise(signed.groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("size").alias("size")))
+    nodes = materialise(signed.groupBy(node.alias("node")).agg(F.min("doc_id").alias("rep"), F.count("*").alias("n"), F.first("bands").alias("bands"), F.first("registers").alias("registers"), F.first("size").alias("size")), n_docs, 8 * bands + m + 64)
 
     pair = "a long, b long"
     held = nodes.select("node", F.explode("bands").alias("bucket"))
-    shared = materialise(held.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).where("pivot < last").select("bucket", "pivot", "n"))
-    member = materialise(join_hot(held, shared, "bucket"))
+    shared = materialise(held.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).where("pivot < last").select("bucket", "pivot", "n"), n_docs * bands // 2, 24)
+    member = materialise(join_hot(held, shared, "bucket"), n_docs * bands, 24)
+    n_member = member.count()
     least = -1.0 if slack is None else threshold - slack * (threshold * (1 - threshold) / m) ** 0.5
     near = member.select("node").distinct()
-    registers = materialise(nodes.select("node", "registers", "size").join(near, "node", "left_semi"))
+    registers = materialise(nodes.select("node", "registers", "size").join(near, "node", "left_semi"), min(n_docs, n_member), m + 16)
     # shingles of the texts that share a bucket: one row of each text
     reps = near.join(nodes.select("node", "rep"), "node").select(F.col("node").alias("near"), "rep")
     own = base.withColumn("node", node).select("doc_id", "node", "text")
     own = own.join(reps, (F.col("node") == F.col("near")) & F.col("doc_id").eqNullSafe(F.col("rep"))).dropDuplicates(["node", "doc_id"])
     lists = materialise(own.select("node", "text").mapInArrow(_shingle_lists(shingle), "node long, hashes binary, counts binary"))
 
-    def with_ends(pairs: DataFrame, table: DataFrame) -> DataFrame:
+    def with_ends(pairs: DataFrame, table: DataFrame, n_pairs: int) -> DataFrame:
         """``pairs`` with the columns of ``table`` (node, ...) for both ends; an end ``a`` may have many pairs."""
         side = lambda end: table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "node"])
         often = pairs.groupBy("a").agg(F.count("*").alias("n"))
-        return join_hot(pairs, materialise(often).join(side("a"), "a"), "a").join(side("b"), "b")
-
-    def links(pairs: DataFrame) -> DataFrame:
-        pairs = with_ends(materialise(pairs), registers.drop("size"))
-        pairs = materialise(pairs.select("a", "b", "registers_a", "registers_b").mapInArrow(_likely(least, m), pair))
-        return with_ends(pairs, lists).mapInArrow(_verify(threshold), pair)
-
-    first = materialise(links(member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct()))
+        return join_hot(pairs, materialise(often, n_pairs).join(side("a"), "a"), "a").join(side("b"), "b")
+
+    def links(pairs: DataFrame, most: int) -> DataFrame:
+        pairs = materialise(pairs, most)
+        if not (n := pairs.count()):
+            return pairs
+        pairs = with_ends(pairs, registers.drop("size"), n).select("a", "b", "registers_a", "registers_b")
+        pairs = materialise(pairs.mapInArrow(_likely(least, m), pair), n, heavy=True)
+        if not (n := pairs.count()):
+            return pairs
+        return materialise(with_ends(pairs, lists, n).mapInArrow(_verify(threshold), pair), n, heavy=True)
+
+    first = links(member.where("node <> pivot").select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct(), n_member)
     roots = components(first)
     # the rest: members of one bucket that are in different components, but for pairs with the pivot
-    place = materialise(member.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root")))
-    mixed = materialise(place.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n"))
-    place = materialise(join_hot(place, mixed, "bucket").where("node <> pivot").select("bucket", "node", "root").join(registers.select("node", "size"), "node"))
+    place = materialise(member.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root")), n_member, 32)
+    mixed = materialise(place.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n"), n_member // 2)
+    place = materialise(join_hot(place, mixed, "bucket").where("node <> pivot").select("bucket", "node", "root").join(registers.select("node", "size"), "node"), n_member, 32)
     per_root = place.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sums = per_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("most"))
-    sums = materialise(sums.select("bucket", "n", "size", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("n_out"), (F.col("size") - F.col("most.size")).alias("size_out")).where("n_out > 0"))
+    sums = materialise(sums.select("bucket", "n", "size", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("n_out"), (F.col("size") - F.col("most.size")).alias("size_out")).where("n_out > 0"), n_member // 2, 48)
     small = place.join(sums.where(F.col("n") <= PAIRED).select("bucket"), "bucket")
     facing = small.select("bucket", F.col("node").alias("b"), F.col("root").alias("root_b"))
     rest = small.withColumnRenamed("node", "a").join(facing, "bucket").where("a < b and root <> root_b").select("a", "b").distinct()
-    more = materialise(links(rest))
+    more = links(rest, PAIRED * n_member)
     large = sums.where(F.col("n") > PAIRED)
     if not large.isEmpty():
         chunks = lambda n, size: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(size) * 8 / CHUNK_BYTES))
@@ -309,13 +323,13 @@ def _classes(docs: DataFrame, threshold: float, shingle: int, bands: int, rows:
         every = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
         one = full.where("outside").select(*columns, spread("few", 1).alias("i"), every("all").alias("j"), F.lit(0).alias("side"))
         two = full.select(*columns, every("few").alias("i"), spread("all", 2).alias("j"), F.lit(1).alias("side"))
-        more = more.union(materialise(one.union(two).groupBy("bucket", "i", "j").applyInArrow(_chunk_pair(threshold, least, m), pair)))
+        more = more.union(materialise(one.union(two).groupBy("bucket", "i", "j").applyInArrow(_chunk_pair(threshold, least, m), pair), n_member, heavy=True))
     if not more.isEmpty():
         roots = components(first.union(more))
 
     ranked = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ranked.groupBy("root").agg(F.min("rep").alias("class_id"))
-    classes = materialise(ranked.join(named, "root").select("node", "class_id", "n"))
+    classes = keep(materialise(ranked.join(named, "root").select("node", "class_id", "n"), n_docs, 24))
     return join_hot(signed.select("doc_id", "name", "other", node.alias("node")), classes, "node").select("doc_id", "name", "other", "node", "class_id")
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import textbuf
-from .common import materialise
+from .common import materialise, scratch
 
 BITS, LENGTHS, SAMPLE, MIN_TEXTS, RANGES = 22, (3, 5, 7, 9), 2000, 6, 64
 RIDGE, STEPS, ALPHA, LEAST_RATIO = 2.0, 300, 1.0, 1.5
@@ -155,6 +155,11 @@ def _trainer(ratio: np.ndarray):
 
 def fit(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Features, their weights and the bias, from (doc_id, text) and (doc_id, toxic)."""
+    with scratch(docs.sparkSession):
+        return _fitted(docs, labels)
+
+
+def _fitted(docs: DataFrame, labels: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     order = F.xxhash64("doc_id")
     known = labels.where("toxic is not null and doc_id is not null").select("doc_id", "toxic").distinct()
     # the hash bound that leaves about SAMPLE of each label, without ordering all in one task

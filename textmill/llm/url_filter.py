@@ -23,10 +23,12 @@ in the fold for calibration every other verdict is allow too. A score at the cut
 Repeated rows are judged alike; other columns are ignored.
 """
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_hot, materialise
+from .common import join_hot, materialise, scratch
 
 #: (host, path, verdict); the longest rule that fits wins.
 RULES = [("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block")]
@@ -100,6 +102,11 @@ def _log_ratios(windows: DataFrame, counted: DataFrame) -> DataFrame:
 
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """(page_id, host, path, rule, verdict, score) for every row of ``pages``."""
+    with scratch(pages.sparkSession) as keep:
+        return _judged(keep, pages, rules)
+
+
+def _judged(keep: Callable[[DataFrame], DataFrame], pages: DataFrame, rules) -> DataFrame:
     df = _ruled(pages.select("page_id", "url"), rules)
     raw = F.coalesce("url", F.lit(""))
     df = df.withColumn("fold", F.when(F.col("ruled").isNotNull(), F.pmod(F.crc32(raw), F.lit(5)))).withColumns({"h1": F.xxhash64(raw), "h2": F.xxhash64(F.lit(7), raw)})
@@ -118,7 +125,7 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     scores = materialise(urls.select("h1", "h2", "n").join(scores, ["h1", "h2"]))
     blank = raw == ""
     scored = join_hot(df.select("page_id", "host", "path", "rule", "ruled", "fold", "h1", "h2", blank.alias("blank")), scores, "h1", "h2")
-    scored = materialise(scored.withColumn("score", F.when(F.col("blank"), 0.0).otherwise(F.col("score"))).drop("h1", "h2"))
+    scored = keep(materialise(scored.withColumn("score", F.when(F.col("blank"), 0.0).otherwise(F.col("score"))).drop("h1", "h2")))
 
     one = lambda verdict: F.sum((F.col("ruled") == verdict).cast("long"))
     bins = scored.where("fold = 0").groupBy(F.round(F.greatest(F.lit(-20.0), F.least(F.lit(20.0), "score")) * STEPS).cast("long").alias("bin")).agg(one("allow").alias("good"), one("block").alias("bad"))
