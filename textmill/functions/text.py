@@ -1,6 +1,8 @@
 """Scalar functions over text columns."""
 
+import json
 import unicodedata
+import zlib
 
 import pandas as pd
 from pyspark.sql import Column
@@ -22,7 +24,7 @@ def _nfc(s: pd.Series) -> pd.Series:
 
 
 def nfc(c: Column) -> Column:
-    """Canonical composition. Needs Python; callers keep ASCII rows away from it where that pays."""
+    """Canonical composition, which needs Python."""
     return _nfc(c)
 
 
@@ -79,12 +81,23 @@ def layout(c: Column) -> Column:
     return F.translate(c, "Ёё", "Ее")
 
 
+def correction_table(words: dict[str, str]) -> Column | None:
+    """Corrections as a constant array of small maps, in which a word is sought by its checksum."""
+    if not words:
+        return None
+    table: list[dict[str, str]] = [{} for _ in range(len(words))]
+    for wrong, right in words.items():
+        table[zlib.crc32(wrong.encode()) % len(table)][wrong] = right
+    return F.from_json(F.lit(json.dumps(table, ensure_ascii=False)), T.ArrayType(T.MapType(T.StringType(), T.StringType())))
+
+
 def correct_words(c: Column, words: Column | None) -> Column:
-    """Each token through a map column of corrections; tokens are joined by one space."""
+    """Each token through a table of corrections; tokens are joined by one space."""
     if words is None:
         return c
+    right = lambda w: F.coalesce(F.try_element_at(F.get(words, (F.crc32(w) % F.size(words)).cast("int")), w), w)
     # ends are trimmed by the caller, so empty edge tokens do no harm
-    return F.array_join(F.transform(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""), lambda w: F.coalesce(F.try_element_at(words, w), w)), " ")
+    return F.array_join(F.transform(F.filter(F.split(c, r"(?U)\s+"), lambda w: w != ""), right), " ")
 
 
 def clean_corpus(c: Column, words: Column | None = None) -> Column:
@@ -105,13 +118,8 @@ def sentences(c: Column, profile: P.Profile = P.KAZAKH, join_abbreviations: bool
 
 
 # -- anchors
-_ANCHOR = (
-    r"\d+[,.]?\d*\s*%|(?iu:\d[\d\s]*(?:млрд|млн|мың|трлн))|\d{4}\s*ж|(?iu:" + "|".join(P.MONTHS) + r")|\d+\.\d+|(?U:\b)\d{1,3}(?:\s\d{3})+(?U:\b)"
-)
-
-
 def is_anchor(c: Column) -> Column:
-    return c.rlike(_ANCHOR)
+    return c.rlike(P.ANCHOR)
 
 
 def has_entity(c: Column, label: str) -> Column:
@@ -172,12 +180,9 @@ def spell_out(c: Column, exact: bool = True) -> Column:
     return strip(F.when(dotted.rlike(whole), value.cast("bigint").cast("string")).when(dotted.rlike(rest), many).otherwise(dotted))
 
 
-_NUMBER = r"(?iu)([+-])?(\d[\d\s]*)(?:[,.](\d+))?\s*(трлн|млрд|млн|мың|пайыз|%)?"
-
-
 def parse_number(c: Column) -> Column:
     """struct(raw, value, unit, is_percent), null where there is no number."""
-    part = lambda i: F.regexp_extract(c, _NUMBER, i)
+    part = lambda i: F.regexp_extract(c, P.NUMBER, i)
     digits = F.replace(part(2), F.lit(" "), F.lit(""))
     unit = F.lower(part(4))
     percent = unit.isin("пайыз", "%")
@@ -187,12 +192,25 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(r"\d") & value.isNotNull(), F.struct(part(0).alias("raw"), value.alias("value"), unit.alias("unit"), percent.alias("is_percent")))
 
 
+def fixed(v: Column, digits: int) -> Column:
+    """A double with so many decimals, rounded as its exact binary value demands and ties to even, where
+    Java's formatter rounds the shortest decimal that stands for it, ties up. The fraction is split in two halves
+    of 26 bits, whose products with the scale are exact."""
+    scale, whole = 10.0**digits, F.floor(F.abs(v))
+    part = F.abs(v) - whole
+    high = F.floor(part * 2.0**26) / 2.0**26
+    low, down = (part - high) * scale, F.floor(high * scale)
+    over = high * scale - down - 0.5
+    n = down + ((over > -low) | ((over == -low) & (down % 2 == 1))).cast("bigint")
+    return F.concat(F.when(v < 0, "-").otherwise(""), (whole + F.floor(n / scale)).cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0"))
+
+
 def format_number(n: Column) -> Column:
     v = n["value"]
-    plain = F.regexp_replace(F.regexp_replace(F.format_string("%.4f", v), "0+$", ""), r"\.$", "")
+    plain = F.regexp_replace(F.regexp_replace(fixed(v, 4), "0+$", ""), r"\.$", "")
     shown = (
-        F.when(n["is_percent"], F.format_string("%.1f%%", v)).when(v >= 1e9, F.format_string("%.2f млрд", v / 1e9))
-        .when(v >= 1e6, F.format_string("%.2f млн", v / 1e6)).when((v >= 1e3) & (n["unit"] == "мың"), F.format_string("%.2f мың", v / 1e3)).otherwise(plain)
+        F.when(n["is_percent"], F.concat(fixed(v, 1), F.lit("%"))).when(v >= 1e9, F.concat(fixed(v / 1e9, 2), F.lit(" млрд")))
+        .when(v >= 1e6, F.concat(fixed(v / 1e6, 2), F.lit(" млн"))).when((v >= 1e3) & (n["unit"] == "мың"), F.concat(fixed(v / 1e3, 2), F.lit(" мың"))).otherwise(plain)
     )
     return F.when(n.isNotNull(), shown)
 
@@ -202,6 +220,10 @@ def temporal(c: Column) -> Column:
     for roman, number in (("III", 3), ("II", 2), ("IV", 4), ("I", 1)):
         c = F.regexp_replace(c, rf"(?U)\b{roman}\s+тоқсан\s+(20\d{{2}})\b", f"$1-Q{number}")
         c = F.regexp_replace(c, rf"(?U)\b{roman}\s+тоқсан\b", f"Q{number}")
+    # other numerals, and none at all after a word, give quarter 0
+    for other in ("I{1,3}V?", "V?I{0,3}"):
+        c = F.regexp_replace(c, rf"(?U)\b{other}\s+тоқсан\s+(20\d{{2}})\b", "$1-Q0")
+        c = F.regexp_replace(c, rf"(?U)\b{other}\s+тоқсан\b", "Q0")
     for number, month in enumerate(P.MONTHS, 1):
         c = F.regexp_replace(c, rf"(?iuU)\b{month}\s+(20\d{{2}}|19\d{{2}})\b", f"$1-{number:02d}")
     return strip(F.regexp_replace(c, r"(?U)\b(20\d{2}|19\d{2})\s*(?:жыл[ы]?|ж\.?)?\b", "$1"))

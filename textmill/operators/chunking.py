@@ -3,7 +3,7 @@
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.vectors import dot
+from ..functions.vectors import dot, mean_of
 
 
 def adjacent_similarity(rows: DataFrame, key: str = "doc_id", order: str = "sent_idx", vector: str = "embedding") -> DataFrame:
@@ -12,16 +12,17 @@ def adjacent_similarity(rows: DataFrame, key: str = "doc_id", order: str = "sent
     return rows.withColumn("similarity", dot(F.col(vector), F.lead(vector).over(w)))
 
 
-def chunks(rows: DataFrame, theta: float = 0.72, least: int = 3, most: int = 15, key: str = "doc_id", order: str = "sent_idx", require_anchor: bool = False) -> DataFrame:
-    """(key, chunk_idx, start_idx, end_idx, has_anchor, sentences): rows between similarities
-    below ``theta``; short chunks go, long ones are halved once. One shuffle on the key.
-    Needs columns sentence, is_anchor and either similarity or embedding."""
+def chunks(rows: DataFrame, theta: float = 0.72, least: int = 3, most: int = 15, key: str = "doc_id", order: str = "sent_idx", require_anchor: bool = False, vector: str = "embedding") -> DataFrame:
+    """(key, chunk_idx, start_idx, end_idx, has_anchor, sentences, and mean where rows have vectors): rows
+    between similarities below ``theta``; short chunks go, long ones are halved once. One shuffle on the key.
+    Needs columns sentence, is_anchor and either similarity or the vector, which is read once."""
+    has_vector = vector in rows.columns
     if "similarity" not in rows.columns:
-        rows = adjacent_similarity(rows, key, order)
+        rows = adjacent_similarity(rows, key, order, vector)
     w = Window.partitionBy(key).orderBy(order)
     cut = F.coalesce(F.lag(F.col("similarity") < theta).over(w), F.lit(False)).cast("int")
     rows = rows.withColumn("_cut", cut).withColumn("_no", F.sum("_cut").over(w.rowsBetween(Window.unboundedPreceding, 0)))
-    row = F.struct(F.col(order).alias("at"), F.col("sentence").alias("said"))
+    row = F.struct(F.col(order).alias("at"), F.col("sentence").alias("said"), *[F.col(vector).alias("vector")] * has_vector)
     grouped = rows.groupBy(key, "_no").agg(F.sort_array(F.collect_list(row)).alias("rows"), F.bool_or("is_anchor").alias("has_anchor"))
     n = F.size("rows")
     half = F.floor(n / 2).cast("int")
@@ -29,18 +30,11 @@ def chunks(rows: DataFrame, theta: float = 0.72, least: int = 3, most: int = 15,
     out = grouped.where(n >= least).select(key, "has_anchor", F.explode(parts).alias("rows"))
     if require_anchor:
         out = out.where("has_anchor")
-    out = out.select(key, F.expr("rows[0].at").alias("start_idx"), F.expr("rows[size(rows) - 1].at").alias("end_idx"), "has_anchor", F.expr("transform(rows, r -> r.said)").alias("sentences"))
+    mean = [mean_of(F.expr("transform(rows, r -> r.vector)")).alias("mean")] * has_vector
+    out = out.select(key, F.expr("rows[0].at").alias("start_idx"), F.expr("rows[size(rows) - 1].at").alias("end_idx"), "has_anchor", F.expr("transform(rows, r -> r.said)").alias("sentences"), *mean)
     return out.withColumn("chunk_idx", F.row_number().over(Window.partitionBy(key).orderBy("start_idx")) - 1)
 
 
 def mean_vectors(rows: DataFrame, keys: list[str], vector: str = "embedding") -> DataFrame:
     """Component-wise means of the vectors of each group, as an array of doubles."""
-    parts = rows.select(*keys, F.posexplode(vector).alias("pos", "x")).groupBy(*keys, "pos").agg(F.avg(F.col("x").cast("double")).alias("x"))
-    return parts.groupBy(*keys).agg(F.expr("transform(sort_array(collect_list(struct(pos, x))), p -> p.x)").alias("mean"))
-
-
-def chunk_vectors(rows: DataFrame, found: DataFrame, key: str = "doc_id", order: str = "sent_idx") -> DataFrame:
-    """(key, chunk_idx, mean) of each chunk's rows."""
-    span = found.select(F.col(key).alias("_key"), "chunk_idx", "start_idx", "end_idx")
-    inside = rows.join(span, (rows[key] == span["_key"]) & rows[order].between(span["start_idx"], span["end_idx"]))
-    return mean_vectors(inside.select(key, "chunk_idx", "embedding"), [key, "chunk_idx"])
+    return rows.groupBy(*keys).agg(mean_of(F.collect_list(vector)).alias("mean"))

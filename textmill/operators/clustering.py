@@ -5,6 +5,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.vectors import mean_of
+
 
 def _lloyd(x: np.ndarray, k: int, rng: np.random.Generator, starts: int = 10) -> tuple[float, np.ndarray]:
     best = (np.inf, np.zeros(len(x), int))
@@ -37,8 +39,9 @@ def elbow(inertias: list[float], least: int, delta: float) -> int:
     return least + len(inertias) - 1
 
 
-def cluster(chunks: DataFrame, delta: float = 0.05, most: int = 10, least: int = 2, seed: int = 42, key: str = "doc_id") -> DataFrame:
-    """(key, chunk_idx, cluster_id, k) from (key, chunk_idx, mean); ids in first-seen order."""
+def cluster(chunks: DataFrame, delta: float = 0.05, most: int = 10, least: int = 2, seed: int = 42, key: str = "doc_id", carry: tuple[str, ...] = ()) -> DataFrame:
+    """(key, chunk_idx, cluster_id, k, and the columns to ``carry``) from (key, chunk_idx, mean); ids in first-seen order."""
+    carried = list(carry)
 
     def one(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values("chunk_idx")
@@ -49,10 +52,12 @@ def cluster(chunks: DataFrame, delta: float = 0.05, most: int = 10, least: int =
             k = elbow([f[0] for f in fits], least, delta)
             labels = fits[k - least][1]
         first = {label: i for i, label in enumerate(dict.fromkeys(labels.tolist()))}
-        return pd.DataFrame({key: pdf[key], "chunk_idx": pdf["chunk_idx"].astype("int32"), "cluster_id": [first[v] for v in labels.tolist()], "k": k})
+        out = pdf[[key, "chunk_idx"]].assign(cluster_id=[first[v] for v in labels.tolist()], k=k)
+        return out.astype({"chunk_idx": "int32", "cluster_id": "int32", "k": "int32"}).join(pdf[carried])
 
-    kind = chunks.schema[key].dataType.simpleString()
-    return chunks.select(key, "chunk_idx", "mean").groupBy(key).applyInPandas(one, f"{key} {kind}, chunk_idx int, cluster_id int, k int")
+    kind = lambda c: f"`{c}` {chunks.schema[c].dataType.simpleString()}"
+    schema = ", ".join([kind(key), "chunk_idx int", "cluster_id int", "k int", *map(kind, carried)])
+    return chunks.select(key, "chunk_idx", "mean", *[c for c in carried if c != "mean"]).groupBy(key).applyInPandas(one, schema)
 
 
 def elbow_from(inertias: DataFrame, delta: float = 0.05) -> DataFrame:
@@ -62,8 +67,15 @@ def elbow_from(inertias: DataFrame, delta: float = 0.05) -> DataFrame:
     return steps.select("id", F.coalesce(F.get(weak, F.lit(0)), F.expr("s[size(s) - 1].k")).alias("k"))
 
 
-def cluster_texts(chunks: DataFrame, labels: DataFrame, key: str = "doc_id") -> DataFrame:
-    """(key, cluster_id, text): the sentences of a cluster's chunks in order."""
-    rows = chunks.join(labels.select(key, "chunk_idx", "cluster_id"), [key, "chunk_idx"])
-    packed = rows.groupBy(key, "cluster_id").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "sentences"))).alias("c"))
+def build(labelled: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, cluster_id, chunks, text, centroid) from (key, chunk_idx, cluster_id, sentences, mean): a cluster's
+    members in order, their sentences as one text, and the mean of their vectors."""
+    packed = labelled.groupBy(key, "cluster_id").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "sentences", "mean"))).alias("c"))
+    text = F.expr("array_join(flatten(transform(c, x -> x.sentences)), ' ')")
+    return packed.select(key, "cluster_id", F.expr("transform(c, x -> x.chunk_idx)").alias("chunks"), text.alias("text"), mean_of(F.expr("transform(c, x -> x.mean)")).alias("centroid"))
+
+
+def cluster_texts(labelled: DataFrame, key: str = "doc_id") -> DataFrame:
+    """(key, cluster_id, text) from (key, chunk_idx, cluster_id, sentences): the sentences of a cluster's chunks in order."""
+    packed = labelled.groupBy(key, "cluster_id").agg(F.sort_array(F.collect_list(F.struct("chunk_idx", "sentences"))).alias("c"))
     return packed.select(key, "cluster_id", F.expr("array_join(flatten(transform(c, x -> x.sentences)), ' ')").alias("text"))

@@ -1,8 +1,11 @@
 """Self-consistency votes and judges' scores."""
 
-from pyspark.sql import DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.prompts import judge_messages
 from ..profiles import JUDGE_KEYS
 
 
@@ -13,6 +16,13 @@ def majority(samples: DataFrame, keys: list[str], value: str = "completion", ord
     return counted.groupBy(*keys).agg(best.alias("b")).select(*keys, f"b.{value}", "b.votes")
 
 
+def judge(examples: DataFrame, ask: Callable[[Column, Column], Column], samples: int = 3, digits: int = 4) -> DataFrame:
+    """(id, scores) for examples (id, text, table, generated): ``samples`` replies each, by a column function
+    of messages and sample number, averaged over those that are valid."""
+    drawn = examples.select("id", judge_messages(F.col("text"), F.col("table"), F.col("generated")).alias("messages"), F.explode(F.sequence(F.lit(1), F.lit(samples))).alias("sample_no"))
+    return judge_scores(drawn.select("id", ask(F.col("messages"), F.col("sample_no")).alias("reply")), examples, digits)
+
+
 def judge_scores(replies: DataFrame, ids: DataFrame, digits: int = 4) -> DataFrame:
     """(id, scores): means over replies that are valid JSON; zeros without any."""
     parsed = replies.withColumn("j", F.from_json("reply", ", ".join(f"{k} double" for k in JUDGE_KEYS)))

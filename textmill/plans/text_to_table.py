@@ -1,8 +1,12 @@
 """The whole plan: documents to Markdown tables.
 
 Models are plugged in as column functions: ``embed(sentence) -> array<float>``,
-``tag(sentence) -> array<struct>`` and ``generate(text, sample) -> string``. Defaults are
-deterministic and need no model.
+``tag(sentence) -> array<struct>`` and ``generate(messages, sample) -> string``, the messages being the
+regime's prompt; ``functions.vectors.model_embedder`` and ``functions.prompts.model`` make them of models
+that load once in a task. Defaults are deterministic and need no model. A completion that failed (null) has no vote.
+
+A sentence is embedded once: its vector travels to the chunk, where it is averaged, and sentences
+travel with the chunk through clustering.
 """
 
 from collections.abc import Callable
@@ -13,11 +17,12 @@ from pyspark.sql import functions as F
 
 from .. import profiles as P
 from ..functions import text as T
+from ..functions.prompts import insight_messages
 from ..functions.vectors import hashed_embedder
 from ..operators import assembly, chunking, clustering, tuples, voting
 
 
-def mock_generator(text: Column, sample: Column) -> Column:
+def mock_generator(messages: Column, sample: Column) -> Column:
     return F.lit(P.MOCK_TABLE)
 
 
@@ -29,6 +34,9 @@ class Options:
     least: int = 3
     most: int = 15
     delta: float = 0.05
+    most_clusters: int = 10
+    least_clusters: int = 2
+    seed: int = 42
     samples: int = 5
     embed: Callable[[Column], Column] = field(default_factory=hashed_embedder)
     tag: Callable[[Column], Column] | None = None
@@ -48,10 +56,9 @@ def text_to_table(docs: DataFrame, options: Options | None = None) -> DataFrame:
     o = options or Options()
     rows = sentence_rows(docs, o).withColumn("embedding", o.embed(F.col("sentence")))
     found = chunking.chunks(rows, o.theta, o.least, o.most)
-    labels = clustering.cluster(chunking.chunk_vectors(rows, found), o.delta)
-    clusters = clustering.cluster_texts(found, labels)
+    clusters = clustering.cluster_texts(clustering.cluster(found, o.delta, o.most_clusters, o.least_clusters, o.seed, carry=("sentences",)))
     drawn = clusters.withColumn("sample_no", F.explode(F.sequence(F.lit(1), F.lit(o.samples))))
-    drawn = drawn.withColumn("completion", o.generate(F.col("text"), F.col("sample_no"))).drop("text")
+    drawn = drawn.withColumn("completion", o.generate(insight_messages(F.col("text"), o.regime), F.col("sample_no"))).drop("text").where("completion is not null")
     insights = voting.majority(drawn, ["doc_id", "cluster_id"])
     said = tuples.extract(insights.withColumnRenamed("completion", "raw_text"), keys=("doc_id", "cluster_id"))
     said = tuples.normalise(said).withColumn("tuple_ord", F.col("cluster_id") * 1_000_000 + F.col("tuple_ord"))

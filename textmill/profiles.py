@@ -35,6 +35,61 @@ SYSTEM_PROMPTS = {
     "static": "Сіз деректерді журналистика саласының сарапшысысыз. Берілген мәтіннен кесте жасаңыз. Кесте міндетті түрде мына бағандардан тұруы керек: Тақырып | Оқиға | Көрсеткіш | Кезең | Қосымша мәлімет. Тек нақты фактілерді жазыңыз. Мәліметі жоқ ұяшықтарға '-' қойыңыз. Кестені Markdown форматында шығарыңыз.",
     "dynamic": "Сіз деректерді журналистика саласының сарапшысысыз. Берілген мәтіннің мазмұнына сай оңтайлы кесте бағандарын өзіңіз анықтаңыз. 2-8 баған таңдаңыз, баған атауларын мәтіннің семантикасынан шығарыңыз. Тек нақты фактілерді жазыңыз (галлюцинация болмасын). Кестені Markdown форматында шығарыңыз. Бос ұяшықтарға '-' қойыңыз.",
 }
+INSIGHT_PROMPTS = {
+    "static": """Сіз Қазақстан журналистикасы саласының сарапшысысыз.
+Берілген мәтіннен кесте жасаңыз. Кесте міндетті түрде мына бағандардан тұруы керек:
+Тақырып | Оқиға | Көрсеткіш | Кезең | Қосымша мәлімет
+
+Ережелер:
+1. Тек мәтінде нақты айтылған фактілерді жазыңыз
+2. Мәліметі жоқ ұяшықтарға "-" белгісін қойыңыз
+3. Кестені Markdown форматында (pipe-delimited) шығарыңыз
+4. Тақырыптар: Энергетика, Ауылшаруашылық, Цифрлық трансформация, т.б.""",
+    "dynamic": """Сіз деректерді журналистика саласының сарапшысысыз.
+Берілген мәтіннің мазмұнына сай оңтайлы кесте бағандарын өзіңіз анықтаңыз.
+
+Нұсқаулар:
+1. Мәтіннің мазмұнына қарай 2-8 баған таңдаңыз
+2. Баған атауларын мәтіннің семантикасынан шығарыңыз
+3. Тек нақты фактілерді жазыңыз (галлюцинация болмасын)
+4. Кестені Markdown форматында шығарыңыз
+5. Бос ұяшықтарға "-" қойыңыз""",
+}
+STEPS_PROMPT = """Мына мәтінді талдап, кесте жасаңыз:
+
+{text}
+
+Қадамдар:
+1. Негізгі тақырыпты анықтаңыз
+2. Барлық сандық деректерді тізімдеңіз
+3. Әрбір деректі бастапқы сөйлемге байланыстырыңыз
+4. Кестені жасаңыз"""
+JUDGE_SYSTEM_PROMPT = """You are an expert evaluator for data journalism tasks. 
+Compare the generated table to the reference table and source text.
+Rate each dimension on a 0 to 1 scale (float, two decimal places).
+
+Dimensions:
+1) coverage: Are all key facts and numbers from the source text present in the generated table?
+2) accuracy: Are all values factually correct? Penalize hallucinations heavily.
+3) compression: Is the table concise? Penalize redundant or duplicate rows.
+4) structure: Are columns consistent, headers meaningful, cell types homogeneous?
+5) journalistic_value: Could a professional journalist use this table directly for reporting?
+
+Return ONLY a JSON object with no additional text:
+{"coverage": 0.85, "accuracy": 0.92, "compression": 0.97, "structure": 0.98, "journalistic_value": 0.90}"""
+JUDGE_USER_PROMPT = """SOURCE TEXT:
+{source_text}
+
+REFERENCE TABLE:
+{reference_table}
+
+GENERATED TABLE:
+{generated_table}
+
+Evaluate the generated table on all 5 dimensions."""
+JUDGE_SOURCE_CHARS = 1500
+ANCHOR = r"\d+[,.]?\d*\s*%|(?iu:\d[\d\s]*(?:млрд|млн|мың|трлн))|\d{4}\s*ж|(?iu:" + "|".join(MONTHS) + r")|\d+\.\d+|(?U:\b)\d{1,3}(?:\s\d{3})+(?U:\b)"
+NUMBER = r"(?iu)([+-])?(\d[\d\s]*)(?:[,.](\d+))?\s*(трлн|млрд|млн|мың|пайыз|%)?"
 USER_PROMPT = "Мына мәтіннен кесте жасаңыз:\n\n{text}"
 JUDGE_KEYS = ["coverage", "accuracy", "compression", "structure", "journalistic_value"]
 # ---- end of fixed values ------------------------------------------------------------------

@@ -1,5 +1,6 @@
-"""The archive's calendar and its pages; fetching is left to a caller's function."""
+"""The archive's calendar and its pages; a caller's function makes the requests."""
 
+import time
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -22,20 +23,42 @@ def backoff(tries: int = 10, most: int = 60) -> Column:
     return F.transform(F.sequence(F.lit(0), F.lit(tries - 1)), lambda a: F.least(F.pow(F.lit(2.0), a), F.lit(float(most))).cast("int"))
 
 
-def fetch(urls: DataFrame, get) -> DataFrame:
-    """(url, html) by ``get(url) -> str | None`` on the executors; failures give null."""
+def fetched(url: str, get, tries: int = 10, most: int = 60, sleep=time.sleep) -> str | None:
+    """The page at ``url`` by ``get(url) -> (status, bytes)``: a status other than 200 gives null at once;
+    an exception is retried after min(2 ** attempt, ``most``) seconds, ``tries`` times in all."""
+    for attempt in range(tries):
+        try:
+            status, body = get(url)
+        except Exception:  # whatever a client raises: the connection failed
+            sleep(min(2**attempt, most))
+            continue
+        return body.decode("utf-8", "replace") if status == 200 else None
+    return None
+
+
+def fetch(urls: DataFrame, get, tries: int = 10, most: int = 60, sleep=time.sleep, concurrent: int = 8) -> DataFrame:
+    """``urls`` (url, ...) with html, fetched on the executors by at most ``concurrent`` tasks; failures give null."""
 
     def run(batches):
         for pdf in batches:
-            out = []
-            for url in pdf["url"]:
-                try:
-                    out.append(get(url))
-                except Exception:  # one page must not end the crawl
-                    out.append(None)
-            yield pd.DataFrame({"url": pdf["url"], "html": out})
+            yield pdf.assign(html=[fetched(url, get, tries, most, sleep) for url in pdf["url"]])
+
+    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in urls.schema)
+    return urls.repartition(concurrent).mapInPandas(run, f"{fields}, html string")
+
+
+def crawl(calendar: DataFrame, get, root: str = "", journal: str = "", **retries) -> DataFrame:
+    """Articles of the days of ``calendar`` (day, url): each day's listing is fetched, then the pages that it
+    links to. Pages that fail, or hold no article, are left out."""
+    listed = fetch(calendar.select("day", "url"), get, **retries)
+    linked = listed.where("html is not null").select("day", F.explode(links(F.col("html"), root)).alias("url"))
+    return articles(fetch(linked, get, **retries).where("html is not null"), journal)
+
 
-    return urls.select("url").mapInPandas(run, "url string, html string")
+def crawl_counts(found: DataFrame, calendar: DataFrame) -> DataFrame:
+    """(date, n) of each day, 0 where it has no article; the crawl's total is the sum."""
+    per_day = found.groupBy("date").agg(F.count("*").alias("n"))
+    return calendar.select(F.date_format("day", "yyyy-MM-dd").alias("date")).join(per_day, "date", "left").na.fill(0, ["n"])
 
 
 class _Node:
@@ -46,18 +69,20 @@ class _Node:
     def classes(self) -> str:
         return self.attrs.get("class") or ""
 
-    def walk(self):
-        for c in self.children:
+    def all(self):
+        """Nodes and strings below, in order; by a stack, as pages may be nested deeply."""
+        stack = self.children[::-1]
+        while stack:
+            c = stack.pop()
+            yield c
             if isinstance(c, _Node):
-                yield c
-                yield from c.walk()
+                stack += c.children[::-1]
+
+    def walk(self):
+        return (c for c in self.all() if isinstance(c, _Node))
 
     def strings(self):
-        for c in self.children:
-            if isinstance(c, _Node):
-                yield from c.strings()
-            elif c.strip():
-                yield c.strip()
+        return (c.strip() for c in self.all() if isinstance(c, str) and c.strip())
 
 
 class _Tree(HTMLParser):
@@ -108,15 +133,25 @@ def parse_article(html: str, least: int = 100) -> dict | None:
 FIELDS = ["title", "author", "abstract", "text", "category"]
 
 
+def _tolerant(html: str) -> dict:
+    try:
+        return parse_article(html) or dict.fromkeys(FIELDS)
+    except Exception:  # a page that cannot be parsed is no article
+        return dict.fromkeys(FIELDS)
+
+
 @F.pandas_udf(T.StructType([T.StructField(n, T.StringType()) for n in FIELDS]))
 def _article(html: pd.Series) -> pd.DataFrame:
-    return pd.DataFrame([parse_article(h) or dict.fromkeys(FIELDS) for h in html], columns=FIELDS)
+    return pd.DataFrame([_tolerant(h) for h in html], columns=FIELDS)
 
 
 def articles(pages: DataFrame, journal: str = "") -> DataFrame:
-    """``pages`` (page_id, url, html) as article records; short or failed pages are left out."""
-    df = pages.select("page_id", "url", _article("html").alias("a")).where("a.text is not null")
-    return df.select("page_id", "url", "a.*", F.lit(journal).alias("journal"))
+    """``pages`` (html, and columns to keep) as article records, with ``date`` from a column ``day``; short
+    or failed pages are left out."""
+    kept = [c for c in pages.columns if c not in ("html", "day")]
+    date = [F.date_format("day", "yyyy-MM-dd").alias("date")] if "day" in pages.columns else []
+    df = pages.select(*kept, *date, _article("html").alias("a")).where("a.text is not null")
+    return df.select(*kept, *["date"] * len(date), "a.*", F.lit(journal).alias("journal"))
 
 
 def links(html: Column, root: str = "") -> Column:

@@ -3,6 +3,8 @@
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import correction_table
+
 
 def read_instances(spark: SparkSession, path: str, regime: str | None = None) -> DataFrame:
     """Instances from JSON lines or a JSON array."""
@@ -23,12 +25,12 @@ def read_corrections(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy(F.expr("trim(f[0])").alias("wrong")).agg(F.max_by(F.expr("trim(f[1])"), "no").alias("right"))
 
 
-def corrections_map(words: DataFrame, most: int = 100_000) -> Column:
-    """The corrections as one map literal, if they are few enough to travel with the plan."""
+def corrections(words: DataFrame, most: int = 100_000) -> Column:
+    """The corrections as one table that travels with the plan, if they are few enough for that."""
     rows = words.limit(most + 1).collect()
     if len(rows) > most:
         raise ValueError(f"more than {most} corrections: join them instead")
-    return F.create_map(*[F.lit(x) for r in rows for x in (r["wrong"], r["right"])]) if rows else None
+    return correction_table({r["wrong"]: r["right"] for r in rows})
 
 
 def correct_by_join(docs: DataFrame, words: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -47,6 +49,14 @@ def write_lines(df: DataFrame, path: str) -> None:
 
 
 def results_table(report: DataFrame) -> DataFrame:
-    """Fixed-width lines of a report, in order of the metric."""
-    line = F.format_string("%-22s %8.4f [%8.4f, %8.4f]", "metric", "mean", "lower", "upper")
-    return report.select(F.row_number().over(Window.orderBy("metric")).alias("no"), line.alias("line"))
+    """Fixed-width lines of a report (metric, mean, lower, upper), after a heading and in order of the metric."""
+    line = F.format_string("%-22s %8.4f  [%.4f, %.4f]", "metric", "mean", "lower", "upper")
+    rows = report.select(F.row_number().over(Window.orderBy("metric")).alias("no"), line.alias("line"))  # a row for each metric
+    head = report.sparkSession.createDataFrame([(0, f"{'Metric':<22} {'Mean':>8} {'95% CI':>20}")], "no int, line string")
+    return head.union(rows)
+
+
+def write_results(report: DataFrame, path: str) -> None:
+    """One JSON object of metrics, each with its mean and bounds."""
+    one = report.agg(F.to_json(F.map_from_entries(F.sort_array(F.collect_list(F.struct("metric", F.struct("mean", "lower", "upper").alias("v")))))).alias("value"))
+    one.coalesce(1).write.mode("overwrite").text(path)
