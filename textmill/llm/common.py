@@ -93,15 +93,15 @@ def clear(spark: SparkSession) -> None:
 HOT = 1000
 
 
-def join_hot(rows: DataFrame, keyed: DataFrame, *keys: str) -> DataFrame:
-    """``rows`` joined to ``keyed``, which has each key once and in ``n`` its number of rows.
-    Keys with more than a share of 1 / HOT of all rows, fewer than HOT by their definition, are
-    broadcast, so their rows stay where they are; the others are shuffled."""
-    total = keyed.agg(F.sum("n")).first()[0] or 0
-    hot = F.col("n") * HOT > F.lit(total)
-    often, seldom = F.broadcast(keyed.where(hot).drop("n")), keyed.where(~hot).drop("n")
-    by = list(keys)
-    return rows.join(often, by).unionByName(rows.join(often.select(*by), by, "left_anti").join(seldom, by))
+def join_hot(rows: DataFrame, keyed: DataFrame, counts: DataFrame, total: int, key: str, *more: str) -> DataFrame:
+    """``rows`` joined to ``keyed`` on ``key`` (and ``more``); counts: (key, n), the number of rows of a key, for
+    all keys that may be common; total: of all rows. Keys with more than a share of 1 / HOT of all rows, fewer
+    than HOT by their definition, are broadcast, so their rows stay where they are; the others are shuffled."""
+    hot = [r[0] for r in counts.where(F.col("n") * HOT > total).select(key).distinct().collect()]
+    if not hot:
+        return rows.join(keyed, [key, *more])
+    is_hot = F.col(key).isin(hot)
+    return rows.where(is_hot).join(F.broadcast(keyed.where(is_hot)), [key, *more]).unionByName(rows.where(~is_hot).join(keyed.where(~is_hot), [key, *more]))
 
 
 def shuffle_partitions(spark: SparkSession) -> int:

@@ -229,10 +229,12 @@ def components(links: DataFrame) -> DataFrame:
     roots, most = None, 0
     while n := edges.count():
         both = edges.union(edges.select("b", "a"))
-        step = materialise(both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node"), 2 * n)
+        step = both.groupBy("a").agg(F.least("a", F.min("b")).alias("to")).withColumnRenamed("a", "node")
+        step = materialise(step, 2 * n)
         for _ in range(2):
             on = step.select(F.col("node").alias("to"), F.col("to").alias("next"))
-            step = materialise(step.join(on, "to").select("node", F.col("next").alias("to")), 2 * n)
+            step = step.join(on, "to").select("node", F.col("next").alias("to"))
+        step = materialise(step, 2 * n)
         if roots is None:
             roots, most = step.select("node", F.col("to").alias("root")), 2 * n
         else:
@@ -272,7 +274,7 @@ def _found_classes(keep: Callable[[DataFrame], DataFrame], docs: DataFrame, thre
     pair = "a long, b long"
     held = nodes.select("node", F.explode("bands").alias("bucket"))
     shared = materialise(held.groupBy("bucket").agg(F.min("node").alias("pivot"), F.max("node").alias("last"), F.count("*").alias("n")).where("pivot < last").select("bucket", "pivot", "n"), n_docs * bands // 2, 24)
-    member = materialise(join_hot(held, shared, "bucket"), n_docs * bands, 24)
+    member = materialise(join_hot(held, shared, shared, n_docs * bands, "bucket").drop("n"), n_docs * bands, 24)
     n_member = member.count()
     least = -1.0 if slack is None else threshold - slack * (threshold * (1 - threshold) / m) ** 0.5
     near = member.select("node").distinct()
@@ -287,7 +289,7 @@ def _found_classes(keep: Callable[[DataFrame], DataFrame], docs: DataFrame, thre
         """``pairs`` with the columns of ``table`` (node, ...) for both ends; an end ``a`` may have many pairs."""
         side = lambda end: table.select(F.col("node").alias(end), *[F.col(c).alias(f"{c}_{end}") for c in table.columns if c != "node"])
         often = pairs.groupBy("a").agg(F.count("*").alias("n"))
-        return join_hot(pairs, materialise(often, n_pairs).join(side("a"), "a"), "a").join(side("b"), "b")
+        return join_hot(pairs, side("a"), often, n_pairs, "a").join(side("b"), "b")
 
     def links(pairs: DataFrame, most: int) -> DataFrame:
         pairs = materialise(pairs, most)
@@ -304,7 +306,7 @@ def _found_classes(keep: Callable[[DataFrame], DataFrame], docs: DataFrame, thre
     # the rest: members of one bucket that are in different components, but for pairs with the pivot
     place = materialise(member.join(roots, "node", "left").select("bucket", "node", "pivot", F.coalesce("root", "node").alias("root")), n_member, 32)
     mixed = materialise(place.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high"), F.count("*").alias("n")).where("low < high").select("bucket", "n"), n_member // 2)
-    place = materialise(join_hot(place, mixed, "bucket").where("node <> pivot").select("bucket", "node", "root").join(registers.select("node", "size"), "node"), n_member, 32)
+    place = materialise(join_hot(place, mixed, mixed, n_member, "bucket").where("node <> pivot").select("bucket", "node", "root").join(registers.select("node", "size"), "node"), n_member, 32)
     per_root = place.groupBy("bucket", "root").agg(F.count("*").alias("n"), F.sum("size").alias("size"))
     sums = per_root.groupBy("bucket").agg(F.sum("n").alias("n"), F.sum("size").alias("size"), F.max(F.struct("n", "root", "size")).alias("most"))
     sums = materialise(sums.select("bucket", "n", "size", F.col("most.root").alias("main"), (F.col("n") - F.col("most.n")).alias("n_out"), (F.col("size") - F.col("most.size")).alias("size_out")).where("n_out > 0"), n_member // 2, 48)
@@ -316,7 +318,7 @@ def _found_classes(keep: Callable[[DataFrame], DataFrame], docs: DataFrame, thre
     if not large.isEmpty():
         chunks = lambda n, size: F.greatest(F.ceil(F.col(n) / CHUNK), F.ceil(F.col(size) * 8 / CHUNK_BYTES))
         large = large.select("bucket", "n", "main", chunks("n", "size").alias("all"), chunks("n_out", "size_out").alias("few"))
-        dealt = join_hot(place.drop("size"), large, "bucket").withColumn("outside", F.col("root") != F.col("main"))
+        dealt = join_hot(place.drop("size"), large, large, n_member, "bucket").withColumn("outside", F.col("root") != F.col("main"))
         full = dealt.join(registers.drop("size"), "node").join(lists, "node")
         columns = ["bucket", "node", "root", "outside", "registers", "hashes", "counts"]
         spread = lambda n, salt: F.pmod(F.xxhash64("node", F.lit(salt)), F.col(n))
@@ -330,7 +332,7 @@ def _found_classes(keep: Callable[[DataFrame], DataFrame], docs: DataFrame, thre
     ranked = nodes.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     named = ranked.groupBy("root").agg(F.min("rep").alias("class_id"))
     classes = keep(materialise(ranked.join(named, "root").select("node", "class_id", "n"), n_docs, 24))
-    return join_hot(signed.select("doc_id", "name", "other", node.alias("node")), classes, "node").select("doc_id", "name", "other", "node", "class_id")
+    return join_hot(signed.select("doc_id", "name", "other", node.alias("node")), classes, classes, n_docs, "node").select("doc_id", "name", "other", "node", "class_id")
 
 
 def near_duplicates(docs: DataFrame, threshold: float = THRESHOLD, shingle: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, slack: float | None = SLACK) -> DataFrame:

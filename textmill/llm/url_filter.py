@@ -120,11 +120,11 @@ def _judged(keep: Callable[[DataFrame], DataFrame], pages: DataFrame, rules) ->
     if ratios.count() <= BROADCAST_WINDOWS:
         rows = rows.join(F.broadcast(ratios), "window")
     else:
-        rows = join_hot(rows, ratios.join(counted.select("window", "n"), "window"), "window")
+        rows = join_hot(rows, ratios, counted, counted.agg(F.sum("n")).first()[0] or 0, "window")
     scores = rows.groupBy("h1", "h2").agg(F.round(F.avg("ratio"), 9).alias("score"))
     scores = materialise(urls.select("h1", "h2", "n").join(scores, ["h1", "h2"]))
     blank = raw == ""
-    scored = join_hot(df.select("page_id", "host", "path", "rule", "ruled", "fold", "h1", "h2", blank.alias("blank")), scores, "h1", "h2")
+    scored = join_hot(df.select("page_id", "host", "path", "rule", "ruled", "fold", "h1", "h2", blank.alias("blank")), scores, scores, scores.agg(F.sum("n")).first()[0] or 0, "h1", "h2")
     scored = keep(materialise(scored.withColumn("score", F.when(F.col("blank"), 0.0).otherwise(F.col("score"))).drop("h1", "h2")))
 
     one = lambda verdict: F.sum((F.col("ruled") == verdict).cast("long"))
