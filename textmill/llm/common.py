@@ -5,6 +5,7 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -48,10 +49,13 @@ def materialise(df: DataFrame, rows: int | None = None, width: int = 16, heavy:
     path = f"{shared_dir(spark)}/textmill-{uuid.uuid4().hex}.parquet"
     df.write.option("compression", "zstd").parquet(path)
     _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    _path_of[out] = path
+    return out
 
 
 _written: list[str] = []
+_path_of: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
 
 
 def remove(spark: SparkSession, paths: list[str]) -> None:
@@ -64,11 +68,11 @@ def remove(spark: SparkSession, paths: list[str]) -> None:
 @contextmanager
 def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
     """Deletes the tables that were materialised inside it when it ends, but for those that the yielded
-    function was given right after they were written."""
+    function was given."""
     began, kept = len(_written), []
 
     def keep(df: DataFrame) -> DataFrame:
-        kept.append(_written[-1])
+        kept.append(_path_of[df])
         return df
 
     try:
@@ -81,6 +85,13 @@ def scratch(spark: SparkSession) -> Iterator[Callable[[DataFrame], DataFrame]]:
         remove(spark, [p for p in mine if p not in held])
 
 
+def drop(df: DataFrame) -> None:
+    """Delete the table of a frame that ``materialise`` returned, if it is one."""
+    if (path := _path_of.pop(df, None)) in _written:
+        _written.remove(path)
+        remove(df.sparkSession, [path])
+
+
 def clear(spark: SparkSession) -> None:
     """Delete all tables that this process has materialised; frames that read them are of no use then."""
     remove(spark, _written)
