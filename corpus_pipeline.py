@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from textmill.llm import byte_bpe, decontaminate, near_dedup, quality, repeats
-from textmill.llm.common import materialise, table
+from textmill.llm.common import drop, materialise, scratch, table
 from textmill.llm.queries import RANKS
 
 
@@ -47,5 +47,8 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for _, stage in STAGES[:-1]:
-        docs = materialise(stage(spark, docs, sf_dir))
+        before = docs
+        with scratch(spark) as keep:  # what the stage wrote on its way goes
+            docs = keep(materialise(stage(spark, before, sf_dir)))
+        drop(before)
     return STAGES[-1][1](spark, docs, sf_dir)
