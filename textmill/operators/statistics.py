@@ -51,28 +51,32 @@ def bounds(resamples: int, alpha: float = 0.05) -> tuple[int, int]:
     return math.floor(alpha / 2 * resamples), math.ceil((1 - alpha / 2) * resamples) - 1
 
 
-def _interval(column: str, resamples: int, alpha: float, interpolated: bool) -> list[Column]:
-    if interpolated:
-        return [F.percentile(column, F.lit(q)) for q in (alpha / 2, 1 - alpha / 2)]
-    ranked = F.sort_array(F.collect_list(column))  # as many values as resamples
-    return [F.get(ranked, F.lit(i)) for i in bounds(resamples, alpha)]
+def _at(ranked: Column, place: float) -> Column:
+    """The value at a place of a sorted array, between two values by their distance."""
+    low, high = F.get(ranked, F.lit(math.floor(place))), F.get(ranked, F.lit(math.ceil(place)))
+    return low + (high - low) * (place - math.floor(place))
 
 
 def confidence_interval(values: DataFrame, column: str, resamples: int = 10_000, alpha: float = 0.05, seed: int = 42, interpolated: bool = False) -> DataFrame:
     """(mean, std, lower, upper, n_bootstrap): order statistics of the resampled means or, ``interpolated``,
     their percentiles. All zeros for no values."""
-    return intervals(values, [column], resamples, alpha, seed, interpolated).select("mean", "std", "lower", "upper", "n_bootstrap")
+    kind = "_interpolated" if interpolated else ""
+    return intervals(values, [column], resamples, alpha, seed).select("mean", "std", F.col(f"lower{kind}").alias("lower"), F.col(f"upper{kind}").alias("upper"), "n_bootstrap")
 
 
-def intervals(values: DataFrame, columns: list[str], resamples: int = 10_000, alpha: float = 0.05, seed: int = 42, interpolated: bool = False) -> DataFrame:
-    """(metric, mean, std, lower, upper, n, n_bootstrap) of each column; all columns share their draws."""
+def intervals(values: DataFrame, columns: list[str], resamples: int = 10_000, alpha: float = 0.05, seed: int = 42) -> DataFrame:
+    """(metric, mean, std, lower, upper, lower_interpolated, upper_interpolated, n, n_bootstrap) of each
+    column, the bounds by order statistics and by percentiles; all columns share their draws."""
     means = bootstrap_means(values.select("i", *columns), columns, resamples, seed)
-    stack = lambda kinds: F.expr(f"stack({len(columns)}, " + ", ".join("'" + c + "', " + ", ".join(f"`{c}_{k}`" for k in kinds) + "" for c in columns) + f") AS (metric, {', '.join(kinds)})")
-    low_high = [x.alias(f"{c}_{k}") for c in columns for k, x in zip(("lower", "upper"), _interval(c, resamples, alpha, interpolated), strict=True)]
+    low, high = bounds(resamples, alpha)
+    places = {"lower": low, "upper": high, "lower_interpolated": alpha / 2 * (resamples - 1), "upper_interpolated": (1 - alpha / 2) * (resamples - 1)}
+    ranked = means.agg(*[F.sort_array(F.collect_list(c)).alias(c) for c in columns])  # as many values as resamples
+    stack = lambda kinds: F.expr(f"stack({len(columns)}, " + ", ".join(f"'{c}', " + ", ".join(f"`{c}_{k}`" for k in kinds) for c in columns) + f") AS (metric, {', '.join(kinds)})")
+    found = ranked.select(*[_at(F.col(c), place).alias(f"{c}_{k}") for c in columns for k, place in places.items()]).select(stack(places))
     seen = [x.alias(f"{c}_{k}") for c in columns for k, x in (("mean", F.avg(c)), ("std", F.stddev_samp(c)), ("n", F.count(c)))]
-    both = values.agg(*seen).select(stack(("mean", "std", "n"))).join(means.agg(*low_high).select(stack(("lower", "upper"))), "metric")
+    both = values.agg(*seen).select(stack(("mean", "std", "n"))).join(found, "metric")
     zero = lambda c: F.coalesce(F.col(c), F.lit(0.0)).alias(c)
-    return both.select("metric", *map(zero, ("mean", "std", "lower", "upper")), "n", F.when(F.col("n") > 0, resamples).otherwise(0).alias("n_bootstrap"))
+    return both.select("metric", *map(zero, ("mean", "std", *places)), "n", F.when(F.col("n") > 0, resamples).otherwise(0).alias("n_bootstrap"))
 
 
 def paired_test(values: DataFrame, a: str, b: str, resamples: int = 10_000, seed: int = 42, centered: bool = False) -> DataFrame:
@@ -100,7 +104,9 @@ def exact_interval(values: DataFrame, key: str, column: str, resamples: int = 10
 
 def report(scores: DataFrame, names: list[str], key: str = "id", resamples: int = 10_000, alpha: float = 0.05, interpolated: bool = True) -> DataFrame:
     """(metric, mean, lower, upper, n): the mean of each score over all rows, with its interval."""
-    return intervals(numbered(scores.select(key, *names), key), names, resamples, alpha, interpolated=interpolated).select("metric", "mean", "lower", "upper", "n")
+    kind = "_interpolated" if interpolated else ""
+    found = intervals(numbered(scores.select(key, *names), key), names, resamples, alpha)
+    return found.select("metric", "mean", F.col(f"lower{kind}").alias("lower"), F.col(f"upper{kind}").alias("upper"), "n")
 
 
 def early_stop(losses: DataFrame, run: str = "run", patience: int = 2) -> DataFrame:

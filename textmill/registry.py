@@ -384,10 +384,8 @@ _MEANS = f"""v AS (SELECT row_number() OVER (ORDER BY doc_id) - 1 AS i, CAST(qua
 
 @query("bootstrap_mean", f"WITH {_MEANS}, o AS (SELECT list_sort(list(quality)) AS l, quantile_cont(quality, 0.025) AS a, quantile_cont(quality, 0.975) AS z FROM m) SELECT round((SELECT avg(quality) FROM v), 6) AS mean, round((SELECT stddev_samp(quality) FROM v), 6) AS std, round(l[251], 6) AS lower, round(l[9750], 6) AS upper, round(a, 6) AS lower_interpolated, round(z, 6) AS upper_interpolated, 10000 AS n_bootstrap FROM o")
 def bootstrap_mean(spark, d):
-    scores = label_scores(spark, d)
-    ci = statistics.confidence_interval(scores, "quality").select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "lower", "upper")], "n_bootstrap")
-    more = statistics.confidence_interval(scores, "quality", interpolated=True).select(*[F.round(c, 6).alias(f"{c}_interpolated") for c in ("lower", "upper")])
-    return ci.join(F.broadcast(more))  # one row each
+    ci = statistics.intervals(label_scores(spark, d), ["quality"])
+    return ci.select(*[F.round(c, 6).alias(c) for c in ("mean", "std", "lower", "upper", "lower_interpolated", "upper_interpolated")], "n_bootstrap")
 
 
 @query("bootstrap_paired", f"WITH {_MEANS}, o AS (SELECT avg(quality) - avg(toxic) AS diff FROM v) SELECT round(diff, 6) AS diff, round(avg(CASE WHEN abs(quality - toxic) >= abs(diff) - 1e-12 THEN 1.0 ELSE 0.0 END), 6) AS p_value FROM m, o GROUP BY diff")
