@@ -286,6 +286,21 @@ def test_article_page():
     assert archive._tolerant(3)["text"] is None
 
 
+def test_predicates_and_options_without_a_query(spark, tmp_path):
+    assert one(spark, tables.is_table, HEAD + "| a | 1 |") and not one(spark, tables.is_table, HEAD) and not one(spark, tables.is_table, "text")
+    assert one(spark, text.is_anchor_sentence, "ҚазМұнайГаз 5 млрд теңге табыс тапты.") and not one(spark, text.is_anchor_sentence, "Бұл жай сөз")
+    rows = [(1, 1, "Кітаптың", " Өсу ", "2 мың"), (1, 2, "a", "болу", "1"), (1, 3, "", "жыл", ""), (1, 4, "b", "жыл", "2024")]
+    t = spark.createDataFrame(rows, "doc_id long, tuple_ord int, subject string, predicate string, obj string")
+    got = [(r.subject, r.predicate, r.obj) for r in tuples.normalise(t).orderBy("tuple_ord").collect()]
+    assert got == [("Кітап", "өсу", "2000"), ("b", "жыл", "2024")]  # stop predicates and empty tuples go
+    assert [r.predicate for r in tuples.normalise(t, canonical_only=True).collect()] == ["өсу"]
+    judged = spark.createDataFrame([(HEAD + "| a | 1 |", HEAD + "| a | 1 |", 0.75), ("", "", None)], "generated string, reference string, j double")
+    assert [r.journalistic_value for r in tables.evaluate(judged, journalistic=F.col("j")).collect()] == [0.75, 0.0]
+    (tmp_path / "x.txt").write_text("бір\nекі")
+    (tmp_path / "y.txt").write_text("")
+    assert sorted(r.text for r in files.read_text(spark, str(tmp_path)).collect()) == ["бір\nекі"]
+
+
 def test_files(spark, tmp_path):
     df = spark.createDataFrame([("t", "m", "static", "t3_auto"), ("u", "n", None, "t3_auto")], "text string, table string, regime string, source string")
     files.write_lines(df, str(tmp_path / "l"))

@@ -16,11 +16,13 @@ def read_instances(spark: SparkSession, path: str, regime: str | None = None) ->
 
 
 def read_text(spark: SparkSession, path: str) -> DataFrame:
+    """(doc_id, text) of each file of a folder, whole; an empty file has no row."""
     return spark.read.text(path, wholetext=True).select(F.xxhash64(F.input_file_name()).alias("doc_id"), F.col("value").alias("text"))
 
 
 def read_corrections(spark: SparkSession, path: str) -> DataFrame:
-    """(wrong, right) from lines with exactly two tab-separated fields; the last line wins."""
+    """(wrong, right) from lines with exactly two tab-separated fields; the last line wins, in the order of
+    Spark's partitions where there are several files."""
     rows = spark.read.text(path).select(F.split("value", "\t").alias("f"), F.monotonically_increasing_id().alias("no")).where("size(f) = 2")
     return rows.groupBy(F.expr("trim(f[0])").alias("wrong")).agg(F.max_by(F.expr("trim(f[1])"), "no").alias("right"))
 
