@@ -3,6 +3,7 @@
 import json
 import unicodedata
 import zlib
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -192,27 +193,40 @@ def parse_number(c: Column) -> Column:
     return F.when(c.rlike(r"\d") & value.isNotNull(), F.struct(part(0).alias("raw"), value.alias("value"), unit.alias("unit"), percent.alias("is_percent")))
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``c``, which is computed once however often the body names it."""
+    return F.get(F.transform(F.array(c), body), F.lit(0))
+
+
 def fixed(v: Column, digits: int) -> Column:
     """A double with so many decimals, rounded as its exact binary value demands and ties to even, where
     Java's formatter rounds the shortest decimal that stands for it, ties up. The fraction is split in two halves
     of 26 bits, whose products with the scale are exact."""
-    scale, whole = 10.0**digits, F.floor(F.abs(v))
-    part = F.abs(v) - whole
-    high = F.floor(part * 2.0**26) / 2.0**26
-    low, down = (part - high) * scale, F.floor(high * scale)
-    over = high * scale - down - 0.5
-    n = down + ((over > -low) | ((over == -low) & (down % 2 == 1))).cast("bigint")
-    return F.concat(F.when(v < 0, "-").otherwise(""), (whole + F.floor(n / scale)).cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0"))
+    scale = 10.0**digits
+
+    def halves(v: Column) -> Column:
+        part = F.abs(v) - F.floor(F.abs(v))
+        return F.struct((v < 0).alias("minus"), F.floor(F.abs(v)).alias("whole"), (F.floor(part * 2.0**26) / 2.0**26 * scale).alias("high"), ((part - F.floor(part * 2.0**26) / 2.0**26) * scale).alias("low"))
+
+    def said(x: Column) -> Column:
+        down = F.floor(x["high"])
+        over = x["high"] - down - 0.5
+        n = down + ((over > -x["low"]) | ((over == -x["low"]) & (down % 2 == 1))).cast("bigint")
+        return let(n, lambda n: F.concat(F.when(x["minus"], "-").otherwise(""), (x["whole"] + F.floor(n / scale)).cast("string"), F.lit("."), F.lpad((n % int(scale)).cast("string"), digits, "0")))
+
+    return let(let(v, halves), said)
 
 
 def format_number(n: Column) -> Column:
-    v = n["value"]
-    plain = F.regexp_replace(F.regexp_replace(fixed(v, 4), "0+$", ""), r"\.$", "")
-    shown = (
-        F.when(n["is_percent"], F.concat(fixed(v, 1), F.lit("%"))).when(v >= 1e9, F.concat(fixed(v / 1e9, 2), F.lit(" млрд")))
-        .when(v >= 1e6, F.concat(fixed(v / 1e6, 2), F.lit(" млн"))).when((v >= 1e3) & (n["unit"] == "мың"), F.concat(fixed(v / 1e3, 2), F.lit(" мың"))).otherwise(plain)
-    )
-    return F.when(n.isNotNull(), shown)
+    def shown(n: Column) -> Column:
+        v = n["value"]
+        plain = F.regexp_replace(F.regexp_replace(fixed(v, 4), "0+$", ""), r"\.$", "")
+        return (
+            F.when(n["is_percent"], F.concat(fixed(v, 1), F.lit("%"))).when(v >= 1e9, F.concat(fixed(v / 1e9, 2), F.lit(" млрд")))
+            .when(v >= 1e6, F.concat(fixed(v / 1e6, 2), F.lit(" млн"))).when((v >= 1e3) & (n["unit"] == "мың"), F.concat(fixed(v / 1e3, 2), F.lit(" мың"))).otherwise(plain)
+        )
+
+    return let(n, lambda n: F.when(n.isNotNull(), shown(n)))
 
 
 def temporal(c: Column) -> Column:
