@@ -504,6 +504,49 @@ def test_byte_bpe(spark):
     assert all(back[i] == (t or "") for i, t in rows if i != 4)
 
 
+def test_byte_bpe_cache(monkeypatch):
+    """Very long pieces don't empty the cache for each batch, and a full one keeps three quarters; ids stay right."""
+    path = public_tokenizers.path(queries.RANKS)
+    ranks = byte_bpe.load_ranks(path)
+    enc = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    replayed, replay = [], byte_bpe.replay
+    monkeypatch.setattr(byte_bpe, "replay", lambda words, *more: replayed.extend(words) or replay(words, *more))
+    r = random.Random(9)
+    words = ["".join(r.choice("qzxjkv") for _ in range(12)) for _ in range(3000)]
+    encoder = byte_bpe.Encoder(ranks, public_tokenizers.PATTERN)
+    encoder.learn({"ab" * 20_000})
+    monkeypatch.setattr(byte_bpe, "CACHE_BYTES", 400_000)
+    encoder.learn(dict.fromkeys(["cd" * 80_000, "ef" * 80_000, *words[:200]]))
+    for w in words[200:206]:
+        encoder.learn({w})
+    replayed.clear()
+    encoder.learn(set(words[:200]))
+    assert not replayed
+    for w in words:
+        encoder.learn({w})
+        cost = sum(byte_bpe.PIECE_BYTES + len(p) + len(ids) for p, ids in encoder.known.items())
+        assert 0.7 * 400_000 <= cost <= 401_000 or len(encoder.known) < 1500
+        assert encoder.known[w] == ",".join(map(str, enc.encode_ordinary(w)))
+    assert len(encoder.known) < len(words)
+
+
+def test_byte_bpe_merge_order():
+    """Against the plain rule, lowest rank and leftmost first, with rank files in any order."""
+    for seed in range(40):
+        r = random.Random(seed)
+        ranks = {bytes([b]): i for i, b in enumerate(b"abcd")}
+        for _ in range(30):
+            ranks.setdefault(r.choice(list(ranks)) + r.choice(list(ranks)), len(ranks))
+        words = [bytes(r.choice(b"abcd") for _ in range(r.randrange(1, 25))) for _ in range(30)]
+        for word, ids in zip(words, byte_bpe.replay(words, byte_bpe.Pairs(ranks)), strict=True):
+            parts = [word[i : i + 1] for i in range(len(word))]
+            while made := [(ranks[x + y], i) for i, (x, y) in enumerate(zip(parts, parts[1:], strict=False)) if x + y in ranks]:
+                i = min(made)[1]
+                parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            assert ids == [ranks[x] for x in parts]
+    assert byte_bpe.replay([], byte_bpe.Pairs(ranks)) == []
+
+
 def test_cover():
     assert repeats.is_cover(repeats.COVER, repeats.PERIOD) and not repeats.is_cover((0, 1), 5)
 

@@ -7,8 +7,8 @@ where it stands, over all words at once. Merges are applied in rank order, each
 its positions, and only the pairs of touched neighbours are entered anew. Every piece
 is so encoded once for the worker, and texts are read off the encoded pieces.
 
-Pieces and their ids are kept for later batches, up to CACHE_BYTES, after which the
-half met first stays; results do not depend on it. Very long texts are split by a scanner
+Pieces and their ids are kept for later batches, up to CACHE_BYTES, after which three quarters
+stay, those met first, but for very long ones; results do not depend on it. Very long texts are split by a scanner
 that never holds all matches. Decoding goes from the ids back to bytes: in ``decode`` for all ids, in
 ``encode_digests`` once for each distinct piece, which must come back as it was, so that a text's
 decoded bytes are those of its pieces in order.
@@ -22,6 +22,7 @@ import hashlib
 from heapq import heappop, heappush
 from itertools import islice
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -29,7 +30,7 @@ from pyspark.sql import DataFrame
 from . import textbuf
 
 #: A worker's cache holds so many bytes; a piece costs its own characters, those of its ids and PIECE_BYTES for the objects.
-CACHE_BYTES, PIECE_BYTES, LONG_TEXT, SCAN = 96 << 20, 200, 1 << 20, 1 << 16
+CACHE_BYTES, PIECE_BYTES, LONG_TEXT, SCAN = 256 << 20, 200, 1 << 20, 1 << 16
 #: Fixed value: the characters of Unicode's White_Space property. The regex package's own
 #: class also has the separators 0x1C to 0x1F, which tiktoken's has not.
 WHITE_SPACE = "\t-\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000"
@@ -47,55 +48,84 @@ def compiled(pattern: str) -> regex.Pattern:
     return regex.compile(pattern)
 
 
-def replay(words: list[bytes], ranks: dict[bytes, int]) -> list[list[int]]:
+class Pairs:
+    """Which pairs of adjacent tokens a rank file merges. A token's number is its rank plus one; bytes that the
+    file lacks have numbers beyond these, and ``END`` stands after each word."""
+
+    END = 0
+
+    def __init__(self, ranks: dict[bytes, int]):
+        beyond = max(ranks.values(), default=0) + 1
+        self.bytes = np.array([ranks.get(bytes([b]), beyond + b) + 1 for b in range(256)], np.int32)
+        number = {bytes([b]): int(n) for b, n in enumerate(self.bytes)} | {token: rank + 1 for token, rank in ranks.items()}
+        self.width = beyond + 258
+        self.numbers = list(range(self.width))  # one object for each number, however often it stands
+        self.merged: dict[int, int] = {}
+        for token, rank in ranks.items():
+            for cut in range(1, len(token)):
+                if (left := number.get(token[:cut])) is not None and (right := number.get(token[cut:])) is not None:
+                    self.merged[left * self.width + right] = rank + 1
+        self.of_bytes = np.zeros(1 << 16, np.int32)
+        for left, one in enumerate(self.bytes.tolist()):
+            for right, two in enumerate(self.bytes.tolist()):
+                self.of_bytes[left << 8 | right] = self.merged.get(one * self.width + two, 0)
+
+
+def replay(words: list[bytes], pairs: Pairs) -> list[list[int]]:
     """Ids of each word, by replaying all merges over all words together.
 
-    Tokens of all words lie in one array with links to their neighbours; ``places`` is the
-    inverted index from a merged token to where its left half stands."""
-    tokens: list[bytes | None] = []
-    right: list[int] = []
-    left: list[int] = []
-    begins = []
-    places: dict[int, list[int]] = {}
-    heap: list[int] = []
-
-    def enter(at: int, after: int) -> None:
-        rank = ranks.get(tokens[at] + tokens[after])
-        if rank is not None:
-            if rank in places:
-                places[rank].append(at)
-            else:
-                places[rank] = [at]
-                heappush(heap, rank)
-
-    single = [bytes([b]) for b in range(256)]
-    for word in words:
-        start, n = len(tokens), len(word)
-        begins.append(start)
-        tokens += [single[b] for b in word]
-        left += [-1, *range(start, start + n - 1)]
-        right += [*range(start + 1, start + n), -1]
-        for at in range(start, start + n - 1):
-            enter(at, at + 1)
-    merged = {rank: token for token, rank in ranks.items()} if heap else {}
+    Tokens of all words lie in one array with links to their neighbours; ``merges`` has the token that a
+    position's pair makes (0: none), and ``places`` is the inverted index from that token to the positions."""
+    if not words:
+        return []
+    sizes = np.fromiter(map(len, words), np.int64, len(words))
+    begins = np.cumsum(sizes + 1) - sizes - 1
+    data = np.frombuffer(b"".join(words), np.uint8)
+    at_byte = np.arange(len(data)) + np.repeat(np.arange(len(words)), sizes)
+    numbers = np.full(len(data) + len(words), Pairs.END, np.int32)
+    numbers[at_byte] = pairs.bytes[data]
+    made = np.zeros(len(numbers), np.int32)
+    inside = np.flatnonzero(np.diff(at_byte) == 1)
+    made[at_byte[inside]] = pairs.of_bytes[data[inside].astype(np.uint16) << 8 | data[inside + 1]]
+    filled = np.flatnonzero(made)
+    filled = filled[np.argsort(made[filled], kind="stable")]
+    heap, starts = map(np.ndarray.tolist, np.unique(made[filled], return_index=True))  # sorted, so a heap
+    spots = filled.tolist()
+    places = {token: spots[a:b] for token, a, b in zip(heap, starts, [*starts, len(spots)][1:], strict=True)}
+    tokens, merges = (list(map(pairs.numbers.__getitem__, memoryview(x))) for x in (numbers, made))
+    del data, at_byte, numbers, made, inside, filled, spots
+    right, left = list(range(1, len(tokens) + 1)), list(range(-1, len(tokens) - 1))
+    width, merged = pairs.width, pairs.merged.get
+
     while heap:
-        rank = heappop(heap)
-        token = merged[rank]
-        for at in sorted(places.pop(rank)):  # leftmost first
-            if tokens[at] is None or (after := right[at]) < 0 or tokens[at] + tokens[after] != token:
+        token = heappop(heap)
+        for at in sorted(places.pop(token)):  # leftmost first
+            if merges[at] != token:
                 continue  # an earlier merge touched it
-            tokens[at], tokens[after] = token, None
+            after = right[at]
             beyond = right[at] = right[after]
-            if beyond >= 0:
-                left[beyond] = at
-                enter(at, beyond)
-            if left[at] >= 0:
-                enter(left[at], at)
+            tokens[at], merges[after], left[beyond] = token, 0, at
+            merges[at] = found = merged(token * width + tokens[beyond], 0)
+            if found:
+                if found in places:
+                    places[found].append(at)
+                else:
+                    places[found] = [at]
+                    heappush(heap, found)
+            before = left[at]
+            if before >= 0 and tokens[before]:
+                merges[before] = found = merged(tokens[before] * width + token, 0)
+                if found:
+                    if found in places:
+                        places[found].append(before)
+                    else:
+                        places[found] = [before]
+                        heappush(heap, found)
     out = []
-    for at in begins:
+    for at in begins.tolist():
         ids = []
-        while at >= 0:
-            ids.append(ranks[tokens[at]])
+        while token := tokens[at]:
+            ids.append(token - 1)
             at = right[at]
         out.append(ids)
     return out
@@ -107,8 +137,9 @@ class Encoder:
     def __init__(self, ranks: dict[bytes, int], pattern: str):
         self.ranks, self.pattern = ranks, compiled(pattern)
         self.token = {rank: token for token, rank in ranks.items()}
+        self.pairs = Pairs(ranks)
         self.known: dict[str, str] = {}
-        self.held = 0  # characters of the known pieces and of their ids
+        self.held = 0  # what the known pieces cost
 
     def pieces(self, text: str):
         """The text's pieces, in lists; a long text in several."""
@@ -119,25 +150,35 @@ class Encoder:
         while part := [m[0] for m in islice(found, SCAN)]:
             yield part
 
+    def forget(self, pieces: set[str]) -> None:
+        """Keep what was met first, which is mostly the frequent pieces, up to three quarters of CACHE_BYTES, and
+        ``pieces``. Other pieces that would take much of the cache by themselves go: if they stayed, it could stay over its bound
+        and be emptied for each batch."""
+        kept, held = {}, 0
+        for p, said in self.known.items():
+            cost = PIECE_BYTES + len(p) + len(said)
+            if p in pieces or cost * 1000 <= CACHE_BYTES and (held + cost) * 4 <= CACHE_BYTES * 3:
+                kept[p] = said
+                held += cost
+        self.known, self.held = kept, held
+
     def learn(self, pieces: set[str]) -> None:
         """Encode the pieces that are not known yet, as their ids in text. Ids are decoded here, once for
         each piece, and must give the piece back."""
-        if self.held + PIECE_BYTES * len(self.known) > CACHE_BYTES:
-            kept = dict(islice(self.known.items(), len(self.known) // 2))  # those met first are mostly the frequent ones
-            kept.update((p, self.known[p]) for p in pieces if p in self.known)
-            self.known, self.held = kept, sum(len(p) + len(i) for p, i in kept.items())
+        if self.held > CACHE_BYTES:
+            self.forget(pieces)
         ranks, known = self.ranks, self.known
         new = [p for p in pieces if p not in known]
         raw = [p.encode() for p in new]
         rest = [i for i, b in enumerate(raw) if b not in ranks]
         ids = [[ranks[b]] if b in ranks else None for b in raw]
-        for i, found in zip(rest, replay([raw[i] for i in rest], ranks), strict=True):
+        for i, found in zip(rest, replay([raw[i] for i in rest], self.pairs), strict=True):
             ids[i] = found
         for p, b, found in zip(new, raw, ids, strict=True):
             if b"".join(map(self.token.__getitem__, found)) != b:
                 raise ValueError("the ranks do not decode to what they encode")
             said = known[p] = ",".join(map(str, found))
-            self.held += len(p) + len(said)
+            self.held += PIECE_BYTES + len(p) + len(said)
 
     def encode(self, text: str):
         """(ids as text, decoded text) of the text's pieces, in lists, in order."""
